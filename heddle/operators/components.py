@@ -38,9 +38,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         now = nxt
         levels.append(chosen)
         k += 1
-    found = nodes.withColumn("to", F.col("node"))
-    for chosen in levels:
-        step = lookup_join(found, chosen.select(F.col("u").alias("to"), F.col("to").alias("nx")), "to")
-        found = materialize(step.select("node", F.coalesce("nx", "to").alias("to")), "cc-found")
+    if not levels:
+        return nodes.select("node", F.col("node").alias("component"))
+    end = levels.pop()
+    while levels:
+        step = lookup_join(levels.pop(), end.select(F.col("u").alias("to"), F.col("to").alias("nx")), "to")
+        end = materialize(step.select("u", F.coalesce("nx", "to").alias("to")), "cc-found")
+    found = nodes.join(end, nodes.node == end.u, "left").select("node", F.coalesce("to", "node").alias("to"))
     least = found.groupBy("to").agg(F.min("node").alias("component"))
-    return lookup_join(found, least, "to").select("node", "component")
+    return lookup_join(materialize(found, "cc-nodes"), least, "to").select("node", "component")

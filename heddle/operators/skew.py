@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 HOT_SHARE = 500
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than 1/share of the rows: fewer than `share` of them, whatever the size of `df`."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    return counts.join(F.broadcast(total), F.col("_n") * share > F.greatest(F.col("_all"), F.lit(share * 20))).where(F.col(key).isNotNull()).select(key)
+def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
+    """Keys that hold more than 1/share of the rows (and over 20 rows): fewer than `share`, whatever the size of `df`."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    most = counts.where(F.col("_n") > 20).orderBy(F.desc("_n")).limit(share).collect()
+    total = df.count() if most else 0
+    return [r[0] for r in most if r[1] * share > total]
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
@@ -25,7 +26,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, share: int = HOT_SH
     A null key finds nothing.
     """
     spark = left.sparkSession
-    hot = [r[0] for r in hot_keys(left, key, share).collect()]
+    hot = hot_keys(left, key, share)
     if not hot:
         return left.join(right, key, "left")
     hot_df = spark.createDataFrame([(x,) for x in hot], left.select(key).schema)
