@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heddle.plans.storage import materialize
+
 #: A key is hot with more than one row in HOT_SHARE, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 500
 
@@ -38,31 +40,37 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, share: int = HOT_SH
     return a.unionByName(b)
 
 
-def prefix_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+def prefix_sum(df: DataFrame, group: str, parts: str, order: list[str], value: str, out: str) -> DataFrame:
     """Sum of `value` over the rows of the same group that come before, for groups of any size.
 
-    The order within a group is that of `order`, whose first column has to be a
-    hexadecimal digest string (evenly distributed). A group of n rows is cut into
-    about sqrt(n) ranges of that digest, so that neither the ranges' own prefix
-    sums nor those of the rows inside one range need more than about sqrt(n) rows
-    together. Null groups are a group of their own; null values count as 0.
+    The order within a group is that of `order`, whose first column is a
+    hexadecimal digest string (evenly distributed). The group is cut into
+    `parts` ranges of that digest (a column, the same for all rows of a group;
+    the square root of its row count balances both steps): the ranges' sums are
+    added up first, then the rows inside each range. `group` has no nulls; null
+    values count as 0.
     """
     first, rest = order[0], order[1:]
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    names = [f"_g{i}" for i in range(len(group))]
-    sizes = sizes.select(*[F.col(g).alias(n) for g, n in zip(group, names)], F.ceil(F.sqrt("_n")).cast("long").alias("_parts"))
-    same = F.lit(True)
-    for g, n in zip(group, names):
-        same = same & F.col(g).eqNullSafe(F.col(n))
-    at = (F.conv(F.substring(first, 1, 8), 16, 10).cast("long") * F.col("_parts") / F.lit(2**32)).cast("long")
-    cut = df.join(sizes, same, "left").withColumn("_range", at)
-    sums = cut.groupBy(*names, "_range").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.partitionBy(*names).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.withColumn("_before", before).drop("_sum")
-    inside = W.partitionBy(*names, "_range").orderBy(first, *rest).rowsBetween(W.unboundedPreceding, -1)
+    at = (F.conv(F.substring(first, 1, 8), 16, 10).cast("long") * F.col(parts) / F.lit(2**32)).cast("long")
+    cut = df.withColumn("_range", at)
+    sums = cut.groupBy(group, "_range").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    starts = sums.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = W.partitionBy(group, "_range").orderBy(first, *rest).rowsBetween(W.unboundedPreceding, -1)
     rows = cut.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    keys: Column = F.col("a._range") == F.col("b._range")
-    for n in names:
-        keys = keys & F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}"))
-    joined = rows.alias("a").join(starts.alias("b"), keys, "left")
-    return joined.select(*[F.col(f"a.`{c}`") for c in df.columns], (F.col("a._inside") + F.coalesce(F.col("b._before"), F.lit(0))).alias(out))
+    joined = rows.join(starts, (F.col(group) == F.col("_group")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn(out, F.col("_inside") + F.col("_before")).select(*[F.col(f"`{c}`") for c in df.columns], out)
+
+
+def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Row numbers (from 1) over the whole table without gathering it: a range sort, and an offset for each of its partitions."""
+    cut = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "rank")
+    sizes = sorted((r[0], r[1]) for r in cut.groupBy("_part").count().collect())
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    ranked = cut.join(F.broadcast(offsets), "_part")
+    number = F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_start")
+    return ranked.withColumn(out, number.cast("long")).drop("_part", "_start")
