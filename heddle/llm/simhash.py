@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,8 +19,6 @@ BITS = 64
 MAX_DISTANCE = 4
 SHINGLE_WORDS = 4
 SEED = 42
-SPACES = re.compile(r"[\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Shingles hashed before their bits are counted, which bounds the memory for one text.
 BLOCK_SHINGLES = 65_536
 #: Fingerprints compared with one another in one matrix at most.
@@ -34,7 +31,8 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """64-bit SimHash: a bit is set if over half of the shingles' hashes have it; no words: 0."""
     from xxhash import xxh64_intdigest
 
-    joined = SPACES.sub(" ", (text or "").translate(LOWER)).strip(" ").encode("utf-8", "surrogatepass")
+    # Of bytes, lower() changes A-Z alone and split() cuts at ASCII white space alone.
+    joined = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
     if not joined:
         return 0
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
