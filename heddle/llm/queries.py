@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.llm.chat import conversations, format_preferences, worse_replies
 from heddle.llm.decontaminate import contamination
+from heddle.llm.html_extract import main_text
 from heddle.llm.mixing import mix
 from heddle.llm.quality import quality_scores
 from heddle.llm.simhash import simhash_components
@@ -20,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = main_text(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's part in the mix of sources."""
     mixed = mix(table(spark, sf_dir, "documents"))
@@ -64,7 +72,13 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_curriculum_mix, op3_quality_votes, op4_exact_top_k, op5_token_counts, op6_decontamination, op7_warc_revisits, op8_suffix_tree_scores, op9_simhash_components)}
+def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a preference: its last reply against a worse one."""
+    pairs = worse_replies(conversations(table(spark, sf_dir, "conversations")))
+    return format_preferences(pairs).select(F.col("id").alias("conv_id"), "n_prompt_turns", "prompt", "chosen_text", "rejected_text", "chosen_mask", "rejected_mask", "identical")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_curriculum_mix, op3_quality_votes, op4_exact_top_k, op5_token_counts, op6_decontamination, op7_warc_revisits, op8_suffix_tree_scores, op9_simhash_components, op10_preference_format)}
 
 ORACLE_SQL = {
     "op2_curriculum_mix": r"""
@@ -167,4 +181,36 @@ ORACLE_SQL = {
                CASE WHEN n > 1 THEN first_id END AS refers_to
         FROM x
     """,
+    "op10_preference_format": """
+        WITH t AS (
+          SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS i,
+                 replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+          FROM conversations),
+        l AS (SELECT conv_id, max(i) FILTER (WHERE role = 'assistant') AS last FROM t GROUP BY conv_id),
+        r AS (
+          SELECT l.conv_id, l.last,
+                 coalesce((SELECT arg_max(x.text, x.i) FROM t x WHERE x.conv_id IS NOT DISTINCT FROM l.conv_id AND x.role = 'assistant' AND x.i < l.last),
+                          (SELECT x.text FROM t x WHERE x.conv_id IS NOT DISTINCT FROM l.conv_id AND x.i = l.last - 1), '') AS reply,
+                 (SELECT x.text FROM t x WHERE x.conv_id IS NOT DISTINCT FROM l.conv_id AND x.i = l.last) AS own,
+                 (SELECT count(*) FROM t x WHERE x.conv_id IS NOT DISTINCT FROM l.conv_id) AS n
+          FROM l),
+        p AS (SELECT *, CASE WHEN last IS NULL THEN n WHEN reply = own THEN last ELSE last - 1 END AS k FROM r),
+        sides AS (
+          SELECT p.conv_id, 'c' AS side, t.i, t.role, t.text FROM p JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id WHERE t.i > p.k
+          UNION ALL SELECT conv_id, 'r', last, 'assistant', reply FROM p WHERE last > k),
+        spans AS (
+          SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS whole,
+                 length('<|im_start|>' || role || chr(10)) AS head FROM sides),
+        at_ AS (SELECT *, sum(length(whole)) OVER (PARTITION BY conv_id, side ORDER BY i) - length(whole) + head AS start FROM spans),
+        done AS (
+          SELECT conv_id, side, string_agg(whole, '' ORDER BY i) AS text,
+                 string_agg(start || '-' || (start + length(text) + 10), ',' ORDER BY i) FILTER (WHERE role = 'assistant') AS mask
+          FROM at_ GROUP BY conv_id, side)
+        SELECT p.conv_id, p.k::INTEGER AS n_prompt_turns,
+               coalesce((SELECT string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), '' ORDER BY t.i)
+                         FROM t WHERE t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i <= p.k), '') AS prompt,
+               coalesce(c.text, '') AS chosen_text, coalesce(r.text, '') AS rejected_text, coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask,
+               c.text IS NULL AND r.text IS NULL AS identical
+        FROM p LEFT JOIN done c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.side = 'c' LEFT JOIN done r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.side = 'r'
+    """,
 }

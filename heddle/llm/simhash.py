@@ -160,6 +160,19 @@ def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = MAX_DI
     return runs.mapInArrow(verify, "src long, dst long").distinct()
 
 
+def fingerprint_groups(rows: DataFrame) -> DataFrame:
+    """(fp, group, component_id) of every fingerprint in `rows` (id, fp): a fingerprint that names its component, and the component's smallest id."""
+    reps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-reps")
+    links = materialize(fingerprint_links(reps.select("fp")), "simhash-links")
+    groups = connected_components(links)
+    named = reps.join(groups, reps.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    named = materialize(named, "simhash-groups")
+    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    of_fp = materialize(lookup_join(named, least, "group").select("fp", "group", "component_id"), "simhash-of")
+    drop_tables(links, reps, named)
+    return of_fp
+
+
 def simhash_components(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of `df` as (id, fingerprint, component_id).
 
@@ -171,26 +184,20 @@ def simhash_components(df: DataFrame, id_column: str = "doc_id", text: str = "te
     rows: no rows. Other columns are left out, whatever their names.
     """
     rows = materialize(df.select(F.col(id_column).alias("id"), fingerprint_column(text).alias("fp")), "simhash")
-    reps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-reps")
-    links = materialize(fingerprint_links(reps.select("fp")), "simhash-links")
-    groups = connected_components(links)
-    named = reps.join(groups, reps.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
-    named = materialize(named, "simhash-groups")
-    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    of_fp = materialize(lookup_join(named, least, "group").select("fp", "component_id"), "simhash-of")
-    drop_tables(links, reps, named)
-    out = lookup_join(rows, of_fp, "fp")
+    out = lookup_join(rows, fingerprint_groups(rows).drop("group"), "fp")
     return out.select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_component(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stand for their near-duplicate component, with all their columns.
+    """One row of `docs` for each near-duplicate component, with all its columns: that with the smallest id.
 
-    Of each component the rows with the smallest id stay; of repeated rows with
-    that id and the same text only one stays. A component of null ids alone keeps one row.
+    Null ids come last; of repeated rows with that id one stays.
     """
-    groups = simhash_components(docs, id_column, text)
-    of_id = groups.groupBy(id_column).agg(F.min("component_id").alias("_component"))
-    named = docs.join(of_id.withColumnRenamed(id_column, "_id"), F.col(id_column).eqNullSafe(F.col("_id")), "left")
-    kept = named.where(F.col("_component").isNull() | (F.col("_component") == F.col(id_column)))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates([id_column])
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col(id_column).alias("id"), fingerprint_column(text).alias("fp"), F.monotonically_increasing_id().alias("row"))
+    whole = materialize(whole, "simhash-docs")
+    rows = whole.select("id", "fp", "row")
+    grouped = lookup_join(rows, fingerprint_groups(rows), "fp")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
+    kept = grouped.groupBy("group").agg(first).select(F.col("first.row").alias("row"))
+    return whole.join(kept, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
