@@ -193,11 +193,12 @@ def one_per_component(docs: DataFrame, id_column: str = "doc_id", text: str = "t
 
     Null ids come last; of repeated rows with that id one stays.
     """
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col(id_column).alias("id"), fingerprint_column(text).alias("fp"), F.monotonically_increasing_id().alias("row"))
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.monotonically_increasing_id().alias("row"))
     whole = materialize(whole, "simhash-docs")
-    rows = whole.select("id", "fp", "row")
+    rows = materialize(whole.select(F.col(names[id_column]).alias("id"), fingerprint_column(names[text]).alias("fp"), "row"), "simhash")
     grouped = lookup_join(rows, fingerprint_groups(rows), "fp")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
     kept = grouped.groupBy("group").agg(first).select(F.col("first.row").alias("row"))
-    return whole.join(kept, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    # The rows' numbers are hashed, so that the texts stream past them and aren't sorted.
+    return whole.join(kept.hint("shuffle_hash"), "row", "left_semi").select(*[F.col(n).alias(c) for c, n in names.items()])
