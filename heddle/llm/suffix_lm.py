@@ -76,12 +76,13 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
 
 @dataclass
 class Lexicon:
-    """The held words and what is needed of the counts of all others. Size set by the parameters."""
+    """The held words (the first `alone` are symbols of their own) and what is needed of the counts of all others. Size set by the parameters."""
 
     number: dict[bytes, int]
     symbol: np.ndarray
     count: np.ndarray
     class_mass: np.ndarray
+    alone: int
     train_tokens: int
     vocabulary: int
 
@@ -126,22 +127,27 @@ def count_words(docs: DataFrame, text: str, training: str) -> DataFrame:
 
 
 def lexicon(counts: DataFrame, held: int = HELD_WORDS) -> Lexicon:
-    """The `held` commonest words, and the mass of each word class from all words."""
+    """The commonest words of the training texts, the `held` commonest of all texts, and the mass of each word class.
+
+    All texts only decide which counts are at hand; symbols and masses come from training texts alone.
+    """
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    top = counts.orderBy(F.desc("every"), "word").limit(held).toPandas()
-    words = [END] + [bytes(w) for w in top["word"] if len(w)]
-    number = {w: i for i, w in enumerate(words)}
-    by_word = {bytes(w): int(c) for w, c in zip(top["word"], top["n"])}
-    symbol = np.array([i if i <= FREQUENT else word_class(w) for i, w in enumerate(words)] + [0], np.int32)
-    count = np.array([by_word.get(w, 0) for w in words], np.float64)
-    rare = counts.where(F.octet_length("word") > 0)
+    real = counts.where(F.octet_length("word") > 0)
+    pairs = lambda df: [(bytes(w), int(c)) for w, c in df.select("word", "n").toPandas().itertuples(index=False)]
+    top = pairs(real.where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT))
+    held_words = pairs(real.orderBy(F.desc("every"), "word").limit(held))
+    by_word = dict([(END, dict(pairs(counts.where(F.octet_length("word") == 0))).get(END, 0)), *top, *held_words])
+    alone = 1 + len(top)
+    number = {w: i for i, w in enumerate(by_word)}
+    symbol = np.array([i if i < alone else word_class(w) for w, i in number.items()] + [0], np.int32)
+    count = np.array(list(by_word.values()), np.float64)
     of_class = (F.crc32(F.expr("substring(word, -2, 2)")) % CLASSES).cast("int").alias("c")
     mass = np.full(CLASSES, 0.5)
-    for c, m in rare.groupBy(of_class).agg(F.sum(F.col("n") + 0.5)).collect():
+    for c, m in real.where("n > 0").groupBy(of_class).agg(F.sum(F.col("n") + 0.5)).collect():
         mass[c] += m
-    for i, w in enumerate(words[1 : FREQUENT + 1], 1):  # these are symbols of their own
-        mass[word_class(w) - 1 - FREQUENT] -= count[i] + 0.5
-    return Lexicon(number, symbol, count, np.maximum(mass, 0.5), int(n), int(v))
+    for w, c in top:  # these are symbols of their own
+        mass[word_class(w) - 1 - FREQUENT] -= c + 0.5
+    return Lexicon(number, symbol, count, np.maximum(mass, 0.5), alone, int(n), int(v))
 
 
 def context_codes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +242,7 @@ def grow(docs: DataFrame, text: str, lex: Lexicon, depth: int = MAX_DEPTH) -> Tr
     different next symbols would bring by chance (half a log of the count each).
     """
     weight = np.zeros(SYMBOLS)
-    weight[: min(FREQUENT + 1, len(lex.count))] = lex.count[: FREQUENT + 1] + 0.5
+    weight[: lex.alone] = lex.count[: lex.alone] + 0.5
     weight[FREQUENT + 1 :] = lex.class_mass
     probs = [weight / weight.sum()]
     least = max(MIN_COUNT, lex.train_tokens / MAX_CONTEXTS)
@@ -272,22 +278,26 @@ def grow(docs: DataFrame, text: str, lex: Lexicon, depth: int = MAX_DEPTH) -> Tr
                 if new and (d, longer & ((1 << SHIFT * d) - 1)) in known:
                     further.append(longer)
             contexts = np.array(sorted(further), np.int64)
-    return Tree(codes_by, rows_by, np.log10(np.stack(probs)).astype(np.float32))
+    # Symbols that no word has, as there are fewer words, have no share; they never come up.
+    return Tree(codes_by, rows_by, np.log10(np.maximum(np.stack(probs), 1e-300)).astype(np.float32))
 
 
 def score_texts(docs: DataFrame, text: str, lex: Lexicon, tree: Tree) -> DataFrame:
-    """One row (row, word null) with sums per text, and one (row, word) for each token whose count isn't held."""
+    """One row (row, word null) with sums per text, and one (row, word) for each token whose count isn't held.
+
+    Ids go along with their texts, so that a row's number is only ever used
+    within the table that this makes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((lex, tree))
-    schema = "row long, word binary, n_tokens long, n_known long, base double, score double"
+    names = ["row", "word", "id", "held_out", "n_tokens", "n_known", "base", "score"]
+    schema = f"row long, word binary, id {docs.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, tree = shared.value
         log_count = np.append(np.log10(lex.count + 0.5), 0.0)
         known = np.append(lex.count > 0, False)
         log_mass = np.concatenate([np.zeros(FREQUENT + 1), np.log10(lex.class_mass)])
-        alone = np.arange(len(log_count)) <= FREQUENT  # symbols of their own
-        alone[-1] = False
-        within = np.where(alone, 0.0, log_count)  # a word's share of its class, before the class's mass
+        within = np.where(np.arange(len(log_count)) < lex.alone, 0.0, log_count)  # a word's share of its class, before the class's mass
         finders = tree.finders()
         carry = np.zeros(MAX_DEPTH, np.int32)
         for b in batches:
@@ -302,13 +312,13 @@ def score_texts(docs: DataFrame, text: str, lex: Lexicon, tree: Tree) -> DataFra
                     sums[k] += np.bincount(owner, x, minlength=len(rows))
                 rare = np.flatnonzero(held < 0)
                 if len(rare):
-                    none = pa.nulls(len(rare), pa.int64())
-                    real = pa.nulls(len(rare), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner[rare]]), pa.array([tokens[i] for i in rare.tolist()], pa.binary()), none, none, real, real], names=["row", "word", "n_tokens", "n_known", "base", "score"])
-            whole = [pa.array(x.astype(np.int64)) for x in sums[:2]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(len(rows), pa.binary()), *whole, pa.array(sums[2]), pa.array(sums[3])], names=["row", "word", "n_tokens", "n_known", "base", "score"])
+                    n = len(rare)
+                    none = [pa.nulls(n, b.column(2).type), pa.nulls(n, pa.bool_()), *[pa.nulls(n, pa.int64())] * 2, *[pa.nulls(n, pa.float64())] * 2]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner[rare]]), pa.array([tokens[i] for i in rare.tolist()], pa.binary()), *none], names=names)
+            whole = [*(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(len(rows), pa.binary()), b.column(2), b.column(3), *whole], names=names)
 
-    return docs.select(text, "row").mapInArrow(score, schema)
+    return docs.select(text, "row", "id", "held_out").mapInArrow(score, schema)
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -332,13 +342,11 @@ def suffix_tree_scores(df: DataFrame, id_column: str = "doc_id", text: str = "te
     counts = materialize(count_words(docs.select("t", (~F.col("held_out")).alias("training")), "t", "training"), "lm-words")
     lex = lexicon(counts)
     tree = grow(docs.where(~F.col("held_out")), "t", lex, depth)
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    ids = materialize(numbered.select("row", "id", "held_out"), "lm-ids")
-    both = materialize(score_texts(numbered, "t", lex, tree), "lm-scores")
+    both = materialize(score_texts(docs.withColumn("row", F.monotonically_increasing_id()), "t", lex, tree), "lm-scores")
     rare = both.where("word is not null").select("row", "word").join(counts.select("word", "n"), "word", "left")
     n = F.coalesce("n", F.lit(0))
     more = rare.groupBy("row").agg(F.sum(F.log10(n + 0.5)).alias("log_counts"), F.count_if(n > 0).alias("more_known"))
-    out = both.where("word is null").drop("word").join(more, "row", "left").join(ids, "row")
+    out = both.where("word is null").drop("word").join(more, "row", "left")
     add = F.coalesce("log_counts", F.lit(0.0))
     norm = float(np.log10(lex.train_tokens + 0.5 * (lex.vocabulary + 1)))
     out = out.select(

@@ -138,8 +138,8 @@ def top_k(df: DataFrame, is_query: str, k: int = K, id_column: str = "vec_id", v
     with fewer than k candidates all are returned. Repeated rows are candidates
     and queries of their own. Vectors of different length meet as if the shorter
     one ended in zeros beyond the query's width. Vectors that are null, or hold
-    null or non-finite components, take no part, nor do rows with a null id. No
-    queries: no rows.
+    null or non-finite components, take no part, nor do rows with a null id. A
+    score that no long can hold is an error. No queries: no rows.
     """
     spark = df.sparkSession
     vectors = materialize(integer_vectors(df, id_column, vector).where("id is not null"), "topk-vectors")
