@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from heddle.llm.html_blocks import Block, cut_blocks
 
-PATHS, WORDS, SHAPE = 256, 64, 10
-HIDDEN = 24
-TRAINING_PAGES, EPOCHS, BATCH_PAGES, RATE, SEED = 6_000, 8, 16, 0.006, 7
+PATHS, WORDS, SHAPE = 512, 256, 10
+HIDDEN = 28
+TRAINING_PAGES, EPOCHS, BATCH_PAGES, RATE, SEED = 9_000, 6, 16, 0.006, 7
+DECAY = 0.02
 #: Share of training pages whose words are hidden, so that the labeller doesn't lean on them.
-HIDDEN_WORDS = 0.5
+HIDDEN_WORDS = 0.75
 #: Blocks of one page that are labelled together; a longer page is labelled in overlapping parts.
 PART_BLOCKS, OVERLAP_BLOCKS = 1_024, 64
 BATCH_BLOCKS = 8_192
@@ -28,11 +29,12 @@ BATCH_BLOCKS = 8_192
 
 
 def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tag path: each tag, and each word of its class, id and role, plainly and with its place from the leaf."""
+    """Hashed tag path: each tag, and each word of its class, id and role, both plainly and with its place from the leaf."""
     out = np.zeros(PATHS, np.float32)
     for up, step in enumerate(reversed(path)):
         tag, *words = step.split(".")
-        for term in (tag, f"{tag}/{min(up, 3)}", *("." + w for w in words)):
+        near = min(up, 2)
+        for term in (tag, f"{tag}/{near}", *("." + w for w in words), *(f".{w}/{near}" for w in words)):
             out[zlib.crc32(term.encode()) % PATHS] = 1.0
     return out
 
@@ -170,7 +172,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 # --- pages to learn from ----------------------------------------------------------------
 
 #: Names that pages give to their parts; the labeller learns their words.
-MAIN_NAMES = "content main-content article post entry entry-content article-body post-body story story-body text page-content body-text blog-post markdown prose".split()
+MAIN_NAMES = "content main main-content main-column article post post-content entry entry-content article-body post-body story story-body text page-content body-text blog-post markdown prose".split()
 OTHER_NAMES = {
     "nav": "nav menu navbar navigation main-menu site-nav breadcrumbs breadcrumb topnav mobile-menu skip-links toc pagination pager tabs submenu".split(),
     "header": "header site-header masthead top-bar topbar page-header branding logo tagline".split(),
@@ -179,7 +181,7 @@ OTHER_NAMES = {
     "notice": "notice cookie-notice cookie cookies consent cookie-banner gdpr alert message popup modal overlay banner newsletter subscribe paywall warning disclaimer toast announcement".split(),
     "ad": "ad ads advert adverts advertisement ad-slot banner-ad sponsor sponsored promo promotion adsense ad-container partner-content".split(),
     "form": "form search search-form login signup contact-form poll survey subscribe-form register feedback".split(),
-    "comments": "comments comment comment-list replies reply discussion respond reader-comments responses thread disqus user-comments".split(),
+    "comments": "comments comment comment-list respond comment-form replies reply discussion respond reader-comments responses thread disqus user-comments".split(),
     "share": "share social share-buttons social-links follow tags meta byline-links tools toolbar".split(),
 }
 PHRASES = {
@@ -193,6 +195,8 @@ PHRASES = {
     "comments": "Reply|Comments|Leave a comment|3 comments|says:|Report|Like|Posted by".split("|"),
     "share": "Share|Tweet|Print|E-mail this|Tags:|Follow us".split("|"),
 }
+#: Names that say nothing: the labeller has to look at the rest of the page.
+NEUTRAL_NAMES = "wrapper wrap container page row layout col col-8 left center inner outer block section-1 grid cell box panel area".split()
 SYLLABLES = "an er on ti re ing th ed es ly ou be de sch ung ein ver keit lich que le la eau ment ción ado os ar ra mi ño é ü ß 的 了 ск ов та".split()
 
 
@@ -202,6 +206,7 @@ class Maker:
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
         self.truth: dict[str, bool] = {}
+        self.most = 16
 
     def word(self) -> str:
         return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.choice((1, 1, 2, 2, 3, 4))))
@@ -230,7 +235,7 @@ class Maker:
         elif not main and kind in ("comments", "notice", "side", "footer", "ad") and self.r.random() < 0.6:
             body = " ".join(self.sentence() for _ in range(self.r.randint(1, 4)))
         elif main:
-            body = " ".join(self.sentence() for _ in range(self.r.choice((1, 1, 2, 4, 8))))
+            body = " ".join(self.sentence(self.most) for _ in range(self.r.choice((1, 1, 2, 4, 8)) if self.most > 4 else 1))
         else:
             body = self.sentence(5)
         if self.r.random() < 0.12:
@@ -251,6 +256,8 @@ class Maker:
             a, b = (f"<{plain}>", f"</{plain}>") if r.random() < 0.6 else self.tag(OTHER_NAMES[kind], plain)
         else:
             a, b = self.tag(OTHER_NAMES[kind], r.choice(("div", "div", "section", "ul" if kind == "nav" else "div")))
+        if kind == "nav" and r.random() < 0.15:  # links say enough
+            a, b = self.tag(NEUTRAL_NAMES) if r.random() < 0.5 else ("<div>", "</div>")
         t = lambda: self.text(False, kind)
         if kind == "nav" or kind == "share" or kind in ("side", "footer") and r.random() < 0.5:
             items = "".join(f'<li><a href="/x">{t()}</a></li>' for _ in range(r.randint(2, 7)))
@@ -261,7 +268,8 @@ class Maker:
             item = r.choice(("li", "div", "article"))
             inner = f"<h{(k := r.choice((2, 3)))}>{t()}</h{k}>" + "".join(f'<{item} class="{r.choice(OTHER_NAMES["comments"])}"><p>{t()}</p>' + (f"<p>{t()}</p>" if r.random() < 0.3 else "") + f"</{item}>" for _ in range(r.randint(1, 4)))
         elif kind == "form":
-            inner = f"<label>{t()}</label><input type=text><p>{t()}</p><button>{t()}</button>"
+            fields = [f"<label>{t()}</label><input type=text>", f"<p>{t()}</p>", f"<button>{t()}</button>", f"<div><label>{t()}</label><input name=x></div>", f"<button type=submit>{t()}</button>", f"<h3>{t()}</h3>"]
+            inner = "<input name=q>" + "".join(r.sample(fields, r.randint(1, 4)))
         elif kind == "header":
             inner = (f"<h1>{t()}</h1>" if r.random() < 0.4 else f"<div class=logo>{t()}</div>") + (f"<p>{t()}</p>" if r.random() < 0.4 else "")
         else:
@@ -286,12 +294,22 @@ class Maker:
                 parts.append(f"<blockquote><p>{self.text(True)}</p></blockquote>")
             elif k < 0.9:
                 parts.append(f"<pre>{self.text(True)}</pre>")
-            elif k < 0.94:
+            elif k < 0.915:
+                parts.append(f"<figure><img src=i><figcaption>{self.text(True)}</figcaption></figure>")
+            elif k < 0.925:
+                parts.append(f"<section><h{(h := r.choice((2, 3)))}>{self.text(True)}</h{h}><p>{self.text(True)}</p></section>")
+            elif k < 0.935:
+                parts.append(f"<dl><dt>{self.text(True)}</dt><dd>{self.text(True)}</dd></dl>")
+            elif k < 0.945:
+                parts.append("<ol>" + "".join(f"<li><p>{self.text(True)}</p></li>" for _ in range(r.randint(1, 4))) + "</ol>")
+            elif k < 0.955:
+                parts.append(f"<hr>{self.text(True)}<hr>")
+            elif k < 0.975:
                 parts.append("<table><tr>" + "".join(f"<td>{self.text(True)}</td>" for _ in range(r.randint(1, 4))) + "</tr></table>")
             else:
                 parts.append(f"<div>{self.text(True)}</div>")
-            if r.random() < 0.12:
-                parts.append(self.other(r.choice(("ad", "notice", "side", "share", "form"))))
+            if r.random() < 0.16:
+                parts.append(self.other(r.choice(("ad", "notice", "side", "share", "form", "form", "nav"))))
         if r.random() < 0.15:
             parts.append(self.other("comments"))
         return "".join(parts)
@@ -299,7 +317,8 @@ class Maker:
     def page(self) -> str:
         """A whole page."""
         r, before, after = self.r, [], []
-        for kind, at, p in (("notice", before, 0.35), ("header", before, 0.5), ("nav", before, 0.7), ("ad", before, 0.35), ("form", before, 0.2), ("side", before, 0.15), ("share", after, 0.3), ("ad", after, 0.25), ("side", after, 0.4), ("comments", after, 0.4), ("form", after, 0.25), ("nav", after, 0.2), ("notice", after, 0.2), ("footer", after, 0.75)):
+        self.most = r.choice((16, 16, 16, 8, 4))  # words of a sentence of the article
+        for kind, at, p in (("notice", before, 0.35), ("header", before, 0.5), ("nav", before, 0.7), ("ad", before, 0.35), ("form", before, 0.2), ("side", before, 0.3), ("share", after, 0.3), ("ad", after, 0.25), ("side", after, 0.4), ("comments", after, 0.4), ("form", after, 0.25), ("nav", after, 0.2), ("notice", after, 0.2), ("footer", after, 0.75)):
             if r.random() < p:
                 at.append(self.other(kind))
         if r.random() < 0.3:
@@ -310,15 +329,24 @@ class Maker:
             inner = f"<article>{inner}</article>"
         elif k < 0.6:
             inner = f"<main>{inner}</main>"
-        if k > 0.55 or r.random() < 0.3:
+        if k > 0.9:  # nothing on the page says where the article is
+            a, b = self.tag(NEUTRAL_NAMES, r.choice(("div", "div", "section"))) if r.random() < 0.7 else ("<div>", "</div>")
+            inner = a + inner + b
+        elif k > 0.55 or r.random() < 0.3:
             a, b = self.tag(MAIN_NAMES, r.choice(("div", "div", "section", "article")))
             inner = a + inner + b
         if r.random() < 0.2:
             inner = f"<main>{inner}</main>"
         if r.random() < 0.3:  # parts beside the article, in the same frame
             n = r.randint(0, len(after))
-            inner = f'<div class="{r.choice(("wrapper", "container", "page", "row", "layout"))}">' + inner + "".join(after[:n]) + "</div>"
+            a, b = self.tag(NEUTRAL_NAMES)
+            inner = a + inner + "".join(after[:n]) + b
             after = after[n:]
+        elif r.random() < 0.12:  # columns of a table
+            n = r.randint(0, len(before))
+            left, right = "".join(before[n:]), "".join(after)
+            inner = "<table><tr>" + (f"<td>{left}</td>" if left else "") + f"<td>{inner}</td>" + (f"<td>{right}</td>" if right else "") + "</tr></table>"
+            before, after = before[:n], []
         return f"<html><head><title>{self.word()}</title><style>p{{}}</style></head><body>{''.join(before)}{inner}{''.join(after)}" + ("</body></html>" if r.random() < 0.9 else "")
 
     def labelled(self) -> tuple[list[Block], list[bool]]:
@@ -363,7 +391,7 @@ def train(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED) -
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 move = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-                net.weights[k] -= (RATE * (1 - 0.9 * step / total) * move).astype(np.float32)
+                net.weights[k] -= (RATE * (1 - 0.95 * step / total) * (move + DECAY * net.weights[k])).astype(np.float32)
     _TRAINED[pages, epochs, seed] = net
     return net
 
