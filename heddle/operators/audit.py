@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.operators.skew import global_rank
+from heddle.plans.storage import materialize
+
 #: Plans run from moves to extractions.
 PATTERN_ORDER = ("pure move", "unit move", "block extraction")
 
@@ -50,14 +53,18 @@ def duplicated_symbols(decls: DataFrame) -> DataFrame:
     return decls.groupBy("symbol").agg(F.countDistinct("file").alias("n_files")).where("n_files > 1")
 
 
+def plan_order(plans: DataFrame) -> DataFrame:
+    """(plan, pattern, difficulty) with place: by pattern, the easiest first, then by name; unknown patterns last."""
+    kind = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PATTERN_ORDER)), F.col("pattern")), F.lit(0)), F.lit(len(PATTERN_ORDER) + 1))
+    return global_rank(plans.withColumn("_kind", kind), [F.col("_kind"), F.col("difficulty"), F.col("plan")], "place").drop("_kind")
+
+
 def plan_levels(nodes: DataFrame, depends: DataFrame, most: int = 100) -> DataFrame:
     """(id, level) in dependency order: level 0 depends on nothing, others on a lower level only.
 
     One round per level: nodes whose dependencies (id, needs) all have a level
     get the next one. Nodes on a cycle, or behind one, get none.
     """
-    from heddle.plans.storage import materialize
-
     open_nodes = materialize(nodes.select("id").distinct(), "plan-open")
     edges = depends.select("id", "needs").distinct()
     done = None

@@ -24,7 +24,7 @@ def merged(members: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     aggregations: categories are counted first, so that no cluster is gathered.
     """
     kinds = members.groupBy(cluster, "category").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("newest"))
-    best = kinds.where(F.col("category").isNotNull()).groupBy(cluster).agg(F.min_by("category", F.struct(-F.col("n"), -F.unix_micros("newest"), F.col("category"))).alias("category"))
+    best = kinds.where(F.col("category").isNotNull()).groupBy(cluster).agg(F.min_by("category", F.struct(-F.col("n"), -F.unix_micros(F.col("newest").cast("timestamp")), F.col("category"))).alias("category"))
     numbers = members.groupBy(cluster).agg(F.max("exposure").alias("exposure"), F.max("strength").alias("strength"), F.round(F.avg("sentiment"), 6).alias("sentiment"), F.count(F.lit(1)).alias("n_merged"))
     details = members.select(cluster, "detail").distinct().groupBy(cluster).agg(F.count("detail").alias("n_details"))
     return numbers.join(best, cluster, "left").join(details, cluster, "left")
@@ -70,7 +70,7 @@ def superseded(facts: DataFrame) -> DataFrame:
     predicate has another object. Different objects at the same time are a
     conflict: proposed, never invalidated.
     """
-    w = W.partitionBy("subject", "predicate").orderBy(F.unix_micros("at"))
+    w = W.partitionBy("subject", "predicate").orderBy(F.unix_micros(F.col("at").cast("timestamp")))
     later, equal = w.rangeBetween(1, W.unboundedFollowing), w.rangeBetween(0, 0)
     differs = lambda frame: (F.min("object").over(frame) != F.col("object")) | (F.max("object").over(frame) != F.col("object"))
     return facts.withColumns({"superseded": F.coalesce(differs(later), F.lit(False)), "conflict": F.coalesce(differs(equal), F.lit(False))})

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.text import QUOTE_EXCLUSIONS, SECRETS, has_shape, qualified_id, title_from_path
-from heddle.operators import audit, duplicates, hygiene, inventory, judge, matching, sessions, vectors
+from heddle.operators import audit, duplicates, hygiene, inventory, judge, matching, sessions, store, vectors
 from heddle.params import CATEGORIES
 from heddle.plans.samples import SOURCES, STORE1
 from heddle.plans.storage import materialize, shared_path
@@ -50,7 +50,7 @@ def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def micros(*names: str) -> list:
-    return [F.unix_micros(n).alias(n) for n in names]
+    return [F.unix_micros(F.col(n).cast("timestamp")).alias(n) for n in names]
 
 
 KEPT = "(SELECT conv_id AS session_id, turn AS n, role, text FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '')"
@@ -581,6 +581,41 @@ def plan_levels(spark, sf_dir):
     return audit.plan_levels(n, n.where("id > 0").select("id", F.floor(F.col("id") / 2).cast("int").alias("needs")))
 
 
+@query("SELECT p_partkey AS plan, row_number() OVER (ORDER BY CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END, p_size, p_partkey) AS place FROM part")
+def plan_order(spark, sf_dir):
+    """Plans by pattern, the easiest first."""
+    size = F.col("p_size")
+    pattern = F.when(size % 4 == 0, "pure move").when(size % 4 == 1, "unit move").when(size % 4 == 2, "block extraction").otherwise("other")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("plan"), pattern.alias("pattern"), size.alias("difficulty"))
+    return audit.plan_order(p).select("plan", "place")
+
+
+@query("SELECT session_id, 'source:store1:host:' || session_id || ' collected:2024-02-01' AS tags FROM (SELECT DISTINCT conv_id AS session_id FROM conversations)")
+def tagged_records(spark, sf_dir):
+    """Records with their tags."""
+    s = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")).distinct()
+    return s.select("session_id", F.array_join(store.tags(F.lit("store1"), "host", F.col("session_id"), "2024-02-01"), " ").alias("tags"))
+
+
+@query(
+    f"""SELECT session_id, arg_max(status, row(seen, status)) AS status, epoch_us(max(seen)) AS at FROM (
+      SELECT session_id, 'skipped-trivial' AS status, last_at - INTERVAL 1 DAY AS seen FROM {TIMED} WHERE session_id % 2 = 0
+      UNION ALL SELECT session_id, 'processed', last_at FROM {TIMED} WHERE session_id % 3 = 0) GROUP BY session_id"""
+)
+def cursor_write(spark, sf_dir):
+    """The cursor after a run."""
+    s = timed(spark, sf_dir)
+    row = lambda df, status, at: df.select(F.lit("t").alias("tool"), "session_id", F.lit(status).alias("status"), at.alias("at"))
+    old = row(s.where("session_id % 2 = 0"), "skipped-trivial", F.col("last_at") - F.expr("interval 1 day"))
+    return store.advanced(old, row(s.where("session_id % 3 = 0"), "processed", F.col("last_at"))).select("session_id", "status", *micros("at"))
+
+
+@query("SELECT * FROM (VALUES ('graph', 'dedup', false, 'search'), ('graph', 'decay', true, ''), ('graph', 'split', false, 'search'), ('graph', 'invalidate', true, ''), ('graph', 'reconnect', true, ''), ('graph', 'summarize', false, 'diary'), ('graph', 'report', true, '')) t(store, phase, runs, missing)")
+def capability_survey(spark, sf_dir):
+    """Phases that a store's capabilities allow."""
+    return store.phases(spark.createDataFrame([("graph", "graph"), ("graph", "mutate")], "store string, capability string"))
+
+
 # --- inventories and readers, over hand-made inputs -------------------------------------
 
 
