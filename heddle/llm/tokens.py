@@ -41,66 +41,48 @@ def load_tokenizer(path: str | None):
     return _LOADED[path]
 
 
-def boundaries(encoding) -> dict[int, int]:
-    """Where a pre-token ends and the next starts: {character position: tokens before it}."""
+def boundaries(encoding, begin: int = 0) -> dict[int, int]:
+    """Where a pre-token ends and the next starts, for a text that starts at `begin`: {position: tokens before it}."""
     words, offsets = encoding.word_ids, encoding.offsets
-    out = {0: 0}
+    out = {}
     for i in range(1, len(words)):
-        if words[i] != words[i - 1] or words[i] is None:
-            if offsets[i - 1][1] == offsets[i][0]:
-                out[offsets[i][0]] = i
+        if (words[i] != words[i - 1] or words[i] is None) and offsets[i - 1][1] == offsets[i][0]:
+            out[begin + offsets[i][0]] = i
     return out
 
 
 def count_huge(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, margin: int = MARGIN_CHARS) -> int:
     """Tokens of a text of any length, from overlapping chunks.
 
-    A chunk that starts at a true pre-token boundary shows true boundaries up to
+    A chunk whose boundaries are true from some place on shows true ones up to
     `margin` before its end, as no match looks further ahead. Where the next
     chunk, which starts anywhere, shows one of these as well, it agrees with the
     whole text from there on, because a match depends only on what follows its
     start. The two are spliced there. Without a common boundary the overlap is
-    doubled, at last to the whole of the first chunk, and then that chunk grows.
+    doubled, at last to the whole first chunk, and then that chunk is doubled.
     """
-    total, start, end, known = 0, 0, chunk, None
+    encode = lambda a, b: tokenizer.encode(text[a:b], add_special_tokens=False)
+    total, start, end, true_from = 0, 0, min(chunk, len(text)), 0
+    left = encode(start, end)
     while end < len(text):
-        left = known or tokenizer.encode(text[start:end], add_special_tokens=False)
-        stable = {start + p: n for p, n in boundaries(left).items() if 0 < p <= end - start - margin}
-        reach, found = overlap, None
-        while found is None and reach < end - start:
-            begin = end - reach
-            nxt = tokenizer.encode(text[begin : begin + chunk + reach], add_special_tokens=False)
-            mine = boundaries(nxt)
-            common = [p for p in stable if p - begin in mine and p > begin]
-            if common:
-                found = max(common)
-            else:
-                reach *= 2
-        if found is None:
-            end, known = min(len(text), end + chunk), None
-            continue
-        total += stable[found] - mine[found - begin]
-        # The next chunk counts from its own start; what it has before the splice was taken off.
-        total_next, start, end = begin, begin, begin + chunk + reach
-        known = nxt
-        if end >= len(text):
-            return total + len(nxt.ids)
-        # From the splice on, the chunk is true: keep only boundaries after it.
-        known = _From(nxt, found - total_next)
-    left = known or tokenizer.encode(text[start:], add_special_tokens=False)
+        stable = {p: n for p, n in boundaries(left, start).items() if true_from <= p <= end - margin}
+        splice, reach = None, overlap
+        while splice is None and reach < end - start:
+            begin, stop = end - reach, min(len(text), end + chunk)
+            right = encode(begin, stop)
+            mine = boundaries(right, begin)
+            splice = max((p for p in stable if p in mine), default=None)
+            reach *= 2
+        if splice is None:
+            end = min(len(text), 2 * end - start)
+            left = encode(start, end)
+        else:
+            # What the next chunk has before the splice isn't counted.
+            total += stable[splice] - mine[splice]
+            start, end, left, true_from = begin, stop, right, splice
     return total + len(left.ids)
 
 
-class _From:
-    """An encoding whose boundaries before `p` aren't known to be true."""
-
-    def __init__(self, encoding, p: int) -> None:
-        keep = next((i for i, (a, _) in enumerate(encoding.offsets) if a >= p), len(encoding.offsets))
-        self.ids = encoding.ids
-        self.word_ids = [-1] * keep + encoding.word_ids[keep:]
-        self.offsets = [(0, 0)] * keep + encoding.offsets[keep:]
-
-
 def count_batch(tokenizer, texts: list[str], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
     """Tokens of each text; bounded memory for any mix of lengths."""
     out = [0] * len(texts)
