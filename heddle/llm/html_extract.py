@@ -371,8 +371,19 @@ def train(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED) -
     if (pages, epochs, seed) in _TRAINED:
         return _TRAINED[pages, epochs, seed]
     maker, paths, words = Maker(seed), {}, {}
-    made = [maker.labelled() for _ in range(pages)]
-    data = sorted(((block_vectors(b, paths, words), np.array(y, np.float32)) for b, y in made), key=lambda d: len(d[1]))
+    data = []  # only what isn't zero, as most of a vector is
+    for _ in range(pages):
+        blocks, labels = maker.labelled()
+        v = block_vectors(blocks, paths, words)
+        at = np.flatnonzero(v).astype(np.int32)
+        data.append((at, v.reshape(-1)[at].astype(np.float16), np.array(labels, np.float32)))
+    data.sort(key=lambda d: len(d[2]))
+
+    def full(d: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(d[2]), PATHS + WORDS + SHAPE), np.float32)
+        out.reshape(-1)[d[0]] = d[1]
+        return out
+
     rng = np.random.default_rng(seed)
     net = Labeller.fresh(rng)
     first = {k: np.zeros_like(v) for k, v in net.weights.items()}
@@ -381,8 +392,8 @@ def train(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED) -
     for _ in range(epochs):
         for at in rng.permutation(np.arange(0, pages, BATCH_PAGES)):
             part = data[at : at + BATCH_PAGES]
-            x, mask = padded([d[0] for d in part])
-            y = padded([d[1][:, None] for d in part])[0][..., 0]
+            x, mask = padded([full(d) for d in part])
+            y = padded([d[2][:, None] for d in part])[0][..., 0]
             # Words of a path and of a text are hidden at times, so that none is relied on alone.
             x[..., : PATHS + WORDS] *= rng.random((1, x.shape[1], PATHS + WORDS)) > 0.1
             x[..., PATHS : PATHS + WORDS] *= rng.random((1, x.shape[1], 1)) > HIDDEN_WORDS
