@@ -41,6 +41,16 @@ def leftovers(symbol_map: DataFrame, decls_after: DataFrame) -> DataFrame:
     return symbol_map.where("destination <> target").join(decls_after.select("target", "symbol"), ["target", "symbol"], "left_semi")
 
 
+def leftover_mentions(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(symbol, path, n): how often files (path, text) still name a symbol as a whole word.
+
+    Files are cut into words once and joined on them, instead of one search per
+    symbol and file.
+    """
+    words = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("symbol"))
+    return words.join(symbols.select("symbol").distinct(), "symbol", "left_semi").groupBy("symbol", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
 def step_tally(steps: DataFrame, moves: DataFrame) -> DataFrame:
     """(plan, step, stated, moved, ok): symbols that a step moved against the number that it states."""
     n = moves.groupBy("plan", "step").agg(F.count(F.lit(1)).alias("moved"))

@@ -19,9 +19,11 @@ def exact_groups(items: DataFrame, id_column: str, text: str) -> DataFrame:
     return items.groupBy(F.md5(text).alias("text_md5")).agg(F.count(F.lit(1)).alias("n"), F.min(id_column).alias("canonical_id")).where("n > 1 and text_md5 is not null")
 
 
-def shingles(text: Column, width: int = SHINGLE_WORDS) -> Column:
-    """Distinct word shingles; fewer words: all of them as one; none: empty."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+def shingles(words: str, width: int = SHINGLE_WORDS) -> Column:
+    """Distinct shingles of a column of words; fewer words: all of them as one; none: empty.
+
+    It takes a column and no expression, which the lambda would evaluate anew for each shingle.
+    """
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - F.lit(width - 1), F.lit(1)))
     each = F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " "))
     return F.when(F.size(words) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
@@ -30,7 +32,9 @@ def shingles(text: Column, width: int = SHINGLE_WORDS) -> Column:
 def representatives(items: DataFrame, id_column: str, text: str) -> DataFrame:
     """(rep, n_copies, tokens): one row per different text, under its smallest id, with hashed shingles."""
     reps = items.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(id_column).alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    return reps.select("rep", "n_copies", F.transform(shingles(F.col(text)), lambda s: F.xxhash64(s)).alias("tokens"))
+    words = reps.select("rep", "n_copies", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    # Written once: inlined into later steps, the words would be cut anew for each shingle.
+    return materialize(words.select("rep", "n_copies", F.transform(shingles("words"), lambda s: F.xxhash64(s)).alias("tokens")), "near-reps")
 
 
 def near_pairs(reps: DataFrame, threshold: float = LIMITS.duplicate_similarity) -> DataFrame:
@@ -64,7 +68,7 @@ def clusters(items: DataFrame, id_column: str, text: str, threshold: float = LIM
     Copies of a text belong to its class and aren't expanded into pairs. Items
     with a null text are alone.
     """
-    reps = materialize(representatives(items, id_column, text), "near-reps")
+    reps = representatives(items, id_column, text)
     pairs = materialize(near_pairs(reps, threshold), "near-pairs")
     groups = connected_components(pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
     links = pairs.select(F.explode(F.array("id_a", "id_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))

@@ -46,6 +46,13 @@ def identifier_union(identifiers: DataFrame, owner: str) -> DataFrame:
     return once.withColumn("is_primary", F.row_number().over(w) == 1).select(owner, "type", "value", "is_primary")
 
 
+def touched_since(items: DataFrame, last_run: str | None, first_run: int = LIMITS.first_run_items) -> DataFrame:
+    """Items (id, updated) that a run looks at: those updated since the last one, or on a first run the latest few."""
+    if last_run is None:
+        return items.orderBy(F.desc("updated"), "id").limit(first_run)
+    return items.where(F.col("updated") > F.lit(last_run).cast("timestamp"))
+
+
 def stale(items: DataFrame, as_of: Column, days: int = LIMITS.stale_days) -> DataFrame:
     """Items (id, mentioned, retrieved, updated, protected) untouched for `days` before `as_of`."""
     return items.where(F.greatest("mentioned", "retrieved", "updated") < as_of - F.expr(f"interval {days} days"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.functions.text import trimmed
+from heddle.operators.skew import global_rank
 from heddle.params import LIMITS, ROLES
 
 
@@ -113,3 +114,22 @@ def collection_report(statuses: DataFrame) -> DataFrame:
     """One row of counts: found, skipped, taken and left for the next run."""
     s = F.col("status")
     return statuses.agg(F.count(F.lit(1)).alias("found"), F.count_if(s == "skipped-trivial").alias("skipped_trivial"), F.count_if(s == "processed").alias("processed"), F.count_if(s == "open").alias("deferred"), F.coalesce(F.sum(F.when(s == "processed", F.col("message_count"))), F.lit(0)).alias("messages"))
+
+
+def by_id(sessions: DataFrame, session_id) -> DataFrame:
+    """The session with an id, at most one row; of several the first by path, then by last_at."""
+    order = [c for c in ("path", "last_at", "last_n") if c in sessions.columns]
+    return sessions.where(F.col("session_id") == F.lit(session_id)).orderBy(*order).limit(1)
+
+
+def most_recent(sessions: DataFrame, n: int = LIMITS.run_sessions) -> DataFrame:
+    """What a first run takes: the latest sessions, before a backfill goes through the rest."""
+    return sessions.orderBy(F.desc("last_at"), "session_id").limit(n)
+
+
+def listing(sessions: DataFrame) -> DataFrame:
+    """(place, json): the sessions as documents, oldest first by last_at; only the sink's text is built here."""
+    named = {"session_id": "id", "first_at": "firstMessageAt", "last_at": "lastMessageAt", "message_count": "messageCount"}
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if c in ("first_at", "last_at") else F.col(c)
+    doc = F.to_json(F.struct(*[iso(c).alias(named.get(c, c)) for c in sessions.columns]))
+    return global_rank(sessions.select("last_at", "session_id", doc.alias("json")), [F.col("last_at"), F.col("session_id")], "place").select("place", "json")

@@ -183,6 +183,38 @@ def stream_sessions(spark, sf_dir):
     return s.select("session_id", *micros("first_at", "last_at"), "message_count")
 
 
+@query(f"SELECT session_id, message_count FROM {LISTED} WHERE session_id = 7")
+def session_point_lookup(spark, sf_dir):
+    """One session by its id."""
+    return sessions.by_id(sessions.session_list(messages(spark, sf_dir)), 7).select("session_id", "message_count")
+
+
+@query(f"SELECT session_id, message_count FROM {TIMED} ORDER BY last_at DESC, session_id LIMIT 3")
+def first_run_most_recent(spark, sf_dir):
+    """What a first run takes."""
+    return sessions.most_recent(timed(spark, sf_dir)).select("session_id", "message_count")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY last_at, session_id) AS place, '{{\"id\":' || session_id || ',\"messageCount\":' || message_count || ',\"lastMessageAt\":\"' || strftime(last_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z\"}}' AS json FROM {TIMED}")
+def session_listing_json(spark, sf_dir):
+    """The listing as documents, oldest first."""
+    return sessions.listing(timed(spark, sf_dir).select("session_id", "message_count", "last_at"))
+
+
+@query("SELECT user_id AS id FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-30 12:00:00'")
+def items_touched_since(spark, sf_dir):
+    """Records that changed since the last run."""
+    items = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("updated"))
+    return hygiene.touched_since(items, "2024-01-30 12:00:00").select("id")
+
+
+@query("SELECT id FROM (SELECT user_id AS id, max(ts) AS u FROM events GROUP BY user_id) ORDER BY u DESC, id LIMIT 20")
+def items_first_run(spark, sf_dir):
+    """Records that a first run looks at."""
+    items = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("updated"))
+    return hygiene.touched_since(items, None, 20).select("id")
+
+
 # --- duplicates and merging -------------------------------------------------------------
 
 
@@ -193,11 +225,14 @@ def exact_duplicates(spark, sf_dir):
 
 
 PAIRS = r"""
-  reps AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
+  reps AS MATERIALIZED (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
   words AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM reps),
-  sh AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
-  size AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
-  pairs AS (
+  tok AS (SELECT id, unnest(w) AS t, generate_subscripts(w, 1) AS p, len(w) AS n FROM words),
+  sh AS MATERIALIZED (SELECT DISTINCT id, s FROM (
+    SELECT id, p, n, concat_ws(' ', t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o, lead(t, 4) OVER o) AS s
+    FROM tok WINDOW o AS (PARTITION BY id ORDER BY p)) WHERE p <= greatest(n - 4, 1)),
+  size AS MATERIALIZED (SELECT id, count(*) AS n FROM sh GROUP BY id),
+  pairs AS MATERIALIZED (
     SELECT id_a, id_b, k / (a.n + b.n - k) AS similarity
     FROM (SELECT x.id AS id_a, y.id AS id_b, count(*)::DOUBLE AS k FROM sh x JOIN sh y ON x.s = y.s AND x.id < y.id GROUP BY ALL)
     JOIN size a ON a.id = id_a JOIN size b ON b.id = id_b WHERE k / (a.n + b.n - k) >= 0.9)"""
@@ -429,10 +464,10 @@ def secret_shaped_values(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", has_shape(F.col("text"), SECRETS).alias("shape")).where("shape is not null")
 
 
-@query(f"SELECT page_id, {_bank(QUOTE_EXCLUSIONS)} AS shape FROM (SELECT page_id, html AS text FROM pages) WHERE shape IS NOT NULL")
+@query(f"SELECT page_id, {_bank(QUOTE_EXCLUSIONS)} AS shape FROM (SELECT page_id, url AS text FROM pages) WHERE shape IS NOT NULL")
 def quote_exclusions(spark, sf_dir):
     """Texts that can't be quotes."""
-    return table(spark, sf_dir, "pages").select("page_id", has_shape(F.col("html"), QUOTE_EXCLUSIONS).alias("shape")).where("shape is not null")
+    return table(spark, sf_dir, "pages").select("page_id", has_shape(F.col("url"), QUOTE_EXCLUSIONS).alias("shape")).where("shape is not null")
 
 
 @query("SELECT b.item_id AS quote_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")
@@ -567,6 +602,13 @@ def leftover_symbols(spark, sf_dir):
     return audit.leftovers(_mapped(spark, sf_dir), _decls(spark, sf_dir)).select("target", "symbol")
 
 
+@query("SELECT symbol, path, count(*) AS n FROM (SELECT doc_id AS path, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS symbol FROM documents) WHERE symbol IN (SELECT string_split(text, ' ')[1] FROM benchmark) GROUP BY ALL")
+def leftover_mentions(spark, sf_dir):
+    """Files that still name moved symbols."""
+    symbols = table(spark, sf_dir, "benchmark").select(F.get(F.split("text", " "), F.lit(0)).alias("symbol"))
+    return audit.leftover_mentions(symbols, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
+
+
 @query("SELECT 1 AS plan, r_regionkey AS step, r_regionkey + 3 AS stated, coalesce(n, 0) AS moved, coalesce(n, 0) = r_regionkey + 3 AS ok FROM region LEFT JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY ALL) ON n_regionkey = r_regionkey")
 def step_tally(spark, sf_dir):
     """Moved symbols against the number stated."""
