@@ -57,12 +57,14 @@ def verbatim(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
     q = quotes.where("quote <> ''").withColumn("w", words(F.col("quote")))
     inner = q.where(F.size("w") > 2).select("quote_id", "quote", F.explode(F.slice("w", F.lit(2), F.size("w") - 2)).alias("word"))
-    occurring = texts.select("id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    occurring = texts.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
     counts = occurring.select("word").join(inner.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rarest = inner.join(counts, "word", "left").groupBy("quote_id", "quote").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).where("r.n > 0")
     keyed = rarest.select("quote_id", "quote", F.col("r.word").alias("word"))
-    long_ones = occurring.join(keyed, "word").where(F.contains("text", "quote")).select("quote_id", "id")
+    # Ids alone are exploded and met; the few texts that are candidates come in afterwards.
+    candidates = occurring.join(keyed, "word").select("id", "quote_id", "quote").distinct()
+    long_ones = candidates.join(texts.select("id", "text"), "id").where(F.contains("text", "quote")).select("quote_id", "id").distinct()
     short = q.where(F.size("w") <= 2).select("quote_id", "quote")
     if short.isEmpty():
         return long_ones
-    return long_ones.unionByName(texts.join(F.broadcast(short), F.contains("text", "quote")).select("quote_id", "id"))
+    return long_ones.unionByName(texts.join(F.broadcast(short), F.contains("text", "quote")).select("quote_id", "id").distinct())
