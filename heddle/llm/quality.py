@@ -124,7 +124,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 
     Labels other than 0 and 1, null ids and ids without a document are passed over.
     """
-    spark = docs.sparkSession
     order = [F.xxhash64(id_column), F.col(id_column), F.col(label)]
     some = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).select(id_column, label).orderBy(*order).limit(limit)
     # `limit` rows at most, so that this broadcast has a fixed bound.
@@ -138,7 +137,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     known = rows.select(id_column, label, terms("_text").alias("x")).orderBy(*order).limit(limit).toPandas()
     if not len(known):
         return Voters(*[np.zeros(0, np.float32)] * 4)
-    del spark
     return fit_voters(np.stack(known["x"]).astype(np.float64), known[label].to_numpy())
 
 
