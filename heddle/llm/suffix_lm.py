@@ -7,30 +7,37 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from hashlib import md5
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.plans.storage import materialize
 
 #: The word after the last; real words are never empty.
 END = b""
-#: The tree's alphabet: END, the commonest words, and classes of all other words by their last two bytes.
+#: The alphabet of the bounded tree (`grow`), which the operator doesn't use: END, the commonest words, and classes of all other words by their last two bytes.
 SYMBOLS, CLASSES = 1_024, 256
 FREQUENT = SYMBOLS - CLASSES - 1
 SHIFT = 10
 MAX_DEPTH = 3
-#: A context may be retained if it makes up more than one in MAX_CONTEXTS of all training
-#: positions, so a depth has fewer contexts than that at any corpus size.
+#: A context may be retained if it comes MIN_COUNT times; in the bounded tree it must also make
+#: up more than one in MAX_CONTEXTS of all training positions.
 MAX_CONTEXTS, MIN_COUNT = 3_000, 20
 #: Words whose counts all workers hold; others are looked up by a join. The limit bounds the
 #: broadcast, and as these are the commonest words, none of the joined words is frequent.
 HELD_WORDS = 65_536
 #: Different words that a worker counts before it passes the counts on, and bytes of text split at once.
 COUNTED_WORDS, PIECE_BYTES = 200_000, 2_000_000
+#: Positions that a worker combines before it passes their counts on, cells whose part in the score all
+#: workers hold (the others are looked up by a join), and bits of the filter of retained contexts. A full
+#: filter lets all contexts through to the joins; it never decides what is retained.
+COUNTED_CELLS, HELD_CELLS, FILTER_BITS = 1_000_000, 262_144, 1 << 26
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -282,41 +289,235 @@ def grow(docs: DataFrame, text: str, lex: Lexicon, depth: int = MAX_DEPTH) -> Tr
     return Tree(codes_by, rows_by, np.log10(np.maximum(np.stack(probs), 1e-300)).astype(np.float32))
 
 
-def score_texts(docs: DataFrame, text: str, lex: Lexicon, tree: Tree) -> DataFrame:
-    """One row (row, word null) with sums per text, and one (row, word) for each token whose count isn't held.
+# --- the tree over all words, in tables ---------------------------------------------------
+
+
+def word_hash(word: bytes) -> int:
+    """The first 60 bits of a word's MD5: its symbol in the tables."""
+    return int.from_bytes(md5(word).digest()[:8], "big") >> 4
+
+
+def _word_hash(word: str) -> Column:
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def cell_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Key of each context with the word behind it."""
+    return mixed(contexts * np.uint64(0x9E3779B97F4A7C15) + words)
+
+
+def contexts_before(words: np.ndarray, usable: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(context, valid) before each position from MAX_DEPTH on, by depth; END may only be the oldest word of one."""
+    n = len(words) - MAX_DEPTH
+    code, valid = np.zeros(n, np.uint64), np.ones(n, bool)
+    for j in range(1, MAX_DEPTH + 1):
+        w = words[MAX_DEPTH - j : MAX_DEPTH - j + n]
+        code = mixed(code * np.uint64(0xD6E8FEB86659FD93) + w + np.uint64(j))
+        valid = valid & usable[MAX_DEPTH - j : MAX_DEPTH - j + n]
+        yield code, valid
+        valid = valid & (w != np.uint64(word_hash(END)))
+
+
+@dataclass
+class Reader:
+    """Turns tokens into words' hashes. What isn't held is hashed anew, with a bounded memory of the last ones."""
+
+    hashes: np.ndarray
+    usable: np.ndarray
+    number: dict[bytes, int]
+    recent: dict[bytes, int]
+
+    @classmethod
+    def of(cls, lex: Lexicon, rest_usable: bool) -> Reader:
+        """The reader of a lexicon: words that come MIN_COUNT times may be in contexts, those not held if any of them does."""
+        hashes = np.array([word_hash(w) for w in lex.number] + [0], np.uint64)
+        return cls(hashes, np.append(lex.count >= MIN_COUNT, rest_usable), lex.number, {})
+
+    def read(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(held number or -1, hash, whether it may be in a context) of each token."""
+        held = np.fromiter(map(self.number.get, tokens, repeat(-1)), np.int32, len(tokens))
+        out = self.hashes[held]
+        for i in np.flatnonzero(held < 0).tolist():
+            w = tokens[i]
+            h = self.recent.get(w)
+            if h is None:
+                if len(self.recent) >= COUNTED_WORDS:
+                    self.recent.clear()
+                h = self.recent[w] = word_hash(w)
+            out[i] = h
+        return held, out, self.usable[held]
+
+
+@dataclass
+class Filter:
+    """Bits of fixed number that tell which contexts can't be retained; a join settles the others."""
+
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, contexts: DataFrame) -> Filter:
+        """The filter of a table's contexts. At most FILTER_BITS / 64 rows reach the driver."""
+        at = F.explode(F.array(*[F.shiftrightunsigned("ctx", k).bitwiseAND(FILTER_BITS - 1) for k in (0, 32)]))
+        rows = contexts.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toPandas()
+        out = np.zeros(FILTER_BITS // 64, np.uint64)
+        out[rows["place"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+        return cls(out)
+
+    def may_have(self, contexts: np.ndarray) -> np.ndarray:
+        """False only for contexts that aren't in the table."""
+        out = np.ones(len(contexts), bool)
+        for k in (0, 32):
+            at = (contexts >> np.uint64(k)) & np.uint64(FILTER_BITS - 1)
+            out &= (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def count_cells(docs: DataFrame, text: str, reader: Reader, shorter: Filter | None, depth: int) -> DataFrame:
+    """(key, ctx, shorter_key, n): what follows the contexts of a depth in all of `docs`, counted piecewise.
+
+    `shorter_key` is the key of the same word behind the context without its
+    oldest word; at depth 1, the word's hash.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((reader, shorter))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, shorter = shared.value
+        carry = np.full(MAX_DEPTH, word_hash(END), np.uint64), np.ones(MAX_DEPTH, bool)
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, ctx, before = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            keys, first, n = np.unique(key, return_index=True, return_counts=True)
+            for a in range(0, len(keys), 65_536):
+                some = slice(a, a + 65_536)
+                yield pa.RecordBatch.from_arrays([_signed(keys[some]), _signed(ctx[first[some]]), _signed(before[first[some]]), pa.array(n[some])], names=["key", "ctx", "shorter_key", "n"])
+
+        for b in batches:
+            for tokens, _ in pieces(_binary(b, 0)):
+                _, words, usable = reader.read(tokens)
+                words, usable = np.concatenate([carry[0], words]), np.concatenate([carry[1], usable])
+                carry = words[-MAX_DEPTH:], usable[-MAX_DEPTH:]
+                levels = list(contexts_before(words, usable))
+                ctx, valid = levels[depth - 1]
+                at = np.flatnonzero(valid)
+                if depth > 1:
+                    at = at[shorter.may_have(levels[depth - 2][0][at])]
+                after = words[MAX_DEPTH:][at]
+                found.append((cell_keys(ctx[at], after), ctx[at], after if depth == 1 else cell_keys(levels[depth - 2][0][at], after)))
+                if sum(len(f[0]) for f in found) > COUNTED_CELLS:
+                    yield from flush()
+        if found:
+            yield from flush()
+
+    return docs.select(text).mapInArrow(count, "key long, ctx long, shorter_key long, n long")
+
+
+def grow_tables(docs: DataFrame, text: str, counts: DataFrame, reader: Reader, norm: float, depth: int = MAX_DEPTH) -> list[DataFrame]:
+    """Retained cells by depth (key, ctx, n, p, gain10, back10), learned from all of `docs`.
+
+    Every word is a symbol and every context that comes MIN_COUNT times is
+    tested, so both grow with the corpus. Smoothing and the test are those of
+    `grow`. gain10 is log10 of a word's probability behind the context over that
+    behind the shorter one; back10 is the same for words never seen behind it.
+    """
+    shorter_p = counts.where("n > 0").select(_word_hash("word").alias("shorter_key"), ((F.col("n") + 0.5) / F.lit(norm)).alias("shorter_p"))
+    out: list[DataFrame] = []
+    shorter = None
+    for d in range(1, depth + 1):
+        w = W.partitionBy("ctx")
+        cells = count_cells(docs, text, reader, shorter, d).repartition("ctx").groupBy("ctx", "key", "shorter_key").agg(F.sum("n").alias("n"))
+        cells = cells.withColumns({"all": F.sum("n").over(w), "t": F.count(F.lit(1)).over(w)}).where(F.col("all") >= MIN_COUNT)
+        # A context whose shorter one isn't retained finds none of its cells here.
+        cells = materialize(cells.join(shorter_p, "shorter_key"), "lm-cells")
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("shorter_p")))
+        kept = cells.groupBy("ctx").agg(gain.alias("gain"), F.first("all").alias("all"), F.first("t").alias("t")).where(F.col("gain") > 0.5 * F.col("t") * F.log("all")).select("ctx")
+        p = (F.col("n") + F.col("t") * F.col("shorter_p")) / (F.col("all") + F.col("t"))
+        level = cells.join(kept, "ctx", "left_semi").withColumn("p", p)
+        level = materialize(level.select("key", "ctx", "n", "p", F.log10(F.col("p") / F.col("shorter_p")).alias("gain10"), F.log10(F.col("t") / (F.col("all") + F.col("t"))).alias("back10")), "lm-level")
+        out.append(level)
+        shorter = Filter.of(level.select("ctx").distinct())
+        shorter_p = level.select(F.col("key").alias("shorter_key"), F.col("p").alias("shorter_p"))
+    return out
+
+
+def lookups(levels: list[DataFrame]) -> DataFrame:
+    """(key, n, inside, ahead): what a cell or a context adds to the score of a training text, and of a held-out one.
+
+    In training texts every word was seen behind its contexts, so the cell has
+    all. In others the context has the part for unseen words, the cell the rest.
+    """
+    every = reduce(DataFrame.unionByName, levels)
+    cells = every.select("key", "n", F.col("gain10").alias("inside"), (F.col("gain10") - F.col("back10")).alias("ahead"))
+    return cells.unionByName(every.groupBy(F.col("ctx").alias("key")).agg(F.sum("n").alias("n"), F.lit(0.0).alias("inside"), F.first("back10").alias("ahead")))
+
+
+def score_texts(docs: DataFrame, text: str, lex: Lexicon, reader: Reader, table: DataFrame, retained: Filter) -> DataFrame:
+    """One row with sums per text, one (row, word) for each token whose count isn't held, one (row, key) for each lookup that isn't.
 
     Ids go along with their texts, so that a row's number is only ever used
     within the table that this makes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((lex, tree))
-    names = ["row", "word", "id", "held_out", "n_tokens", "n_known", "base", "score"]
-    schema = f"row long, word binary, id {docs.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double"
+    top = table.orderBy(F.desc("n"), "key").limit(HELD_CELLS).toPandas().sort_values("key")
+    held_cells = tuple(top[c].to_numpy() for c in ("key", "inside", "ahead"))
+    whole = table.count() <= HELD_CELLS
+    shared = docs.sparkSession.sparkContext.broadcast((reader, lex.count, retained, held_cells))
+    names = ["row", "word", "key", "id", "held_out", "n_tokens", "n_known", "base", "gain"]
+    schema = f"row long, word binary, key long, id {docs.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, gain double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, tree = shared.value
-        log_count = np.append(np.log10(lex.count + 0.5), 0.0)
-        known = np.append(lex.count > 0, False)
-        log_mass = np.concatenate([np.zeros(FREQUENT + 1), np.log10(lex.class_mass)])
-        within = np.where(np.arange(len(log_count)) < lex.alone, 0.0, log_count)  # a word's share of its class, before the class's mass
-        finders = tree.finders()
-        carry = np.zeros(MAX_DEPTH, np.int32)
+        reader, counts, retained, (keys, inside, ahead) = shared.value
+        log_count = np.append(np.log10(counts + 0.5), 0.0)
+        known = np.append(counts > 0, False)
+        carry = np.full(MAX_DEPTH, word_hash(END), np.uint64), np.ones(MAX_DEPTH, bool)
         for b in batches:
             rows = b.column(1).to_numpy(zero_copy_only=False)
+            out = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
             sums = np.zeros((4, len(rows)))
+
+            def more(row: np.ndarray, word: pa.Array | None, key: pa.Array | None, flag: pa.Array | None) -> pa.RecordBatch:
+                n = len(row)
+                none = [pa.nulls(n, b.column(2).type), *[pa.nulls(n, pa.int64())] * 2, *[pa.nulls(n, pa.float64())] * 2]  # noqa: B023
+                own = [word if word is not None else pa.nulls(n, pa.binary()), key if key is not None else pa.nulls(n, pa.int64())]
+                return pa.RecordBatch.from_arrays([pa.array(row), *own, none[0], flag if flag is not None else pa.nulls(n, pa.bool_()), *none[1:]], names=names)
+
             for tokens, owner in pieces(_binary(b, 0)):
-                held, symbol = lex.encode(tokens)
-                s = np.concatenate([carry, symbol])
-                carry = s[-MAX_DEPTH:]
-                p = tree.logs[tree.states(s, finders), symbol] + within[held] - log_mass[symbol]
-                for k, x in enumerate((None, known[held], log_count[held], p)):
+                held, own, usable = reader.read(tokens)
+                words, usable = np.concatenate([carry[0], own]), np.concatenate([carry[1], usable])
+                carry = words[-MAX_DEPTH:], usable[-MAX_DEPTH:]
+                for k, x in enumerate((None, known[held], log_count[held])):
                     sums[k] += np.bincount(owner, x, minlength=len(rows))
                 rare = np.flatnonzero(held < 0)
                 if len(rare):
-                    n = len(rare)
-                    none = [pa.nulls(n, b.column(2).type), pa.nulls(n, pa.bool_()), *[pa.nulls(n, pa.int64())] * 2, *[pa.nulls(n, pa.float64())] * 2]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner[rare]]), pa.array([tokens[i] for i in rare.tolist()], pa.binary()), *none], names=names)
-            whole = [*(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(len(rows), pa.binary()), b.column(2), b.column(3), *whole], names=names)
+                    yield more(rows[owner[rare]], pa.array([tokens[i] for i in rare.tolist()], pa.binary()), None, None)
+                for ctx, valid in contexts_before(words, usable):
+                    at = np.flatnonzero(valid)
+                    at = at[retained.may_have(ctx[at])]
+                    unseen = at[out[owner[at]]]
+                    for wanted, of in ((cell_keys(ctx[at], own[at]), at), (ctx[unseen], unseen)):
+                        if not len(of):
+                            continue
+                        wanted = wanted.view(np.int64)
+                        place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+                        hit = keys[place] == wanted if len(keys) else np.zeros(len(of), bool)
+                        o = owner[of]
+                        value = np.where(out[o[hit]], ahead[place[hit]], inside[place[hit]])
+                        sums[3] += np.bincount(o[hit], value, minlength=len(rows))
+                        if not whole and not hit.all():
+                            yield more(rows[o[~hit]], None, pa.array(wanted[~hit]), pa.array(out[o[~hit]]))
+            total = [*(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64()), b.column(2), b.column(3), *total], names=names)
 
     return docs.select(text, "row", "id", "held_out").mapInArrow(score, schema)
 
@@ -330,32 +531,36 @@ def suffix_tree_scores(df: DataFrame, id_column: str = "doc_id", text: str = "te
     """Every row of `df` scored by a tree that its training rows teach.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score and score:
-    log10 probabilities under the smoothed word counts and under the tree. The
-    tree gives the next symbol (a frequent word, the end, or a class of words);
-    within its class a word has its share of the smoothed counts. Null, empty and
-    blank texts are the end alone; repeated rows are counted and scored as often
-    as they come; texts of any length are read in pieces. Without training rows
-    nothing is known and every token has its smoothed probability. Other columns
-    are left out, whatever their names.
+    log10 probabilities under the smoothed word counts and under the tree, whose
+    symbols are all words and whose contexts are all that come MIN_COUNT times
+    and diverge. Null, empty and blank texts are the end alone; repeated rows are
+    counted and scored as often as they come; texts of any length are read in
+    pieces. Without training rows nothing is known and every token has its
+    smoothed probability. Other columns are left out, whatever their names.
     """
     docs = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), held_out(id_column).alias("held_out"))
     counts = materialize(count_words(docs.select("t", (~F.col("held_out")).alias("training")), "t", "training"), "lm-words")
     lex = lexicon(counts)
-    tree = grow(docs.where(~F.col("held_out")), "t", lex, depth)
-    both = materialize(score_texts(docs.withColumn("row", F.monotonically_increasing_id()), "t", lex, tree), "lm-scores")
+    reader = Reader.of(lex, counts.where(F.col("n") >= MIN_COUNT).count() > int((lex.count >= MIN_COUNT).sum()))
+    norm = lex.train_tokens + 0.5 * (lex.vocabulary + 1)
+    levels = grow_tables(docs.where(~F.col("held_out")), "t", counts, reader, norm, depth)
+    table = materialize(lookups(levels), "lm-lookups")
+    retained = Filter.of(reduce(DataFrame.unionByName, levels).select("ctx").distinct())
+    both = materialize(score_texts(docs.withColumn("row", F.monotonically_increasing_id()), "t", lex, reader, table, retained), "lm-scores")
     rare = both.where("word is not null").select("row", "word").join(counts.select("word", "n"), "word", "left")
     n = F.coalesce("n", F.lit(0))
     more = rare.groupBy("row").agg(F.sum(F.log10(n + 0.5)).alias("log_counts"), F.count_if(n > 0).alias("more_known"))
-    out = both.where("word is null").drop("word").join(more, "row", "left")
-    add = F.coalesce("log_counts", F.lit(0.0))
-    norm = float(np.log10(lex.train_tokens + 0.5 * (lex.vocabulary + 1)))
+    found = both.where("key is not null").select("row", "key", "held_out").join(table.drop("n"), "key")
+    gains = found.groupBy("row").agg(F.sum(F.when(F.col("held_out"), F.col("ahead")).otherwise(F.col("inside"))).alias("more_gain"))
+    out = both.where("word is null and key is null").drop("word", "key").join(more, "row", "left").join(gains, "row", "left")
+    base = F.col("base") + F.coalesce("log_counts", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(norm)))
     out = out.select(
         F.col("id").alias(id_column),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(lex.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + add - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        (F.col("score") + add).alias("score"),
+        base.alias("base_score"),
+        (base + F.col("gain") + F.coalesce("more_gain", F.lit(0.0))).alias("score"),
     )
     return out

@@ -98,3 +98,53 @@ def test_nothing_to_learn(spark):
     got = lm.suffix_tree_scores(df).collect()
     assert [(r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got] == [(0, 0, 0.0)] * 2
     assert lm.suffix_tree_scores(df.limit(0)).count() == 0
+
+
+def brute_scores(rows):
+    """The tree over all words, by dictionaries."""
+    c = Counter(w for i, t in rows if not out(i) for w in tokens(t))
+    norm = sum(c.values()) + 0.5 * (len(c) + 1)
+    after = {}
+    before = lambda s, i: [tuple(s[i - d : i]) for d in range(1, lm.MAX_DEPTH + 1) if i >= d and b"" not in s[i - d + 1 : i]]
+    for i, t in rows:
+        s = [b"", *tokens(t)]
+        for k in range(1, len(s)) if not out(i) else ():
+            for x in before(s, k):
+                after.setdefault(x, Counter())[s[k]] += 1
+    kept = {}
+
+    def p(x, w):
+        if not x:
+            return (c[w] + 0.5) / norm
+        a = after[x]
+        return (a[w] + len(a) * p(x[1:], w)) / (a.total() + len(a))
+
+    def keep(x):
+        if x not in kept:
+            a = after.get(x, Counter())
+            n = a.total()
+            kept[x] = n >= lm.MIN_COUNT and (len(x) == 1 or keep(x[1:])) and sum(k * math.log(k / n / p(x[1:], w)) for w, k in a.items()) > 0.5 * len(a) * math.log(n)
+        return kept[x]
+
+    scores = []
+    for i, t in rows:
+        s, total = [b"", *tokens(t)], 0.0
+        for k in range(1, len(s)):
+            state = [x for x in before(s, k) if keep(x)]
+            total += math.log10(p(state[-1] if state else (), s[k]))
+        scores.append((str(i), round(total, 5)))
+    return sorted(scores), {x: after[x].total() for x in kept if kept[x]}
+
+
+@pytest.mark.parametrize("held, cells", [(65_536, 262_144), (10, 5)])
+def test_all_words_and_contexts_against_brute_force(spark, monkeypatch, held, cells):
+    monkeypatch.setattr(lm.lexicon, "__defaults__", (held,))
+    monkeypatch.setattr(lm, "HELD_CELLS", cells)
+    # over MIN_COUNT * MAX_CONTEXTS tokens, where the count asked for used to rise with the corpus
+    rows = corpus(3_000, 1) + [(i, "zq1 zq2") for i in range(10_000, 10_026)]
+    want, kept = brute_scores(rows)
+    got = lm.suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert lm.MIN_COUNT <= kept[b"zq1",] < sum(r.n_tokens for r in got if not r.held_out) / lm.MAX_CONTEXTS
+    have = sorted((str(r.doc_id), r.score) for r in got)
+    assert [i for i, _ in have] == [i for i, _ in want]
+    assert all(abs(a - b) < 1e-4 for (_, a), (_, b) in zip(have, want))
