@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.decontaminate import contamination
-from heddle.llm.mixing import mix
+from heddle.llm.mixing import all_positions, mix
 from heddle.llm.quality import quality_scores
 from heddle.llm.simhash import one_per_component
 from heddle.plans.storage import materialize
@@ -36,13 +36,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their repeats, in the order of training.
+    """The documents that the mix takes, in the order of their first copies, with the positions of all copies.
 
     A document that is cut at its source's target counts `taken` words; one that
     the mix doesn't reach leaves.
     """
     mixed = mix(docs).where(F.col("taken") > 0)
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "position")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", all_positions().alias("positions"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing)]

@@ -40,6 +40,29 @@ def invert_schedule(demand: Column, knots: tuple[tuple[float, float], ...]) -> C
     return out
 
 
+def position_at(met: Column, schedules: tuple) -> Column:
+    """Training time at which a source of the row's `schedule` has met a share of its demand."""
+    return F.coalesce(*[F.when(F.col("schedule") == i, invert_schedule(met, k)) for i, k in enumerate(schedules)])
+
+
+def all_positions(schedules: tuple = SCHEDULES) -> Column:
+    """Of a row of `mix`: the position of each copy, the cut one last.
+
+    A copy of pass k (from 0) stands behind k whole passes of its source and the
+    words before its row: at demand (k * source_size + before) / words.
+    """
+    n = F.col("copies") + (F.col("cut") > 0).cast("long")
+    place = lambda k: F.round(position_at((k * F.col("source_size") + F.col("before")) / F.col("words"), schedules), 9)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), place)).otherwise(F.array().cast("array<double>"))
+
+
+def placed_copies(mixed: DataFrame, id_column: str = "doc_id", schedules: tuple = SCHEDULES) -> DataFrame:
+    """One row for each copy that `mix` takes, range-sorted by its position, with its pass (from 0) and the words taken of it."""
+    copies = mixed.select(id_column, "source", "size", "copies", "cut", F.posexplode(all_positions(schedules)).alias("pass", "position"))
+    words = F.when(F.col("pass") < F.col("copies"), F.col("size")).otherwise(F.col("cut"))
+    return copies.select(id_column, "source", "size", "pass", words.alias("taken"), "position").repartitionByRange("position", id_column, "pass").sortWithinPartitions("position", id_column, "pass")
+
+
 def fill_targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """Adds `target` to (source_size, weight): shares of the total size by weight, none above max_repeats * source_size.
 
@@ -66,7 +89,9 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     Adds size (words), source_size, target, copies (times that the row is taken
     as a whole), cut (words of one more copy, cut at the source's target),
     taken = copies * size + cut, and position (0 to 1; null if nothing is taken):
-    the training time of its first word. Within a source the rows follow the MD5
+    the training time of its first copy's first word. From before (the source's
+    words ahead of it in a pass), words (the source's rounded target) and
+    schedule, `all_positions` and `placed_copies` place each copy. Within a source the rows follow the MD5
     of their ids. Words before a row are its source's demand met before it;
     inverting the integral of the source's weight schedule gives the position.
     No row is taken more than MAX_REPEATS times. Texts without words have size
@@ -89,8 +114,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     rest = F.col("words") - whole * F.col("source_size")
     rows = rows.withColumn("cut", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))))
     rows = rows.withColumn("taken", F.col("copies") * F.col("size") + F.col("cut"))
-    met = F.col("before") / F.col("words")
-    position = F.coalesce(*[F.when(F.col("schedule") == i, invert_schedule(met, k)) for i, k in enumerate(schedules)])
+    position = position_at(F.col("before") / F.col("words"), schedules)
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, F.round(position, 9)))
-    rows = materialize(rows.select(F.col("id").alias(id_column), "source", "size", "source_size", "target", "copies", "cut", "taken", "position"), "mix-rows")
+    rows = materialize(rows.select(F.col("id").alias(id_column), "source", "size", "source_size", "target", "copies", "cut", "taken", "position", "before", "words", "schedule"), "mix-rows")
     return rows.repartitionByRange("position", id_column).sortWithinPartitions("position", id_column)

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.llm.mixing import SCHEDULES, fill_targets, invert_schedule, mix
+from heddle.llm.mixing import SCHEDULES, fill_targets, invert_schedule, mix, placed_copies
 
 
 def brute(docs):
@@ -85,3 +85,19 @@ def test_targets_need_no_driver_loop_over_sources(spark):
     s = spark.createDataFrame([(1, 100), (2, 1), (3, 1000)], "weight long, source_size long")
     got = {r.weight: r.target for r in fill_targets(s).collect()}
     assert got == {1: 274.5, 2: 3.0, 3: 823.5}
+
+
+def test_every_copy_has_its_position(spark):
+    docs = [(i, "a b", "a") for i in range(4)] + [(i, "w " * 10, "hot") for i in range(10, 110)] + [(200, "x y z", "z"), (201, None, "z")]
+    mixed = mix(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    rows = placed_copies(mixed).collect()
+    assert [x.position for x in rows] == sorted(x.position for x in rows)
+    taken = {}
+    for x in rows:
+        taken[x.doc_id] = taken.get(x.doc_id, 0) + x.taken
+    assert taken == {x.doc_id: x.taken for x in mixed.collect() if x.taken}
+    # a level schedule over three passes of four documents of two words each
+    assert [(x["pass"], x.position) for x in rows if x.source == "a"] == [(k // 4, round(k * 2 / 24, 9)) for k in range(12)]
+    # the third schedule falls from 2 to 0.5: the last pass of the only document starts where two thirds are met
+    last = [x.position for x in rows if x.source == "z"]
+    assert len(last) == 3 and last[0] == 0 and abs(last[2] - 0.5) < 1e-8

@@ -75,3 +75,9 @@ def test_odd_documents(spark):
     for docs in (odd, odd.where(F.lit(False))):
         for _, f in p.STAGES:
             docs = p.materialize(f(spark, docs, SF), "test-stage")
+
+
+def test_the_mix_places_every_copy(spark):
+    docs = [(i, "a b", None, "a", 3) for i in range(4)] + [(i, "w " * 10, None, "hot", 20) for i in range(10, 110)]
+    got = p.mixing(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    assert sorted(x for r in got.where("source = 'a'").collect() for x in r.positions) == [round(k / 12, 9) for k in range(12)]
