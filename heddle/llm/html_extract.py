@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +20,8 @@ TRAINING_PAGES, EPOCHS, BATCH_PAGES, RATE, SEED = 9_000, 6, 16, 0.006, 7
 DECAY = 0.02
 #: Share of training pages whose words are hidden, so that the labeller doesn't lean on them.
 HIDDEN_WORDS = 0.75
-#: Blocks of one page that are labelled together; a longer page is labelled in overlapping parts.
-PART_BLOCKS, OVERLAP_BLOCKS = 1_024, 64
+#: Blocks of one page that are held as vectors at once; a longer page is read in parts, with the states carried on.
+PART_BLOCKS = 1_024
 BATCH_BLOCKS = 8_192
 
 
@@ -39,10 +39,11 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return out
 
 
-def block_vectors(blocks: list[Block], paths: dict, words: dict) -> np.ndarray:
-    """One row per block: tag path, words, and shape of the text."""
-    out = np.zeros((len(blocks), PATHS + WORDS + SHAPE), np.float32)
-    for i, b in enumerate(blocks):
+def block_vectors(blocks: list[Block], paths: dict, words: dict, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """One row per block from start to stop of a page: tag path, words, and shape of the text."""
+    some = blocks[start:stop]
+    out = np.zeros((len(some), PATHS + WORDS + SHAPE), np.float32)
+    for i, b in enumerate(some):
         p = paths.get(b.path)
         if p is None:
             if len(paths) > 20_000:
@@ -69,8 +70,8 @@ def block_vectors(blocks: list[Block], paths: dict, words: dict) -> np.ndarray:
             sum(map(b.text.count, ",.")) / n * 10,
             n > 200,
             len(own) < 4,
-            i / len(blocks),
-            (len(blocks) - i) / len(blocks),
+            (start + i) / len(blocks),
+            (len(blocks) - start - i) / len(blocks),
             min(len(b.path), 12) / 12,
         )
     return out
@@ -102,12 +103,12 @@ class Labeller:
         w["b"] = np.zeros(1, np.float32)
         return Labeller(w)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States of one direction over (time, page, feature); where the mask is 0 the state stays 0."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """States of one direction over (time, page, feature), the tape and the last (h, c); where the mask is 0 the state stays 0."""
         w = self.weights
         n = w[f"h{d}"].shape[0]
         z0 = x @ w[f"x{d}"] + w[f"c{d}"]
-        h = c = np.zeros((x.shape[1], n), np.float32)
+        h, c = start or (np.zeros((x.shape[1], n), np.float32),) * 2
         out, tape = np.zeros((*x.shape[:2], n), np.float32), []
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             z = z0[t] + h @ w[f"h{d}"]
@@ -121,7 +122,7 @@ class Labeller:
             out[t] = h
             if keep:
                 tape.append((t, i, f, o, g, m, before, tc))
-        return out, tape
+        return out, tape, (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Log odds of main text for (time, page)."""
@@ -129,6 +130,27 @@ class Labeller:
         both = np.concatenate([self._run(x, mask, d, False)[0] for d in "fb"], axis=2)
         return (both @ w["o"] + x @ w["s"])[..., 0] + w["b"][0]
 
+    def long_logits(self, blocks: int, part: Callable[[int, int], np.ndarray]) -> np.ndarray:
+        """`logits` of one page of any length from part(start, stop), its blocks' vectors, of which PART_BLOCKS are asked for at once.
+
+        Each direction goes over the parts in its own order and carries its state
+        on. Of a block only its sum stays.
+        """
+        w = self.weights
+        n = w["hf"].shape[0]
+        out = np.full(blocks, w["b"][0], np.float32)
+        starts = range(0, blocks, PART_BLOCKS)
+        for d, own, order in (("f", w["o"][:n], starts), ("b", w["o"][n:], reversed(starts))):
+            state = None
+            for a in order:
+                b = min(blocks, a + PART_BLOCKS)
+                x = part(a, b)[:, None]
+                h, _, state = self._run(x, np.ones(x.shape[:2], np.float32), d, False, state)
+                out[a:b] += (h @ own)[:, 0, 0]
+                if d == "f":
+                    out[a:b] += (x @ w["s"])[:, 0, 0]
+        return out
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean cross-entropy, by backpropagation through time."""
         w = self.weights
@@ -412,23 +434,23 @@ def train(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED) -
 
 def label_pages(net: Labeller, pages: list[np.ndarray]) -> list[np.ndarray]:
     """Which blocks of each page are main text."""
-    parts: list[tuple[int, int, int, np.ndarray]] = []
-    for k, p in enumerate(pages):
-        for at in range(0, len(p), PART_BLOCKS):
-            a, b = max(0, at - OVERLAP_BLOCKS), min(len(p), at + PART_BLOCKS + OVERLAP_BLOCKS)
-            parts.append((k, at, a, p[a:b]))
-    parts.sort(key=lambda q: len(q[3]))
     out = [np.zeros(len(p), bool) for p in pages]
+    short = []
+    for k, p in enumerate(pages):
+        if len(p) > PART_BLOCKS:
+            out[k] = net.long_logits(len(p), lambda a, b: p[a:b]) > 0  # noqa: B023
+        elif len(p):
+            short.append(k)
+    short.sort(key=lambda k: len(pages[k]))
     at = 0
-    while at < len(parts):
+    while at < len(short):
         n = 1
-        while at + n < len(parts) and (n + 1) * len(parts[at + n][3]) <= BATCH_BLOCKS:
+        while at + n < len(short) and (n + 1) * len(pages[short[at + n]]) <= BATCH_BLOCKS:
             n += 1
-        group = parts[at : at + n]
-        logits = net.logits(*padded([q[3] for q in group]))
-        for j, (k, start, a, _) in enumerate(group):
-            stop = min(len(pages[k]), start + PART_BLOCKS)
-            out[k][start:stop] = logits[start - a : stop - a, j] > 0
+        group = short[at : at + n]
+        logits = net.logits(*padded([pages[k] for k in group]))
+        for j, k in enumerate(group):
+            out[k] = logits[: len(pages[k]), j] > 0
         at += n
     return out
 
@@ -452,7 +474,10 @@ def extract_main(net: Labeller, htmls: list[str | None]) -> list[str]:
 
     for i, h in enumerate(htmls):
         own = cut_blocks(h)
-        if own:
+        if len(own) > PART_BLOCKS:
+            keep = net.long_logits(len(own), lambda a, b: block_vectors(own, paths, words, a, b)) > 0  # noqa: B023
+            out[i] = " ".join(b.text for b, k in zip(own, keep) if k)
+        elif own:
             some.append(i)
             blocks.append(own)
             vectors.append(block_vectors(own, paths, words))

@@ -82,6 +82,27 @@ def test_long_pages_are_labelled_in_parts(net):
     assert text.startswith("Paragraph 0") and text.endswith("Paragraph 2999 has some words.") and text.count("Paragraph") == 3000
 
 
+def test_long_pages_are_labelled_as_a_whole(net, monkeypatch):
+    rng = np.random.default_rng(4)
+    far = Labeller.fresh(rng, 5, 3)
+    for d in "fb":
+        far.weights[f"c{d}"][3:6] = 12.0  # forgets nothing
+    pages = [rng.normal(size=(n, 5)).astype(np.float32) for n in (3, 1_025, 2_600)]
+    for p, got in zip(pages, label_pages(far, pages)):
+        whole = far.logits(*padded([p]))[:, 0]
+        assert np.allclose(far.long_logits(len(p), lambda a, b: p[a:b]), whole, atol=1e-3)
+        sure = abs(whole) > 1e-3
+        assert (got == (whole > 0))[sure].all()
+    # a page's text is the same whether it is read in parts or at once
+    html = "<div>" + "".join(m.page() for m in [Maker(5)] for _ in range(60)) + "</div>"
+    blocks = cut_blocks(html)
+    assert len(blocks) > 1_024
+    at_once = block_vectors(blocks, {}, {})
+    assert np.array_equal(at_once[700:900], block_vectors(blocks, {}, {}, 700, 900))
+    logits = net.logits(*padded([at_once]))[:, 0]
+    assert extract_main(net, [html])[0] == " ".join(b.text for b, x in zip(blocks, logits) if x > 0)
+
+
 def test_training_repeats(net):
     small = [train(40, 1, 3).weights["o"].copy()]
     from heddle.llm import html_extract
