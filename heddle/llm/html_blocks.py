@@ -15,8 +15,12 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: Fixed values of HTML: elements without an end tag, elements whose content is no text of
 #: the page, elements whose tags don't end a run of text, and end tags that a start tag implies.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object head title textarea select datalist audio video canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SILENT = frozenset("script style template svg iframe title textarea select datalist audio video canvas".split())
+#: Of these, the ones that go to the end of the page without an end tag.
+ENDLESS = frozenset(("script", "style"))
+_MATH = "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded mphantom semantics annotation"
+INLINE = frozenset(f"a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr {_MATH}".split())
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in SILENT}
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -100,12 +104,13 @@ def marks(attributes: str) -> str:
 def cut_blocks(html: str | None) -> list[Block]:
     """The page's runs of text in page order, white space made single spaces; any input gives some result.
 
-    Scripts, styles and other silent elements are skipped up to their end tag,
-    or to the end of the page without one. A tag that the page's end cuts off is
-    dropped.
+    Scripts, styles and other silent elements are skipped up to their end tag;
+    without one, scripts and styles to the end of the page, of others the tag
+    alone. A head has no text but that of silent elements, so it needs no end. A
+    tag that the page's end cuts off is dropped.
     """
     c, html, at = _Cutter(), html or "", 0
-    lower = None
+    unclosed: set[str] = set()
     while at < len(html):
         lt = html.find("<", at)
         if lt < 0:
@@ -128,22 +133,20 @@ def cut_blocks(html: str | None) -> list[Block]:
         if m[1]:
             c.close(name)
             continue
+        if name == "head":
+            c.cut()
+            continue
         if name in SILENT:
             if not m[3].rstrip().endswith("/"):
-                if lower is None:
-                    lower = html.lower()
-                    if len(lower) != len(html):  # a few letters change their length
-                        lower = "".join(x if len(x.lower()) != 1 else x.lower() for x in html)
-                end = lower.find(f"</{name}", at)
-                if name == "head":
-                    body = lower.find("<body", at)
-                    end = body if body >= 0 and (end < 0 or body < end) else end
-                if end < 0:
+                c.cut()
+                end = None if name in unclosed else _END[name].search(html, at)
+                if end is not None:
+                    stop = html.find(">", end.end())
+                    at = len(html) if stop < 0 else stop + 1
+                elif name in ENDLESS:
                     break
-                if name not in INLINE:
-                    c.cut()
-                stop = html.find(">", end)
-                at = end if name == "head" and lower.startswith("<body", end) else (len(html) if stop < 0 else stop + 1)
+                else:
+                    unclosed.add(name)  # nor has any later one an end
             continue
         c.open(name, m[3])
     c.cut()

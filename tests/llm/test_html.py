@@ -28,6 +28,20 @@ def test_blocks():
     assert [b.path for b in cut_blocks('<body><div class="SiteFooter x-2" id=k><p>t')] == [("body", "div.site.footer.x.2.k", "p")]
 
 
+def test_nothing_is_lost_behind_open_ends():
+    assert texts("<html><head><title>T</title><article><p>a</p><header>h</header></article>") == ["a", "h"]
+    assert texts("<head><meta name=x><link href=y><style>p{}</style><script>1</script><p>a</p></HEADER>b") == ["a", "b"]
+    assert texts("<HEAD><title>t</title></HEAD><body>b") == ["b"]
+    assert texts("<title>t<p>a") == ["t", "a"]
+    for tag in ("svg", "iframe", "object", "noscript", "math", "select"):
+        assert texts(f"<p>a</p><{tag}><p>b</p>c") == ["a", "b", "c"]
+    assert texts("<title>t</titles></title >b<script>a</scripted>b</SCRIPT\n>c") == ["b", "c"]
+    assert texts("<p>with <math><mi>x</mi><mo>+</mo><mn>1</mn></math> too</p>") == ["with x+1 too"]
+    assert texts("<object data=x><p>o</p></object><noscript><p>n</p></noscript>") == ["o", "n"]
+    assert texts("<p>a</p><script>b") == texts("<p>a</p><style>b") == ["a"]
+    assert texts("<svg>" * 20_000 + "a") == ["a"]
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<<>>", "</p></p>", "<script>", "<!--", "&#xD800;&#99999999;&bogus;", "<p" * 500, "<div>" * 3000 + "x", "\x00<p>\ud83d</p>"])
 def test_odd_pages_do_not_fail(net, html):
     assert isinstance(extract_main(net, [html])[0], str)
