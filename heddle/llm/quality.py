@@ -120,12 +120,13 @@ def vote(x: np.ndarray, voters: Voters, neighbours: int = NEIGHBOURS) -> np.ndar
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", limit: int = MAX_LABELLED) -> Voters:
-    """Voters from a bounded sample: of the labelled rows, the `limit` whose ids hash lowest.
+    """Voters from a bounded sample: of the labels that have a document, the `limit` whose ids hash lowest.
 
     Labels other than 0 and 1, null ids and ids without a document are passed over.
     """
     order = [F.xxhash64(id_column), F.col(id_column), F.col(label)]
-    some = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).select(id_column, label).orderBy(*order).limit(limit)
+    valid = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).select(id_column, label)
+    some = valid.join(docs.select(id_column), id_column, "left_semi").orderBy(*order).limit(limit)
     # `limit` rows at most, so that this broadcast has a fixed bound.
     rows = docs.select(F.col(id_column), F.col(text).alias("_text")).join(F.broadcast(some), id_column)
 

@@ -68,6 +68,13 @@ def test_odd_rows(spark):
     assert quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_labels_without_documents_take_no_place(spark):
+    docs, labels = frames(spark, texts(60))
+    more = labels.unionByName(spark.createDataFrame([(i, 1, 0) for i in range(1_000, 3_000)], "doc_id long, quality int, toxic int"))
+    a, b = learn(docs, labels, limit=40), learn(docs, more, limit=40)
+    assert len(b.labels) == 40 and np.array_equal(a.labels, b.labels) and np.allclose(a.vectors, b.vectors, atol=1e-5)
+
+
 def test_the_fit_is_bounded(spark):
     docs, labels = frames(spark, texts(100))
     assert len(learn(docs, labels, limit=10).labels) == 10
