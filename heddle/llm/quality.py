@@ -19,20 +19,22 @@ SHAPES, WORDS = 512, 512
 WORD_WEIGHT = 0.25
 DIMENSIONS = 64
 NEIGHBOURS = 24
-#: A neighbour's vote weighs its cosine to this power.
+#: A neighbour's vote weighs its cosine to this power, a power of two.
 SHARPNESS = 8
 #: Score of texts without words, and of all texts if there are no labels.
 UNKNOWN = 0.5
 #: Documents in one block of cosine products.
 BLOCK_DOCS = 512
 CACHED_WORDS = 400_000
+#: Vectors are whole multiples of 1 / GRID. Their products and sums stay far below 2**53, so doubles
+#: hold them exactly, and a text's cosines are the same in a block of any shape.
+GRID = float(1 << 20)
 
 
 @dataclass
 class Voters:
-    """What scoring needs; its size depends on the parameters only."""
+    """What scoring needs, in units of 1 / GRID; its size depends on the parameters only."""
 
-    weight: np.ndarray
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
@@ -79,27 +81,36 @@ def term_counts(text: str | None, known: dict[str, tuple[int, int]]) -> np.ndarr
 
 
 def vectors(texts: list[str | None]) -> np.ndarray:
-    """One row of damped, normalised term counts per text; zeros without words."""
+    """One row of damped, normalised term counts per text, in units of 1 / GRID; zeros without words."""
     known: dict[str, tuple[int, int]] = {}
-    out = np.zeros((len(texts), SHAPES + WORDS), np.float32)
+    out = np.zeros((len(texts), SHAPES + WORDS), np.int32)
     for i, t in enumerate(texts):
         if (c := term_counts(t, known)) is not None:
-            x = np.sqrt(c)
-            out[i, :SHAPES] = x[:SHAPES] / np.linalg.norm(x[:SHAPES])
-            out[i, SHAPES:] = x[SHAPES:] * (WORD_WEIGHT / np.linalg.norm(x[SHAPES:]))
+            # Roots of the counts, each part divided by its length: the root of the counts' sum.
+            out[i, :SHAPES] = np.rint(np.sqrt(c[:SHAPES] / c[:SHAPES].sum()) * GRID)
+            out[i, SHAPES:] = np.rint(np.sqrt(c[SHAPES:] / c[SHAPES:].sum()) * (WORD_WEIGHT * GRID))
     return out
 
 
+def places(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors of the rows of `x` on the axes, in units of 1 / GRID; zeros where a row has no part on them."""
+    z = np.rint(x.astype(np.float64) @ axes / GRID)
+    norm = np.sqrt((z * z).sum(axis=1))[:, None]
+    return np.rint(z / np.where(norm > 0, norm, 1) * GRID)
+
+
 def fit_voters(x: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Voters:
     """Latent-semantic axes of the labelled rows (a truncated SVD of their weighted terms) and the rows' places on them."""
     df = (x > 0).sum(axis=0)
     weight = np.where(df > 0, np.log((1 + len(x)) / (1 + df)) + 1, 0)
-    y = x * weight
-    _, axes = np.linalg.eigh(y.T @ y)
-    axes = axes[:, ::-1][:, :dimensions]
-    places = y @ axes
-    norm = np.linalg.norm(places, axis=1, keepdims=True)
-    return Voters(weight.astype(np.float32), axes.astype(np.float32), (places / np.where(norm > 0, norm, 1)).astype(np.float32), labels.astype(np.float32))
+    gram = np.zeros((x.shape[1],) * 2)
+    for a in range(0, len(x), BLOCK_DOCS):
+        y = x[a : a + BLOCK_DOCS].astype(np.float64)
+        gram += y.T @ y  # whole numbers
+    _, axes = np.linalg.eigh(gram / GRID**2 * weight * weight[:, None])
+    axes = np.rint(axes[:, ::-1][:, :dimensions] * weight[:, None] * GRID)
+    found = [places(x[a : a + BLOCK_DOCS], axes) for a in range(0, len(x), BLOCK_DOCS)]
+    return Voters(axes, np.concatenate(found), labels.astype(np.float64))
 
 
 def vote(x: np.ndarray, voters: Voters, neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -109,13 +120,14 @@ def vote(x: np.ndarray, voters: Voters, neighbours: int = NEIGHBOURS) -> np.ndar
     out = np.empty(len(x))
     k = min(neighbours, len(voters.labels))
     for a in range(0, len(x), BLOCK_DOCS):
-        z = (x[a : a + BLOCK_DOCS] * voters.weight) @ voters.axes
-        norm = np.linalg.norm(z, axis=1)
-        cos = (z / np.where(norm > 0, norm, 1)[:, None]) @ voters.vectors.T
+        cos = places(x[a : a + BLOCK_DOCS], voters.axes) @ voters.vectors.T
         least = np.partition(cos, len(voters.labels) - k, axis=1)[:, -k][:, None]
-        w = np.where((cos >= least) & (cos > 0), cos, 0).astype(np.float64) ** SHARPNESS
+        w = np.where((cos >= least) & (cos > 0), cos / GRID**2, 0)
+        power = 1
+        while power < SHARPNESS:  # by squaring, as that rounds alike everywhere
+            w, power = w * w, 2 * power
         total = w.sum(axis=1)
-        out[a : a + BLOCK_DOCS] = np.where(total > 0, (w @ voters.labels) / np.where(total > 0, total, 1), UNKNOWN)
+        out[a : a + BLOCK_DOCS] = np.where(total > 0, (w * voters.labels).sum(axis=1) / np.where(total > 0, total, 1), UNKNOWN)
     return np.clip(out, 0.0, 1.0)
 
 
@@ -130,15 +142,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     # `limit` rows at most, so that this broadcast has a fixed bound.
     rows = docs.select(F.col(id_column), F.col(text).alias("_text")).join(F.broadcast(some), id_column)
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")
     def terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(list(vectors(list(s))))
+            yield pd.Series([v.tobytes() for v in vectors(list(s))], dtype="object")
 
-    known = rows.select(id_column, label, terms("_text").alias("x")).orderBy(*order).limit(limit).toPandas()
-    if not len(known):
-        return Voters(*[np.zeros(0, np.float32)] * 4)
-    return fit_voters(np.stack(known["x"]).astype(np.float64), known[label].to_numpy())
+    # Vectors reach the driver as bytes: 4 KB a row.
+    known = rows.select(id_column, label, terms("_text").alias("x")).orderBy(*order, "x").limit(limit).collect()
+    if not known:
+        return Voters(np.zeros((SHAPES + WORDS, 0)), np.zeros((0, 0)), np.zeros(0))
+    x = np.stack([np.frombuffer(r["x"], np.int32) for r in known])
+    return fit_voters(x, np.array([r[label] for r in known]))
 
 
 def score_column(docs: DataFrame, voters: Voters, text: str = "text") -> Column:
@@ -163,9 +177,11 @@ def held_out(id_column: str = "doc_id") -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with held_out, score and predicted.
 
-    The score depends on the text alone. Texts without words score UNKNOWN, as
-    do all texts if nothing is labelled. Repeated rows score alike; other
-    columns stay (columns of these three names are replaced).
+    The score depends on the text and the labelled sample alone: equal texts
+    have equal scores in any order, batch and partition. Null, empty and blank
+    texts score UNKNOWN, as do all texts if nothing is labelled; texts of any
+    length are read whole. No documents: no rows. Other columns stay (columns of
+    these three names are replaced).
     """
     voters = learn(docs, labels.where(~held_out(id_column)), id_column, text)
     scored = docs.withColumns({"held_out": held_out(id_column), "score": score_column(docs, voters, text)})
