@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,26 +21,41 @@ OVERLAP_CHARS = 256
 MARGIN_CHARS = 32
 #: Characters handed to the library at once, which bounds its memory.
 BATCH_CHARS = 1_000_000
+#: Pieces of text whose counts a worker remembers, and characters of the longest of them.
+KNOWN_PIECES, PIECE_CHARS = 400_000, 48
+#: A space with something else than white space behind it, and one without.
+_CUT, _NO_CUT = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
 
 _LOADED: dict = {}
 
 
-def load_tokenizer(path: str | None):
+class Counts:
+    """A tokenizer with what is known of its counts."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, processors
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        #: Strings that are tokens before any rule is applied; texts that hold one aren't cut.
+        self.whole = tuple(t["content"] for t in own["added_tokens"])
+        before = own["pre_tokenizer"] or {}
+        self.cuts = not own["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not own["model"].get("dropout")
+        self.known: dict[str, int] = {}
+
+
+def load_tokenizer(path: str | None = None) -> Counts:
     """The tokenizer of a .json file, as the library reads it but for truncation and padding; offsets keep white space."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _LOADED:
-        from tokenizers import Tokenizer, processors
-
         if path is None:
             import public_tokenizers
 
-            t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        else:
-            t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        t.post_processor = processors.ByteLevel(trim_offsets=False)
-        _LOADED[path] = t
+        _LOADED[path] = Counts(path or public_tokenizers.path("byte_bpe_50k.json"))
     return _LOADED[path]
 
 
@@ -83,42 +101,80 @@ def count_huge(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OV
     return total + len(left.ids)
 
 
-def count_batch(tokenizer, texts: list[str], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
-    """Tokens of each text; bounded memory for any mix of lengths."""
-    out = [0] * len(texts)
-    batch: list[int] = []
+def pieces(text: str) -> list[str]:
+    """A text cut before each space that has no white space behind it, without these spaces.
+
+    A byte-level pre-tokenizer always has a boundary there: only a run of white
+    space reaches past a space, and such a run leaves its last one to the word
+    behind it. So the pieces' tokens (but for the first, with their spaces) are
+    the text's. In the same way any of the pieces may stand behind any other.
+    """
+    return _CUT.split(text) if _NO_CUT.search(text) else text.split(" ")
+
+
+def count_short(counts: Counts, texts: list[str]) -> list[int]:
+    """Tokens of each text by its pieces: those that come again are encoded once, the others of a text together."""
+    cut = [pieces(t) for t in texts]
+    known = counts.known
+    fresh: Counter = Counter()
+    for parts in cut:
+        fresh.update(p for p in parts[1:] if p not in known)
+    again = [p for p, n in fresh.items() if n > 1 and len(p) <= PIECE_CHARS]
+    if len(known) + len(again) > KNOWN_PIECES:
+        known.clear()
+    library = counts.tokenizer
+    for p, e in zip(again, library.encode_batch_fast([f" {p}" for p in again], add_special_tokens=False)):
+        known[p] = len(e)
+    out, rest = [], []
+    for parts in cut:
+        found = list(map(known.get, parts[1:]))
+        if None in found:
+            rest.append(" ".join([parts[0], *[p for p, n in zip(parts[1:], found) if n is None]]))
+            out.append(sum(n for n in found if n is not None))
+        else:
+            rest.append(parts[0])
+            out.append(sum(found))
+    return [n + len(e) for n, e in zip(out, library.encode_batch_fast(rest, add_special_tokens=False))]
+
+
+def count_batch(counts: Counts, texts: list[str], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
+    """Tokens of each text; bounded memory for any mix of lengths. Texts that come again in the batch are counted once."""
+    found: dict[str, int] = {}
+    batch: list[str] = []
     size = 0
 
     def flush() -> None:
         nonlocal size
-        for i, e in zip(batch, tokenizer.encode_batch_fast([texts[i] for i in batch], add_special_tokens=False)):
-            out[i] = len(e)
+        whole = [t for t in batch if not counts.cuts or any(w in t for w in counts.whole)]
+        found.update(zip(whole, map(len, counts.tokenizer.encode_batch_fast(whole, add_special_tokens=False))))
+        cut = [t for t in batch if t not in found]
+        found.update(zip(cut, count_short(counts, cut)))
         batch.clear()
         size = 0
 
-    for i, text in enumerate(texts):
+    for text in dict.fromkeys(texts):
         if len(text) > chunk:
-            out[i] = count_huge(tokenizer, text, chunk, overlap)
-        elif text:
+            found[text] = count_huge(counts.tokenizer, text, chunk, overlap)
+        else:
             if size + len(text) > BATCH_CHARS:
                 flush()
-            batch.append(i)
+            batch.append(text)
             size += len(text)
     flush()
-    return out
+    return [found[t] for t in texts]
 
 
 def token_count(text: str | Column, path: str | None = None, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
     """Number of tokens of a text column; null and empty texts have 0.
 
     Rows are independent, so repeated rows and ties are counted alike, and any
-    other columns stay as they are. Nothing is shuffled.
+    other columns stay as they are. No rows: no rows. Nothing is shuffled.
     """
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = load_tokenizer(path)
+        counts = load_tokenizer(path)
         for s in batches:
-            yield pd.Series(count_batch(t, [x or "" for x in s], chunk, overlap), dtype="int64")
+            yield pd.Series(count_batch(counts, [x or "" for x in s], chunk, overlap), dtype="int64")
 
     return tokens(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
