@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.operators.skew import global_rank
-from heddle.plans.storage import materialize
+from heddle.plans.storage import materialize, shared_path
 
 #: Plans run from moves to extractions.
 PATTERN_ORDER = ("pure move", "unit move", "block extraction")
@@ -69,20 +69,24 @@ def plan_order(plans: DataFrame) -> DataFrame:
     return global_rank(plans.withColumn("_kind", kind), [F.col("_kind"), F.col("difficulty"), F.col("plan")], "place").drop("_kind")
 
 
-def plan_levels(nodes: DataFrame, depends: DataFrame, most: int = 100) -> DataFrame:
+def plan_levels(nodes: DataFrame, depends: DataFrame) -> DataFrame:
     """(id, level) in dependency order: level 0 depends on nothing, others on a lower level only.
 
     One round per level: nodes whose dependencies (id, needs) all have a level
-    get the next one. Nodes on a cycle, or behind one, get none.
+    get the next one, until a round finds none. Nodes on a cycle, or behind one,
+    and those that need an unknown node's level get none.
     """
-    open_nodes = materialize(nodes.select("id").distinct(), "plan-open")
-    edges = depends.select("id", "needs").distinct()
-    done = None
-    for level in range(most):
-        waits = edges.join(open_nodes.withColumnRenamed("id", "needs"), "needs", "left_semi").select("id").distinct()
-        ready = materialize(open_nodes.join(waits, "id", "left_anti").withColumn("level", F.lit(level)), "plan-level")
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.unionByName(ready)
-        open_nodes = materialize(open_nodes.join(ready.select("id"), "id", "left_anti"), "plan-open")
-    return done if done is not None else nodes.select("id").where("false").withColumn("level", F.lit(0))
+    spark, path = nodes.sparkSession, shared_path(nodes.sparkSession, "plan-levels")
+    every = materialize(nodes.select("id").where("id is not null").distinct(), "plan-nodes")
+    edges = materialize(depends.select("id", "needs").where("id is not null and needs is not null").distinct().join(every.withColumnRenamed("id", "needs"), "needs", "left_semi"), "plan-edges")
+    done = spark.createDataFrame([], every.withColumn("level", F.lit(0)).schema)
+    found, level = True, 0
+    while found:
+        waits = edges.join(done.select(F.col("id").alias("needs")), "needs", "left_anti").select("id")
+        ready = every.join(done.select("id"), "id", "left_anti").join(waits, "id", "left_anti")
+        # Levels share one folder, so that the plan doesn't grow with their number.
+        ready.withColumn("level", F.lit(level)).write.mode("append").parquet(path)
+        done = spark.read.schema(done.schema).parquet(path)
+        found = not done.where(F.col("level") == level).isEmpty()
+        level += 1
+    return done

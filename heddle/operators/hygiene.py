@@ -75,12 +75,21 @@ def superseded(facts: DataFrame) -> DataFrame:
 
     A fact is superseded if any strictly later fact of the same subject and
     predicate has another object. Different objects at the same time are a
-    conflict: proposed, never invalidated.
+    conflict: proposed, never invalidated. Null objects neither replace nor are
+    replaced. Aggregations decide it: a later other object exists if the latest
+    object, or for that object the latest of all others, is later.
     """
-    w = W.partitionBy("subject", "predicate").orderBy(F.unix_micros(F.col("at").cast("timestamp")))
-    later, equal = w.rangeBetween(1, W.unboundedFollowing), w.rangeBetween(0, 0)
-    differs = lambda frame: (F.min("object").over(frame) != F.col("object")) | (F.max("object").over(frame) != F.col("object"))
-    return facts.withColumns({"superseded": F.coalesce(differs(later), F.lit(False)), "conflict": F.coalesce(differs(equal), F.lit(False))})
+    own = facts.withColumns({"_key": F.to_json(F.struct("subject", "predicate"), {"ignoreNullFields": "false"}), "_at": F.unix_micros(F.col("at").cast("timestamp"))})
+    last = own.where("object is not null").groupBy("_key", "object").agg(F.max("_at").alias("last"))
+    first = last.groupBy("_key").agg(F.max(F.struct("last", "object")).alias("first"))
+    second = lookup_join(last, first, "_key").where(F.col("object") != F.col("first.object")).groupBy("_key").agg(F.max("last").alias("second"))
+    marked = lookup_join(lookup_join(own, first, "_key"), second, "_key")
+    later = F.when(F.col("object") == F.col("first.object"), F.col("second")).otherwise(F.col("first.last"))
+    moment = F.concat_ws("@", "_key", F.coalesce(F.col("_at").cast("string"), F.lit("")))
+    same = own.where("object is not null").groupBy(moment.alias("_moment")).agg(F.min("object").alias("_least"), F.max("object").alias("_most")).where("_least <> _most").select("_moment", F.lit(True).alias("_differ"))
+    out = lookup_join(marked.withColumn("_moment", moment), same, "_moment")
+    flags = [F.coalesce(F.col("_at") < later, F.lit(False)).alias("superseded"), (F.col("object").isNotNull() & F.coalesce("_differ", F.lit(False))).alias("conflict")]
+    return out.select(*[F.col(f"`{c}`") for c in facts.columns], *flags)
 
 
 def timeline(facts: DataFrame) -> DataFrame:

@@ -120,7 +120,8 @@ def tokens(text: str, language: str) -> list[Token]:
         if c.isspace():
             kind = ""
         elif text.startswith("//", at):
-            kind, end = "", text.find("\n", at) if "\n" in text[at:] else len(text)
+            stop = text.find("\n", at)
+            kind, end = "", len(text) if stop < 0 else stop
         elif text.startswith("/*", at):
             kind, depth, end = "", 1, at + 2
             while depth and end < len(text):

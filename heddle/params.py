@@ -27,6 +27,7 @@ class Limits:
     run_splits: int = 5
     run_reconnects: int = 10
     cluster_searches: int = 6
+    search_hits: int = 6
     description_chars: int = 500
     technical_chars: int = 900
 

@@ -406,14 +406,14 @@ def _mutations(spark, sf_dir):
     split = hygiene.bloated(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.lit(3).alias("phase"), F.lit("split").alias("op"), F.col("id").alias("target_id"), F.lit(None).cast("long").alias("replaced_by"), F.col("n_chars").cast("double").alias("priority"))
     found = table(spark, sf_dir, "documents")
     groups = duplicates.exact_groups(found, "doc_id", "text")
-    copies = found.select("doc_id", F.md5("text").alias("text_md5")).join(groups, "text_md5").where("doc_id <> canonical_id and doc_id < 100")
+    copies = found.select("doc_id", F.md5("text").alias("text_md5")).join(groups, "text_md5").where("doc_id <> canonical_id")
     merge = copies.select(F.lit(1).alias("phase"), F.lit("merge").alias("op"), F.col("doc_id").alias("target_id"), F.col("canonical_id").alias("replaced_by"), F.lit(1.0).alias("priority"))
     return hygiene.budgeted([merge, decay, split])
 
 
 MUTATIONS = """(SELECT *, row_number() OVER (ORDER BY phase, priority DESC, target_id, op) AS place FROM (
     SELECT 1 AS phase, 'merge' AS op, doc_id AS target_id, c AS replaced_by, 1.0::DOUBLE AS priority
-    FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS c FROM documents) WHERE doc_id <> c AND doc_id < 100
+    FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS c FROM documents) WHERE doc_id <> c
     UNION ALL SELECT 2, 'decay', doc_id, NULL, toxic::DOUBLE FROM labels WHERE quality = 0
     UNION ALL (SELECT 3, 'split', doc_id, NULL, length(text)::DOUBLE FROM documents WHERE length(text) > 750 ORDER BY length(text) DESC, doc_id LIMIT 5))
     QUALIFY place <= 25)"""
@@ -531,7 +531,7 @@ def _categories() -> str:
 
 
 @query(
-    f"""WITH r AS (SELECT doc_id AS id, coalesce([{_categories()}][doc_id % 12 + 1], 'Other') AS category, left(text, 600) AS description, (doc_id % 5 - 2) / 1.6 AS sentiment, (doc_id % 11) / 9.0 AS exposure FROM documents)
+    f"""WITH r AS (SELECT doc_id AS id, coalesce([{_categories()}][doc_id % 12 + 1], 'Other') AS category, text AS description, (doc_id % 5 - 2) / 1.6 AS sentiment, (doc_id % 11) / 9.0 AS exposure FROM documents)
     SELECT id, array_to_string(list_filter([CASE WHEN category IN ({_categories()}) THEN NULL ELSE 'category' END, CASE WHEN sentiment BETWEEN -1 AND 1 THEN NULL ELSE 'sentiment' END,
       CASE WHEN exposure BETWEEN 0 AND 1 THEN NULL ELSE 'exposure' END, CASE WHEN length(description) <= CASE WHEN category = 'Technical' THEN 900 ELSE 500 END THEN NULL ELSE 'description_length' END],
       lambda x: x IS NOT NULL), ',') AS broken FROM r WHERE broken <> ''"""
@@ -540,7 +540,7 @@ def record_contract_violations(spark, sf_dir):
     """Records that break the judge's contract."""
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     kinds = F.array(*map(F.lit, CATEGORIES))
-    r = d.select(i.alias("id"), F.coalesce(F.get(kinds, (i % 12).cast("int")), F.lit("Other")).alias("category"), F.substring("text", 1, 600).alias("description"), ((i % 5 - 2) / F.lit(1.6)).alias("sentiment"), ((i % 11) / F.lit(9.0)).alias("exposure"))
+    r = d.select(i.alias("id"), F.coalesce(F.get(kinds, (i % 12).cast("int")), F.lit("Other")).alias("category"), F.col("text").alias("description"), ((i % 5 - 2) / F.lit(1.6)).alias("sentiment"), ((i % 11) / F.lit(9.0)).alias("exposure"))
     return judge.violations(r, judge.record_rules()).select("id", "broken")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,10 +14,15 @@ _OWN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder: `spark.checkpoint.dir`, or a folder of our own where that is unset (tests on one machine)."""
+    """The cluster's shared folder: `spark.checkpoint.dir`, or a folder of our own where that is unset on one machine.
+
+    On a cluster executors would each write to their own disk, so there it has to be set.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="heddle-")

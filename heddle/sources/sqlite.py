@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import sqlite3
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ THREADS = "id string, rollout_path string, title string, first_user_message stri
 
 
 class SQLiteReader(DataSourceReader):
-    """One read-only scan; columns that the table lacks are null, an unreadable file has no rows."""
+    """One read-only scan; columns that the table lacks are null, an unreadable file has no rows, and a note in the log."""
 
     def __init__(self, schema: StructType, options: dict) -> None:
         self.names, self.path, self.table = schema.names, options["path"], options["table"]
@@ -26,8 +27,8 @@ class SQLiteReader(DataSourceReader):
                 have = {r[1] for r in db.execute(f"PRAGMA table_info({quoted(self.table)})")}
                 if have:
                     yield from db.execute(f"SELECT {', '.join(quoted(n) if n in have else 'NULL' for n in self.names)} FROM {quoted(self.table)}")
-        except sqlite3.Error:
-            return
+        except sqlite3.Error as e:
+            logging.getLogger(__name__).warning("%s can't be read, it gives no rows: %s", self.path, e)
 
 
 class SQLiteSource(DataSource):
