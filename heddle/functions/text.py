@@ -21,7 +21,12 @@ QUOTE_EXCLUSIONS = (
     ("path", r"(^|\s)(/[A-Za-z0-9._\-]+){2,}"),
     ("uuid", r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),
     ("config_key", r"\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b"),
+    ("self_talk", r"(?i)^\s*(I.ll (start|begin) by|let me (help|start|check|look)|I notice (that )?I)"),
+    ("apology", r"(?i)(you.re absolutely right|\bI apologi[sz]e\b)"),
+    *SECRETS,
 )
+#: What doesn't belong in a relationship profile: numbers (tickets, dates, sprints), addresses and links.
+NOT_PROFILE = r"[0-9#@]|https?://"
 
 
 def trimmed(c: Column) -> Column:

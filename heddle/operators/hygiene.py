@@ -13,21 +13,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.operators.skew import lookup_join
+from heddle.operators.store import beside
 from heddle.params import LIMITS
 
 
 def merged(members: DataFrame, cluster: str = "cluster_id") -> DataFrame:
-    """One record per cluster of (exposure, strength, sentiment, category, at, detail).
+    """One record per cluster of (exposure, strength, sentiment, category, at, detail, name).
 
     Exposure and strength take the highest, sentiment the average, category the
-    commonest (ties: the newest, then the name), details are the union. All are
-    aggregations: categories are counted first, so that no cluster is gathered.
+    commonest (ties: the newest, then the name), the name the commonest (ties:
+    the longest, then the first), details are the union: each different one,
+    sorted, none lost. All are aggregations: categories, names and details are
+    made single first, so that only what a record holds is gathered.
     """
     kinds = members.groupBy(cluster, "category").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("newest"))
     best = kinds.where(F.col("category").isNotNull()).groupBy(cluster).agg(F.min_by("category", F.struct(-F.col("n"), -F.unix_micros(F.col("newest").cast("timestamp")), F.col("category"))).alias("category"))
+    called = members.where("name is not null").groupBy(cluster, "name").agg(F.count(F.lit(1)).alias("n"))
+    name = called.groupBy(cluster).agg(F.min_by("name", F.struct(-F.col("n"), -F.char_length("name"), F.col("name"))).alias("name"))
     numbers = members.groupBy(cluster).agg(F.max("exposure").alias("exposure"), F.max("strength").alias("strength"), F.round(F.avg("sentiment"), 6).alias("sentiment"), F.count(F.lit(1)).alias("n_merged"))
-    details = members.select(cluster, "detail").distinct().groupBy(cluster).agg(F.count("detail").alias("n_details"))
-    return numbers.join(best, cluster, "left").join(details, cluster, "left")
+    details = members.select(cluster, "detail").distinct().groupBy(cluster).agg(F.count("detail").alias("n_details"), F.array_sort(F.collect_list("detail")).alias("details"))
+    return numbers.join(best, cluster, "left").join(name, cluster, "left").join(details, cluster, "left")
 
 
 def canonical(members: DataFrame, references: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -63,6 +68,11 @@ def decayed(items: DataFrame, value: str, protected: str, notch: float = LIMITS.
     return items.where(~F.coalesce(F.col(protected), F.lit(False))).withColumn(value, F.round(F.greatest(F.lit(floor), F.col(value) - notch), 6))
 
 
+def expiring(items: DataFrame, trivia: str, as_of: Column, days: int = LIMITS.stale_days) -> DataFrame:
+    """Of stale items those of trivia grade (a boolean column), with the time at which they expire; they are never deleted."""
+    return items.where(F.coalesce(F.col(trivia), F.lit(False))).withColumn("expires_at", as_of + F.expr(f"interval {days} days"))
+
+
 def bloated(items: DataFrame, id_column: str, text: str, chars: int = LIMITS.bloat_chars, splits: int = LIMITS.run_splits) -> DataFrame:
     """The longest items over the line, with their place; ties to the smaller id. A top-k, so nothing else is sorted."""
     n = F.char_length(text)
@@ -137,3 +147,10 @@ def store_stats(items: DataFrame, store: str, removed: DataFrame) -> DataFrame:
     gone = removed.select(F.col("target_id").alias("id")).distinct().withColumn("gone", F.lit(1))
     marked = lookup_join(items.select("id", store), gone, "id")
     return marked.groupBy(store).agg(F.count(F.lit(1)).alias("n_before"), F.count_if(F.col("gone").isNull()).alias("n_after"))
+
+
+def full_report(done: DataFrame, removals: DataFrame, phases: DataFrame, limit: int = LIMITS.run_mutations) -> DataFrame:
+    """`report` with the removals that are proposed, executed and deferred (outcome), and the phases that were skipped for want of a capability (phase, runs, missing)."""
+    outcome = lambda name: F.count_if(F.col("outcome") == name).alias(f"n_{name}")
+    skipped = F.array_join(F.array_sort(F.collect_set(F.when(~F.col("runs"), F.concat("phase", F.lit(": "), "missing")))), "; ")
+    return beside(beside(report(done, limit), removals.agg(*map(outcome, ("proposed", "executed", "deferred")))), phases.agg(skipped.alias("skipped")))

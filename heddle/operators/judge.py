@@ -12,6 +12,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.operators.store import description_cap
 from heddle.params import CATEGORIES, LIMITS
 
 
@@ -89,3 +90,15 @@ def merge_rules() -> dict[str, Column]:
 def split_rules() -> dict[str, Column]:
     """Contract of a split decision (keeps_original, n_subjects, n_new, changed): the original stays; without subjects nothing changes."""
     return {"original": F.col("keeps_original"), "no_subjects": (F.col("n_subjects") > 0) | ((F.col("n_new") == 0) & ~F.col("changed"))}
+
+
+def discipline_rules() -> dict[str, Column]:
+    """Contract of a description's length by kind (category, n_sentences)."""
+    return {"sentences": F.col("n_sentences") <= description_cap(F.col("category"))}
+
+
+def payload(items: DataFrame, kind: str) -> DataFrame:
+    """What a judge is sent of records: of people name, description and relationship alone, of others all but vectors."""
+    if kind == "person":
+        return items.select("id", "name", "description", "relationship")
+    return items.select(*[f"`{f.name}`" for f in items.schema.fields if f.dataType.typeName() != "array" or f.dataType.elementType.typeName() not in ("float", "double")])

@@ -81,7 +81,24 @@ def description_cap(category: Column) -> Column:
     return out
 
 
-def diary_line(report: DataFrame) -> DataFrame:
-    """One line on the health of the store, from a run's report."""
+def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """`rows` with the columns of a table of one row."""
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+def diary(report: DataFrame, notable: DataFrame, sentences: int = 6) -> DataFrame:
+    """(text): the diary entry of a run, 2 to 6 sentences: how much was added, the names of the latest records (name, at), and the health of the store."""
+    top = notable.where("name is not null").orderBy(F.desc("at"), "name").limit(sentences - 2)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.unix_micros(F.col("at").cast("timestamp")), "name"))), lambda x: F.concat(F.lit(" New: "), x["name"], F.lit("."))), "")
+    added = notable.agg(F.count(F.lit(1)).alias("n"))
     parts = [F.concat(F.lit(f"{n} "), F.col(f"n_{n}").cast("string")) for n in ("merge", "decay", "split", "invalidate", "reconnect")]
-    return report.select(F.concat(F.lit("Garden health: "), F.concat_ws(", ", *parts), F.lit("; resume at "), F.col("resume_point"), F.lit(".")).alias("text"))
+    health = F.concat(F.lit(" Garden health: "), F.concat_ws(", ", *parts), F.lit("; resume at "), F.col("resume_point"), F.lit("."))
+    both = beside(beside(report, added), top.agg(listed.alias("listed")))
+    return both.select(F.concat(F.lit("The interval brought "), F.col("n").cast("string"), F.lit(" records."), "listed", health).alias("text"))
+
+
+def diary_records(entry: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """(store, kind, text, tags): the entry for each store (store, capability): a diary entry, or where there is no diary a tagged memory."""
+    have = capabilities.groupBy("store").agg(F.max(F.col("capability") == "diary").alias("diary"))
+    kind = F.when(F.col("diary"), "diary").otherwise("memory")
+    return beside(have, entry).select("store", kind.alias("kind"), "text", F.when(F.col("diary"), F.array().cast("array<string>")).otherwise(F.array(F.lit("garden-summary"))).alias("tags"))

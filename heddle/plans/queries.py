@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.text import QUOTE_EXCLUSIONS, SECRETS, has_shape, qualified_id, title_from_path
-from heddle.operators import audit, duplicates, hygiene, inventory, judge, matching, sessions, store, vectors
+from heddle.operators import audit, curation, duplicates, hygiene, inventory, judge, matching, sessions, store, vectors
 from heddle.params import CATEGORIES
-from heddle.plans.samples import SOURCES, STORE1
+from heddle.plans.samples import SOURCES, STORE1, STORE2, STORE3, THREADS
 from heddle.plans.storage import materialize, shared_path
+from heddle.sources import sqlite, stores
 from heddle.sources.stores import project_store
 from heddle.streaming.sessions import drain_sessions, event_stream
 
@@ -263,28 +264,32 @@ def duplicate_clusters(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PAIRS},
+    f"""WITH {PAIRS.replace(">= 0.9", ">= 0.4")},
     s AS (SELECT CASE WHEN id_a % 2 = 1 THEN id_a ELSE id_b END AS newcomer_id, CASE WHEN id_a % 2 = 1 THEN id_b ELSE id_a END AS e
           FROM pairs WHERE id_a % 2 <> id_b % 2)
     SELECT newcomer_id, count(*) AS n_matches, min(e) AS established_id, CASE WHEN count(*) = 1 THEN 'gate' ELSE 'cluster' END AS route FROM s GROUP BY newcomer_id"""
 )
 def newcomer_vs_established(spark, sf_dir):
-    """Newcomers (odd ids) beside established records."""
-    return duplicates.newcomers(_pairs(spark, sf_dir), F.col("id") % 2 == 1)
+    """Newcomers (odd ids) beside established records that are alike by 0.4."""
+    reps = duplicates.representatives(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return duplicates.newcomers(duplicates.near_pairs(reps, 0.4), F.col("id") % 2 == 1)
 
 
 @query(
     """WITH k AS (SELECT user_id AS cluster_id, event_type AS category, count(*) AS n, max(ts) AS newest FROM events GROUP BY ALL),
     c AS (SELECT cluster_id, category FROM k QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, newest DESC, category) = 1)
     SELECT e.user_id AS cluster_id, max(value) AS exposure, max(value) AS strength, round(avg(value), 6) AS sentiment, count(*) AS n_merged,
-           any_value(c.category) AS category, count(DISTINCT props) AS n_details
-    FROM events e JOIN c ON c.cluster_id = e.user_id GROUP BY e.user_id"""
+           any_value(c.category) AS category, count(DISTINCT props) AS n_details,
+           md5(array_to_string(list_sort(list(DISTINCT props)), ' / ')) AS details_md5, any_value(m.name) AS name
+    FROM events e JOIN c ON c.cluster_id = e.user_id
+    JOIN (SELECT user_id, name FROM (SELECT user_id, event_type || event_id % 3 AS name, count(*) AS n FROM events GROUP BY ALL)
+          QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, length(name) DESC, name) = 1) m ON m.user_id = e.user_id GROUP BY e.user_id"""
 )
 def merge_numeric_rules(spark, sf_dir):
     """Clusters merged by rule."""
     e = table(spark, sf_dir, "events")
     v = F.col("value")
-    return hygiene.merged(e.select(F.col("user_id").alias("cluster_id"), v.alias("exposure"), v.alias("strength"), v.alias("sentiment"), F.col("event_type").alias("category"), F.col("ts").alias("at"), F.col("props").alias("detail")))
+    return hygiene.merged(e.select(F.col("user_id").alias("cluster_id"), v.alias("exposure"), v.alias("strength"), v.alias("sentiment"), F.col("event_type").alias("category"), F.col("ts").alias("at"), F.col("props").alias("detail"), F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("name"))).withColumn("details_md5", F.md5(F.array_join("details", " / "))).drop("details")
 
 
 @query("WITH r AS (SELECT doc_id, count(*) AS refs FROM labels GROUP BY doc_id) SELECT md5(text) AS cluster_id, arg_min(d.doc_id, (-coalesce(refs, 0), d.doc_id)) AS canonical_id, count(*) AS n FROM documents d LEFT JOIN r USING (doc_id) GROUP BY text HAVING count(*) > 1")
@@ -714,15 +719,338 @@ def inventory_moved_exports(spark, sf_dir):
     return out.select(F.col("target").alias("file"), F.col("symbol").alias("name"), "kind", F.col("destination").alias("moved_to"))
 
 
-@query("SELECT * FROM (VALUES ('store1', 's1', 'shop', '/work/shop', 1704103200000000, 1704103500000000, 2)) t(tool, id, title, cwd, first_at, last_at, message_count)")
-def readers_normalize(spark, sf_dir):
-    """Sessions of a sample store."""
-    root = shared_path(spark, "store1")
-    for name, lines in STORE1.items():
-        folder, _, file = name.rpartition("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}/{file}")
+
+def _written(spark: SparkSession, files: dict[str, list[str]], label: str) -> str:
+    """A folder in the shared place with the files of a sample store."""
+    root = shared_path(spark, label)
+    for name, lines in files.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
         out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
         out.write("\n".join(lines).encode())
         out.close()
-    found, _ = project_store(spark, root)
+    return root
+
+
+def _sessions(found: DataFrame) -> DataFrame:
     return found.select("tool", "id", "title", "cwd", *micros("first_at", "last_at"), "message_count")
+
+
+def _said(messages: DataFrame) -> DataFrame:
+    return stores.ordered(messages).select("tool", "session_id", "n", "line_no", "id", "role", "content", *micros("ts"))
+
+
+def _threads(spark: SparkSession):
+    import sqlite3
+
+    root = _written(spark, STORE3, "store3")
+    folder = root.removeprefix("file://")
+    with sqlite3.connect(f"{folder}/state_2.sqlite") as db:
+        db.execute("CREATE TABLE threads (id TEXT, rollout_path TEXT, title TEXT, first_user_message TEXT, cwd TEXT, created_at INT, updated_at INT)")
+        db.executemany("INSERT INTO threads VALUES (?,?,?,?,?,?,?)", [(i, p and f"{folder}/{p}", *rest) for i, p, *rest in THREADS])
+    newest = sqlite.newest_state(["state_2.sqlite", "state.sqlite"])
+    return stores.thread_store(sqlite.read_table(spark, f"{folder}/{newest}"), stores.transcript_files(spark, [root]))
+
+
+@query("SELECT * FROM (VALUES ('store1', 's1', 'shop', '/work/shop', 1704103200000000, 1704103500000000, 2)) t(tool, id, title, cwd, first_at, last_at, message_count)")
+def readers_normalize(spark, sf_dir):
+    """Sessions of a sample store of the first kind."""
+    return _sessions(project_store(spark, _written(spark, STORE1, "store1"))[0])
+
+
+@query("SELECT * FROM (VALUES ('store1', 's1', 1, 5, 'u1', 'user', 'hello there', 1704103200000000), ('store1', 's1', 2, 6, 'a1', 'assistant', 'one' || chr(10) || chr(10) || 'two', 1704103260000000), ('store1', 's2', 1, 1, 'b1', 'assistant', 'no time', 0)) t(tool, session_id, n, line_no, id, role, content, ts)")
+def readers_messages(spark, sf_dir):
+    """Messages of that store, with texts, ids, roles and times."""
+    return _said(project_store(spark, _written(spark, STORE1, "store1"))[1])
+
+
+@query("SELECT * FROM (VALUES ('store2', 'abc', 'shop', '/work/shop', 1704186000000000, 1704186060000000, 2), ('store2', 'd_e', 'me', '/home/me', 1704272400000000, 1704272400000000, 1)) t(tool, id, title, cwd, first_at, last_at, message_count)")
+def session_store_sessions(spark, sf_dir):
+    """Sessions of a sample store of the second kind, over two roots of which one isn't there."""
+    root = _written(spark, STORE2, "store2")
+    return _sessions(stores.session_store(spark, [root, f"{root}-absent"])[0])
+
+
+@query("SELECT * FROM (VALUES ('store2', 'abc', 1, 2, 'abc/m1', 'user', 'hi', 1704186000000000), ('store2', 'abc', 2, 3, 'abc/m2', 'assistant', 'a' || chr(10) || chr(10) || 'b', 1704186060000000), ('store2', 'd_e', 1, 1, 'd_e/k', 'user', 'alone', 1704272400000000)) t(tool, session_id, n, line_no, id, role, content, ts)")
+def session_store_messages(spark, sf_dir):
+    """Messages of that store."""
+    return _said(stores.session_store(spark, [_written(spark, STORE2, "store2")])[1])
+
+
+@query("SELECT * FROM (VALUES ('store3', 't1', 'first question', '/w/p', 1704362400000000, 1704363000000000, 2)) t(tool, id, title, cwd, first_at, last_at, message_count)")
+def thread_store_sessions(spark, sf_dir):
+    """Sessions of a sample store of the third kind: a SQLite table joined with its files."""
+    return _sessions(_threads(spark)[0])
+
+
+@query("SELECT * FROM (VALUES ('store3', 't1', 1, 2, 'evt_2', 'user', 'start', 1704362400000000), ('store3', 't1', 2, 3, 'evt_3', 'assistant', 'done', 1704363000000000)) t(tool, session_id, n, line_no, id, role, content, ts)")
+def thread_store_messages(spark, sf_dir):
+    """Messages of that store."""
+    return _said(_threads(spark)[1])
+
+
+@query("""SELECT 'store3' AS tool, 't1' AS id, 'first question' AS title, 2 AS message_count, 'user: start | assistant: done' AS said, '2024-01-04T10:10:00.000Z' AS last_said""")
+def session_json_documents(spark, sf_dir):
+    """Sessions as nested documents, read back by their fields."""
+    doc = stores.session_json(*_threads(spark))
+    schema = "title string, messageCount long, messages array<struct<role string, content string, timestamp string>>"
+    read = doc.select("tool", "id", F.from_json("json", schema).alias("d"))
+    said = F.array_join(F.transform("d.messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), " | ")
+    return read.select("tool", "id", "d.title", F.col("d.messageCount").alias("message_count"), said.alias("said"), F.element_at("d.messages.timestamp", -1).alias("last_said"))
+
+
+@query("SELECT 4 AS n_sessions, 8 AS n_messages")
+def stores_union(spark, sf_dir):
+    """What all stores have together."""
+    found = [project_store(spark, _written(spark, STORE1, "store1")), stores.session_store(spark, [_written(spark, STORE2, "store2")]), _threads(spark)]
+    n = lambda i: found[0][i].unionByName(found[1][i]).unionByName(found[2][i]).agg(F.count(F.lit(1)).alias("n"))
+    return store.beside(n(0).select(F.col("n").alias("n_sessions")), n(1).select(F.col("n").alias("n_messages")))
+
+
+# --- decisions by rule ------------------------------------------------------------------
+
+
+@query(
+    """WITH r AS (SELECT doc_id, count(*) AS refs FROM labels GROUP BY doc_id),
+    m AS (SELECT md5(text) AS cluster_id, doc_id AS id, coalesce(refs, 0) AS refs, count(*) OVER (PARTITION BY text) AS n FROM documents LEFT JOIN r USING (doc_id) WHERE text IS NOT NULL),
+    c AS (SELECT *, first_value(id) OVER (PARTITION BY cluster_id ORDER BY refs DESC, id) AS canonical_id FROM m WHERE n > 1)
+    SELECT cluster_id, CASE WHEN id = canonical_id THEN 'update' ELSE 'remove' END AS action, id, CASE WHEN id <> canonical_id THEN canonical_id END AS replaced_by FROM c"""
+)
+def dedup_decisions(spark, sf_dir):
+    """What becomes of each record of a cluster of copies."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.md5("text").alias("cluster_id"), F.col("doc_id").alias("id"), F.col("doc_id").alias("created"))
+    several = docs.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    refs = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("refs"))
+    return curation.dedup_decisions(docs.join(several.select("cluster_id"), "cluster_id", "left_semi"), refs)
+
+
+@query("SELECT count(*) AS n_clusters, 0::BIGINT AS n_broken FROM (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1)")
+def dedup_contract(spark, sf_dir):
+    """Clusters whose decisions break the merge contract."""
+    counts = materialize(curation.decision_counts(dedup_decisions(spark, sf_dir)), "dedup-counts")
+    broken = judge.violations(counts, judge.merge_rules()).agg(F.count(F.lit(1)).alias("n_broken"))
+    return store.beside(counts.agg(F.count(F.lit(1)).alias("n_clusters")), broken)
+
+
+@query(f"SELECT row_number() OVER (ORDER BY similarity DESC, id_a, id_b) AS place, * FROM (SELECT a.vec_id AS id_a, b.vec_id AS id_b, {COSINE} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COSINE} >= 0.3) QUALIFY place <= 50")
+def budgeted_comparisons(spark, sf_dir):
+    """The pairs that one run may judge."""
+    return curation.within_comparisons(vectors.similar_pairs(_vectors(spark, sf_dir), 0.3)).select("place", "id_a", "id_b", "similarity")
+
+
+@query("SELECT item_id % 3 AS cluster_id, item_id AS phrase_id, row_number() OVER (PARTITION BY item_id % 3 ORDER BY length(text) DESC, item_id) AS place FROM benchmark QUALIFY place <= 6")
+def cluster_search_budget(spark, sf_dir):
+    """The six searches of each cluster."""
+    p = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 3).alias("cluster_id"), F.col("item_id").alias("phrase_id"), F.char_length("text").alias("priority"))
+    return curation.within_searches(p).select("cluster_id", "phrase_id", "place")
+
+
+ITEMS = r"(SELECT doc_id AS id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents WHERE length(text) > 750)"
+NAMED = r"(SELECT name, min(id) AS target_id FROM (SELECT doc_id AS id, array_to_string(regexp_extract_all(string_split(text, ' ')[1], '[^\x20\x09-\x0D]+')[1:5], ' ') AS name FROM documents) WHERE name <> '' GROUP BY name)"
+
+
+def _items(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _named(spark, sf_dir):
+    first = F.get(F.split("text", " "), F.lit(0))
+    name = F.array_join(F.slice(F.regexp_extract_all(first, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.lit(5)), " ")
+    return _items(spark, sf_dir).select("id", name.alias("name")).where("name <> ''").groupBy("name").agg(F.min("id").alias("target_id"))
+
+
+@query(
+    rf"""WITH i AS {ITEMS},
+    s AS (SELECT id, unnest(lines[2:]) AS content FROM i),
+    w AS (SELECT *, regexp_extract_all(content, '[^\x20\x09-\x0D]+') AS w FROM s),
+    p AS (SELECT id, content, array_to_string(w[1:5], ' ') AS name FROM w WHERE len(w) >= 2),
+    h AS (SELECT p.*, n.target_id FROM p LEFT JOIN {NAMED} n USING (name))
+    SELECT id, 'original' AS kind, id AS target_id, NULL AS name, md5(CASE WHEN id IN (SELECT id FROM p) THEN lines[1] ELSE text END) AS description_md5 FROM i
+    UNION ALL SELECT id, CASE WHEN target_id <> id THEN 'existing' ELSE 'new' END, CASE WHEN target_id <> id THEN target_id END, name, md5(content) FROM h"""
+)
+def split_topics(spark, sf_dir):
+    """Records over the line, split by their lines."""
+    out = curation.split_topics(_items(spark, sf_dir), _named(spark, sf_dir))
+    return out.withColumn("description_md5", F.md5("description")).drop("description")
+
+
+@query("SELECT count(*) AS n_items, 0::BIGINT AS n_broken FROM documents WHERE length(text) > 750")
+def split_contract(spark, sf_dir):
+    """Splits that break their contract."""
+    items = _items(spark, sf_dir)
+    counts = materialize(curation.split_counts(curation.split_topics(items, _named(spark, sf_dir)), items), "split-counts")
+    return store.beside(counts.agg(F.count(F.lit(1)).alias("n_items")), judge.violations(counts, judge.split_rules()).agg(F.count(F.lit(1)).alias("n_broken")))
+
+
+SENTENCES = r"(SELECT doc_id AS id, text, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda s: regexp_replace(s, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda s: s <> '') AS s FROM documents)"
+FOREIGN = "[0-9#@]|https?://"
+
+
+@query(
+    rf"""WITH p AS {SENTENCES}, e AS (SELECT id, unnest(s) AS content, generate_subscripts(s, 1) - 1 AS n FROM p),
+    w AS (SELECT *, regexp_extract_all(content, '[^\x20\x09-\x0D]+') AS w FROM e WHERE regexp_matches(content, '{FOREIGN}'))
+    SELECT id, n::INTEGER AS n, array_to_string(w[1:8], ' ') AS phrase FROM w WHERE len(w) >= 3"""
+)
+def person_subjects(spark, sf_dir):
+    """What doesn't belong in a relationship profile."""
+    return curation.person_subjects(_items(spark, sf_dir)).select("id", "n", "phrase")
+
+
+@query(
+    rf"""WITH p AS {SENTENCES}, e AS (SELECT id, unnest(s) AS content FROM p),
+    w AS (SELECT *, regexp_extract_all(content, '[^\x20\x09-\x0D]+') AS w FROM e WHERE regexp_matches(content, '{FOREIGN}')),
+    q AS (SELECT id, content, array_to_string(w[1:8], ' ') AS name FROM w WHERE len(w) >= 3),
+    h AS (SELECT q.*, n.target_id FROM q LEFT JOIN {NAMED} n USING (name))
+    SELECT id, 'original' AS kind, id AS target_id, md5(CASE WHEN id IN (SELECT id FROM q) THEN array_to_string(list_filter(s, lambda x: NOT regexp_matches(x, '{FOREIGN}'))[1:4], '. ') ELSE text END) AS description_md5 FROM p
+    UNION ALL SELECT id, CASE WHEN target_id <> id THEN 'existing' ELSE 'new' END, CASE WHEN target_id <> id THEN target_id END, md5(content) FROM h"""
+)
+def split_people(spark, sf_dir):
+    """Descriptions of people, split from what else they hold."""
+    out = curation.split_people(_items(spark, sf_dir), _named(spark, sf_dir))
+    return out.select("id", "kind", "target_id", F.md5("description").alias("description_md5"))
+
+
+PEOPLE = r"(SELECT session_id, name, least(count(*), 5)::INTEGER AS confidence FROM (SELECT doc_id % 50 AS session_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+ [A-Z][a-z]+\b')) AS name FROM documents) WHERE name NOT IN ('The The') GROUP BY ALL)"
+
+
+def _people(spark, sf_dir):
+    said = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("session_id"), "text")
+    return curation.people(said, spark.createDataFrame([("The The",)], "name string"))
+
+
+@query(PEOPLE[1:-1])
+def person_scan(spark, sf_dir):
+    """Names that come up, by session."""
+    return _people(spark, sf_dir)
+
+
+@query(
+    f"""SELECT k.person_id, p.name, p.name || ' comes up in ' || p.n || ' sessions.' AS description, 0.0::DOUBLE AS sentiment, 'Unknown' AS relationship, 1 AS n_primary
+    FROM (SELECT name, count(*) AS n FROM {PEOPLE} WHERE confidence >= 2 GROUP BY name) p LEFT JOIN (SELECT name, min(session_id) AS person_id FROM {PEOPLE} WHERE session_id < 25 GROUP BY name) k USING (name)"""
+)
+def person_update(spark, sf_dir):
+    """Records of the people that come up."""
+    found = materialize(_people(spark, sf_dir), "people")
+    return curation.updated_people(found, found.where("session_id < 25").select("name", F.col("session_id").alias("person_id")), 2)
+
+
+@query(
+    rf"""WITH m AS (SELECT conv_id AS session_id, turn AS n, length(text) - length(replace(text, '!', '')) AS marks,
+      regexp_replace(left(array_to_string(regexp_extract_all(text, '[^\x20\x09-\x0D]+')[1:8], ' '), 50), '[\x20\x09-\x0D]+$', '') AS name FROM conversations)
+    SELECT session_id, n, name FROM m WHERE marks > 0 AND length(name) >= 5 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY marks DESC, n, name) = 1"""
+)
+def event_scan(spark, sf_dir):
+    """At most one event of each session."""
+    return curation.events(messages(spark, sf_dir))
+
+
+FOUND = r"""(SELECT name, arg_min(value, (session_id, n, value)) AS value, min(session_id) AS session_id, arg_min(n, (session_id, n, value)) AS n FROM (
+      SELECT session_id, n, w[i] AS name, w[i + 1] AS value FROM (SELECT *, unnest(range(1, len(w))) AS i FROM (
+        SELECT conv_id AS session_id, turn AS n, list_transform(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'), lambda x: regexp_replace(x, '^[^0-9A-Za-z_]+|[^0-9A-Za-z_]+$', '', 'g')) AS w FROM conversations)))
+    WHERE name IN (SELECT lower(event_type) FROM events UNION SELECT 'the' UNION SELECT 'is' UNION SELECT 'no such fact') AND value <> '' GROUP BY name)"""
+
+
+def _missing(spark, sf_dir):
+    names = table(spark, sf_dir, "events").select(F.lower("event_type").alias("name"))
+    return names.unionByName(spark.createDataFrame([("the",), ("is",), ("no such fact",)], "name string")).distinct()
+
+
+@query(FOUND[1:-1])
+def facts_found(spark, sf_dir):
+    """Missing facts where they are first said."""
+    return curation.facts(messages(spark, sf_dir), _missing(spark, sf_dir))
+
+
+@query(f"SELECT name FROM (SELECT lower(event_type) AS name FROM events UNION SELECT 'the' UNION SELECT 'is' UNION SELECT 'no such fact') WHERE name NOT IN (SELECT name FROM {FOUND})")
+def facts_still_missing(spark, sf_dir):
+    """The list without the facts that were found."""
+    missing = materialize(_missing(spark, sf_dir), "missing-facts")
+    return curation.still_missing(missing, curation.facts(messages(spark, sf_dir), missing))
+
+
+@query(f"SELECT user_id AS id, epoch_us(TIMESTAMP '{AS_OF}' + INTERVAL 30 DAYS) AS expires_at FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY AND count(*) < 20")
+def trivia_expiry(spark, sf_dir):
+    """Stale trivia with the time at which it expires."""
+    t = F.max("ts")
+    items = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(t.alias("mentioned"), t.alias("retrieved"), t.alias("updated"), (F.count(F.lit(1)) < 20).alias("trivia"))
+    as_of = F.lit(AS_OF).cast("timestamp")
+    return hygiene.expiring(hygiene.stale(items, as_of, 1), "trivia", as_of).select("id", *micros("expires_at"))
+
+
+@query(
+    f"""WITH m AS {MUTATIONS} SELECT count(*) FILTER (WHERE op = 'merge') AS n_merge, count(*) AS used, count(*) FILTER (WHERE op = 'merge' AND target_id % 2 = 0) AS n_executed,
+    count(*) FILTER (WHERE op = 'merge' AND target_id % 2 = 1) AS n_deferred, 0::BIGINT AS n_proposed, 'dedup: search; split: search; summarize: diary' AS skipped FROM m"""
+)
+def gardening_report_full(spark, sf_dir):
+    """The report with its removals and skipped phases."""
+    done = materialize(_mutations(spark, sf_dir), "report-mutations")
+    removals = hygiene.routed(done.where("op = 'merge'").withColumn("certain", F.col("target_id") % 2 == 0), True)
+    have = store.phases(spark.createDataFrame([("graph", "graph"), ("graph", "mutate")], "store string, capability string"))
+    return hygiene.full_report(done, removals, have).select("n_merge", "used", "n_executed", "n_deferred", "n_proposed", "skipped")
+
+
+@query(
+    f"""WITH m AS {MUTATIONS}, o AS (SELECT 'The interval brought ' || count(*) || ' records.' AS a FROM orders),
+    t AS (SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, 'order ' || o_orderkey LIMIT 4),
+    l AS (SELECT string_agg(' New: order ' || o_orderkey || '.', '' ORDER BY o_orderdate DESC, 'order ' || o_orderkey) AS b FROM t),
+    g AS (SELECT ' Garden health: merge ' || count(*) FILTER (WHERE op = 'merge') || ', decay ' || count(*) FILTER (WHERE op = 'decay') || ', split ' || count(*) FILTER (WHERE op = 'split') || ', invalidate 0, reconnect 0; resume at '
+            || CASE WHEN count(*) >= 25 THEN arg_max(target_id, place)::VARCHAR ELSE 'clean' END || '.' AS c FROM m)
+    SELECT k.store, k.kind, a || b || c AS text, k.tags FROM o, l, g, (VALUES ('a', 'diary', ''), ('b', 'memory', 'garden-summary')) k(store, kind, tags)"""
+)
+def diary_entry(spark, sf_dir):
+    """The diary entry of a run, for a store with a diary and for one without."""
+    notable = table(spark, sf_dir, "orders").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderdate").alias("at"))
+    have = spark.createDataFrame([("a", "diary"), ("b", "graph")], "store string, capability string")
+    return store.diary_records(store.diary(hygiene.report(_mutations(spark, sf_dir)), notable), have).withColumn("tags", F.array_join("tags", ","))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS description, 'Client' AS relationship FROM customer")
+def judge_payload(spark, sf_dir):
+    """What a judge is sent of people."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("description"), F.lit("Client").alias("relationship"), F.array(F.col("c_acctbal")).alias("embedding"))
+    return judge.payload(c, "person")
+
+
+@query(f"SELECT id, category FROM (SELECT id, len(s) AS n, coalesce([{_categories()}][id % 12 + 1], 'Other') AS category FROM {SENTENCES}) WHERE n > CASE category WHEN 'Event' THEN 4 WHEN 'Technical' THEN 8 ELSE 6 END")
+def description_discipline(spark, sf_dir):
+    """Descriptions with more sentences than their kind may have."""
+    i = F.col("id")
+    items = _items(spark, sf_dir).select("id", F.size(curation._sentences("text")).alias("n_sentences"), F.coalesce(F.get(F.array(*map(F.lit, CATEGORIES)), (i % 12).cast("int")), F.lit("Other")).alias("category"))
+    return judge.violations(items.where("n_sentences >= 0"), judge.discipline_rules()).select("id", "category")
+
+
+@query("SELECT * FROM (VALUES ('src/shop/models.py', 'decorator', 'Item', '@dataclass'), ('src/shop/models.py', 'dynamic', '', 'globals()'), ('src/core/mod.rs', 'attribute', 'Key', '#[derive(Debug)]'), ('web/card.tsx', 'hook', 'Card', 'useState: [n, setN]')) t(file, kind, owner, text)")
+def inventory_signals(spark, sf_dir):
+    """Signals of the sample files."""
+    return _found(spark).where("section = 'signal'").select("file", "kind", "owner", "text")
+
+
+@query(
+    """SELECT * FROM (VALUES ('src/shop/models.py', 1, 'import json'), ('src/shop/models.py', 2, 'from dataclasses import dataclass'), ('src/shop/api.py', 1, 'from . import models'), ('src/shop/api.py', 2, 'from shop.models import Item, LIMIT'),
+    ('tests/test_api.py', 1, 'import shop.api'), ('src/core/store.rs', 1, 'use crate::core::{limit, Key};'), ('lib/my_model.dart', 1, 'import ''model.dart'';'), ('lib/page.dart', 1, 'import ''package:shop/model.dart'';'),
+    ('web/card.tsx', 1, 'import React, { useState } from ''react'';'), ('web/card.tsx', 2, 'import { price } from ''./util'';'), ('web/card.tsx', 3, 'import "./style";')) t(file, start, text)"""
+)
+def inventory_imports(spark, sf_dir):
+    """Import statements of the sample files."""
+    return _found(spark).where("section = 'import'").select("file", "start", "text")
+
+
+@query(
+    """SELECT 'web/card.tsx' AS file, concat_ws(chr(10), '# Inventory: web/card.tsx', '', 'Total lines: 9', '', '## Imports', '', '- `import React, { useState } from ''react'';`', '- `import { price } from ''./util'';`', '- `import "./style";`', '',
+      '## Top-level declarations (in order)', '', '| Kind | Name | Lines | Exported |', '|---|---|---|---|', '| component | `Card` | 5-8 | yes |', '', '## Members and signals', '', '- Card hook `useState: [n, setN]`', '',
+      '## Imported by (load-bearing exports — keep compatible)', '', '(no other source file imports this module)', '') AS markdown"""
+)
+def inventory_markdown(spark, sf_dir):
+    """The inventory of one sample file as a document."""
+    found = _found(spark)
+    return inventory.markdown(found, inventory.import_edges(found)).where("file = 'web/card.tsx'")
+
+
+@query("SELECT 2 AS version, 3::BIGINT AS n_rows, 2::BIGINT AS n_versions")
+def snapshot_versions(spark, sf_dir):
+    """A store after three snapshots of which two are kept."""
+    path = shared_path(spark, "snapshots")
+    for n in (1, 2, 3):
+        last = store.write_version(spark.range(n), path)
+    rows, newest = store.read_version(spark, path, "id long")
+    kept = spark.read.option("basePath", path).parquet(path).select("version").distinct().agg(F.count(F.lit(1)).alias("n_versions"))
+    return store.beside(rows.agg(F.lit(newest - 1).alias("version"), F.count(F.lit(1)).alias("n_rows")), kept)

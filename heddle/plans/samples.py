@@ -29,3 +29,28 @@ STORE1 = {
     "proj-a/agent-x.jsonl": ['{"type":"user","uuid":"z","timestamp":"2024-01-01T10:00:00Z","message":{"content":"skip me"}}'],
     "proj-b/s2.jsonl": ['{"type":"assistant","uuid":"b1","message":{"content":"no time"}}'],
 }
+
+#: Lines of transcripts of the second kind of store: two roots' folders, a file without "_", a folder with a dot, no header, blocks, a dropped role.
+STORE2 = {
+    "--work-shop--/2024-01-02T09-00-00_abc.jsonl": [
+        '{"type":"session","cwd":"/work/shop"}',
+        '{"type":"message","id":"m1","timestamp":"2024-01-02T09:00:00Z","message":{"role":"user","content":" hi "}}',
+        '{"type":"message","id":"m2","timestamp":"2024-01-02T09:01:00Z","message":{"role":"assistant","content":[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]}}',
+        '{"type":"message","id":"m3","timestamp":"2024-01-02T09:02:00Z","message":{"role":"tool","content":"x"}}',
+    ],
+    "--home-me--/2024-01-03T09-00-00_d_e.jsonl": ['{"type":"message","id":"k","timestamp":"2024-01-03T09:00:00Z","message":{"role":"user","content":"alone"}}', '{"type":"message","timestamp":"2024-01-03T09:05:00Z","message":{"role":"user","content":"   "}}'],
+    "--work-shop--/nounderscore.jsonl": ['{"type":"message","id":"m","timestamp":"2024-01-02T09:00:00Z","message":{"role":"user","content":"no"}}'],
+    ".hidden/2024_x.jsonl": ['{"type":"message","id":"m","timestamp":"2024-01-02T09:00:00Z","message":{"role":"user","content":"no"}}'],
+}
+
+#: Rollouts of the third kind of store, and rows of its thread table: (id, file, title, first_user_message, cwd, created_at, updated_at).
+STORE3 = {
+    "d/one.jsonl": [
+        '{"type":"session_meta","payload":{}}',
+        '{"type":"event_msg","timestamp":"2024-01-04T10:00:00Z","payload":{"type":"user_message","message":" start "}}',
+        '{"type":"event_msg","timestamp":"2024-01-04T10:10:00Z","payload":{"type":"agent_message","message":"done"}}',
+        '{"type":"event_msg","payload":{"type":"token_count","message":"no"}}',
+    ],
+    "d/empty.jsonl": ['{"type":"session_meta","payload":{}}'],
+}
+THREADS = (("t1", "d/one.jsonl", "", " first question ", "/w/p", 1704067200, 1704240000), ("t2", "d/empty.jsonl", "x", "", "", 1, 1), ("t3", "d/none.jsonl", "x", "", "", 1, 1), ("t4", None, "x", "", "", 1, 1))

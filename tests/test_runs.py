@@ -40,7 +40,12 @@ def test_hygiene_run(spark):
     assert [(r.target_id, r.replaced_by, r.outcome) for r in run["removals"].collect()] == [(4, 0, "proposed")]
     r = run["report"].first()
     assert (r.n_merge, r.n_decay, r.used, r.resume_point) == (1, 3, 7, "clean")
-    assert store.diary_line(run["report"]).first().text.startswith("Garden health: merge 1, decay 3")
+    notable = spark.createDataFrame([("first", 1), ("second", 2), (None, 3)], "name string, at int").withColumn("at", F.timestamp_seconds("at"))
+    entry = store.diary(run["report"], notable)
+    assert entry.first().text == "The interval brought 3 records. New: second. New: first. Garden health: " + entry.first().text.partition("health: ")[2]
+    assert "merge 1, decay 3" in entry.first().text
+    have = spark.createDataFrame([("a", "diary"), ("a", "graph"), ("b", "graph")], "store string, capability string")
+    assert sorted((r.store, r.kind, r.tags) for r in store.diary_records(entry, have).collect()) == [("a", "diary", []), ("b", "memory", ["garden-summary"])]
 
 
 def test_snapshots(spark):

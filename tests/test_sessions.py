@@ -40,9 +40,9 @@ def test_growing_session_is_listed_again(spark):
 
 
 def test_worked_merges(spark):
-    m = spark.createDataFrame([(1, 0.6, 0.7, 0.8, "Goal", 1, "a"), (1, 0.3, 0.9, 0.4, "Plan", 2, "b")], "cluster_id int, exposure double, strength double, sentiment double, category string, t int, detail string")
+    m = spark.createDataFrame([(1, 0.6, 0.7, 0.8, "Goal", 1, "b", "Name"), (1, 0.3, 0.9, 0.4, "Plan", 2, "a", "Longer name"), (1, None, None, None, None, 3, "a", None)], "cluster_id int, exposure double, strength double, sentiment double, category string, t int, detail string, name string")
     r = hygiene.merged(m.withColumn("at", F.timestamp_seconds("t"))).first()
-    assert (r.exposure, r.strength, r.sentiment, r.category, r.n_details) == (0.6, 0.9, 0.6, "Plan", 2)
+    assert (r.exposure, r.strength, r.sentiment, r.category, r.n_details, r.details, r.name) == (0.6, 0.9, 0.6, "Plan", 2, ["a", "b"], "Longer name")
 
 
 def test_one_primary_identifier(spark):
