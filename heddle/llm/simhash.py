@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,10 +21,13 @@ SHINGLE_WORDS = 4
 SEED = 42
 #: Shingles hashed before their bits are counted, which bounds the memory for one text.
 BLOCK_SHINGLES = 65_536
-#: Fingerprints compared with one another in one matrix at most.
+#: Fingerprints that are indexed at once.
 BLOCK_ROWS = 2_048
-#: Up to so many different fingerprints, three segments keep the buckets small; beyond, seven segments taken by threes.
-THREE_SEGMENTS_UP_TO = 1 << 26
+SEGMENTS = 3
+#: A bucket of more fingerprints isn't compared but indexed again, by the bits that it leaves open.
+SPLIT_ROWS = 32_768
+#: With fewer open bits a bucket is small: its fingerprints differ in these and in a wildcard a level.
+LEAST_BITS = 6
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -62,30 +65,31 @@ def fingerprint_column(text: str | Column) -> Column:
     return of(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def variant_masks(segments: int, take: int, distance: int = MAX_DISTANCE) -> np.ndarray:
-    """Masks of the one-wildcard variants.
+def variant_masks(rest: int = (1 << BITS) - 1, distance: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the one-wildcard variants of the bits in `rest`, and the bits that each variant's segment leaves open.
 
-    The bits are cut into `segments` parts of nearly equal width. Of `distance`
-    differing bits, the `take` least affected parts together hold at most
-    distance * take / segments; where that is under 2, two fingerprints differ by
-    one bit at most in some union of `take` parts, and so share the variant of
-    that union in which just this bit is the wildcard.
+    The bits are cut into SEGMENTS parts of nearly equal width. Of `distance`
+    differing bits, the least affected part has at most distance // SEGMENTS;
+    where that is 1, two fingerprints differ by one bit at most in some part, and
+    so share the variant of that part in which just this bit is the wildcard.
     """
-    if distance * take // segments > 1:
-        raise ValueError("too few segments: each union could differ by two bits")
-    cuts = np.linspace(0, BITS, segments + 1).round().astype(int)
-    out = []
-    for parts in combinations(range(segments), take):
-        bits = [b for p in parts for b in range(cuts[p], cuts[p + 1])]
-        full = sum(1 << b for b in bits)
-        out += [full & ~(1 << b) for b in bits]
-    return np.array(out, np.uint64)
-
-
-def variant_keys(fp: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each fingerprint (rows) and variant (columns): a mix of the variant and the bits that it keeps."""
+    if distance // SEGMENTS > 1:
+        raise ValueError("too few segments: each could differ by two bits")
+    bits = [b for b in range(BITS) if rest >> b & 1]
+    cuts = np.linspace(0, len(bits), SEGMENTS + 1).round().astype(int)
+    masks, left = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        full = sum(1 << x for x in bits[a:b])
+        masks += [full & ~(1 << x) for x in bits[a:b]]
+        left += [rest & ~full] * int(b - a)
+    return np.array(masks, np.uint64), np.array(left, np.uint64)
+
+
+def variant_keys(fp: np.ndarray, masks: np.ndarray, above: np.ndarray | int = 0) -> np.ndarray:
+    """A 64-bit key for each fingerprint (rows) and variant (columns): a mix of the key above, the variant and the bits that it keeps."""
     with np.errstate(over="ignore"):
         x = (fp[:, None] & masks[None, :]) + np.arange(1, len(masks) + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        x += np.asarray(above, np.uint64).reshape(-1, 1) * np.uint64(0xD6E8FEB86659FD93)
         for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
         return x ^ (x >> np.uint64(31))
@@ -110,66 +114,100 @@ def links_of_run(fp: np.ndarray, distance: int = MAX_DISTANCE) -> list[tuple[np.
     return out
 
 
-def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = MAX_DISTANCE, layout: tuple[int, int] | None = None) -> DataFrame:
-    """Links (src, dst) between different fingerprints that span the same groups as all pairs within `distance` bits.
+def _batch(names: str, *columns: np.ndarray | None) -> pa.RecordBatch:
+    n = next(len(c) for c in columns if c is not None)
+    arrays = [pa.nulls(n, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, names=names.split())
 
-    `fps` has each fingerprint once. Every fingerprint is indexed under all its
-    one-wildcard variants; those that share a variant meet in one run of the
-    sorted index and are verified exactly. Runs of any length are handled.
-    """
-    if layout is None:
-        layout = (3, 1) if fps.count() <= THREE_SEGMENTS_UP_TO else (7, 3)
-    masks = variant_masks(*layout, distance=distance)
+
+def index_variants(rows: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
+    """`rows` (key, fp, open) under all their variants of the open bits: (key, fp, open), with the bits that are still open."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, BLOCK_ROWS):
-                fp = b.column(0).slice(at, BLOCK_ROWS).to_numpy(zero_copy_only=False).view(np.uint64)
-                keys = variant_keys(fp, masks).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(fp, len(masks)).view(np.int64))], names=["key", "fp"])
+                above, fp, left = (b.column(i).slice(at, BLOCK_ROWS).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+                for rest in np.unique(left):
+                    some = left == rest
+                    masks, after = variant_masks(int(rest), distance)
+                    keys = variant_keys(fp[some], masks, above[some])
+                    yield _batch("key fp open", keys.ravel(), np.repeat(fp[some], len(masks)), np.tile(after, int(some.sum())))
+
+    return rows.select("key", "fp", "open").mapInArrow(index, "key long, fp long, open long")
+
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def compare_buckets(index: DataFrame, distance: int = MAX_DISTANCE, split: int = SPLIT_ROWS) -> DataFrame:
+    """(src, dst) of links in the buckets of `index`, and (src, key, open) of all fingerprints in buckets of over `split`, which aren't compared.
+
+    Rows pass sorted by key; no more than `split` of one key are held, beside a batch.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64))
+        large = None  # the key whose rows are passed on
         for b in batches:
-            key = np.concatenate([key, b.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(key) or key[0] == key[-1]:
-                continue  # one run may span many batches
-            done = int(np.searchsorted(key, key[-1]))
-            yield from emit(key[:done], fp[:done])
-            key, fp = key[done:], fp[done:]
-        yield from emit(key, fp)
-
-    def emit(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(key) < 2:
+            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            held = tuple(np.concatenate([h, x.view(h.dtype)]) for h, x in zip(held, new))
+            if not len(held[0]):
+                continue
+            done = int(np.searchsorted(held[0], held[0][-1]))
+            yield from found(*(h[:done] for h in held), large)
+            held = tuple(h[done:] for h in held)
+            if (len(held[0]) > split or held[0][0] == large) and int(held[2][0]).bit_count() >= LEAST_BITS:
+                large = held[0][0]
+                yield from found(*held, large)
+                held = tuple(h[:0] for h in held)
+        yield from found(*held, large)
+
+    def found(key: np.ndarray, fp: np.ndarray, left: np.ndarray, large: int | None) -> Iterator[pa.RecordBatch]:
+        if not len(key):
             return
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        size = np.diff(edge)
-        two = edge[:-1][size == 2]
+        first, size = edge[:-1], np.diff(edge)
+        later = ((size > split) | (key[first] == large)) & (np.bitwise_count(left[first]) >= LEAST_BITS)
+        if later.any():
+            rows = np.repeat(later, size)
+            yield _batch("src dst key open", fp[rows], None, key[rows], left[rows])
+        two = first[(size == 2) & ~later]
         near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
-        found = [(fp[near], fp[near + 1])]
-        for a, n in zip(edge[:-1][size > 2], size[size > 2]):
-            found += links_of_run(fp[a : a + n], distance)
-        src, dst = (np.concatenate([x[i] for x in found]).view(np.int64) for i in (0, 1))
+        links = [(fp[near], fp[near + 1])]
+        for a, n in zip(first[(size > 2) & ~later], size[(size > 2) & ~later]):
+            links += links_of_run(fp[a : a + n], distance)
+        src, dst = (np.concatenate([x[i] for x in links]).view(np.int64) for i in (0, 1))
         if len(src):
             pairs = np.unique(np.stack([np.minimum(src, dst), np.maximum(src, dst)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
+            yield _batch("src dst key open", pairs[:, 0], pairs[:, 1], None, None)
+
+    runs = index.repartition("key").sortWithinPartitions("key", "fp")
+    return runs.mapInArrow(compare, "src long, dst long, key long, open long")
+
 
-    variants = fps.select(F.col(column).cast("long").alias("fp")).mapInArrow(index, "key long, fp long")
-    runs = variants.repartition("key").sortWithinPartitions("key", "fp")
-    return runs.mapInArrow(verify, "src long, dst long").distinct()
+def fingerprint_links(fps: DataFrame, column: str = "fp", distance: int = MAX_DISTANCE, split: int = SPLIT_ROWS) -> DataFrame:
+    """Links (src, dst) between different fingerprints that span the same groups as all pairs within `distance` bits.
+
+    `fps` has each fingerprint once. Every fingerprint is indexed under all its
+    one-wildcard variants; those that share a variant meet in one run of the
+    sorted index and are verified exactly. A bucket of over `split` fingerprints
+    is indexed again by the bits that its variant leaves open, where they still
+    differ by `distance` at most, until all buckets are small.
+    """
+    rows = fps.select(F.lit(0).cast("long").alias("key"), F.col(column).cast("long").alias("fp"), F.lit(-1).cast("long").alias("open"))
+    levels = []
+    while not levels or not rows.isEmpty():
+        levels.append(materialize(compare_buckets(index_variants(rows, distance), distance, split), "simhash-links"))
+        rows = levels[-1].where("dst is null").select("key", F.col("src").alias("fp"), "open")
+    return reduce(DataFrame.unionByName, levels).where("dst is not null").select("src", "dst").distinct()
 
 
 def fingerprint_groups(rows: DataFrame) -> DataFrame:
     """(fp, group, component_id) of every fingerprint in `rows` (id, fp): a fingerprint that names its component, and the component's smallest id."""
     reps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-reps")
-    links = materialize(fingerprint_links(reps.select("fp")), "simhash-links")
-    groups = connected_components(links)
+    groups = connected_components(fingerprint_links(reps.select("fp")))
     named = reps.join(groups, reps.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     named = materialize(named, "simhash-groups")
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     of_fp = materialize(lookup_join(named, least, "group").select("fp", "group", "component_id"), "simhash-of")
-    drop_tables(links, reps, named)
+    drop_tables(reps, named)
     return of_fp
 
 
@@ -191,14 +229,25 @@ def simhash_components(df: DataFrame, id_column: str = "doc_id", text: str = "te
 def one_per_component(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of `docs` for each near-duplicate component, with all its columns: that with the smallest id.
 
-    Null ids come last; of repeated rows with that id one stays.
+    Null ids come last; of rows with that id and one fingerprint one stays.
+    Null, empty and blank texts are one component like any other. No rows: no
+    rows. Texts are shuffled once, past the ids that stay; only rows of ids that
+    come repeatedly have their fingerprints taken again.
     """
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.monotonically_increasing_id().alias("row"))
-    whole = materialize(whole, "simhash-docs")
-    rows = materialize(whole.select(F.col(names[id_column]).alias("id"), fingerprint_column(names[text]).alias("fp"), "row"), "simhash")
+    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    own_id, own_text = names[id_column], names[text]
+    rows = materialize(docs.select(F.col(id_column).alias("id"), fingerprint_column(text).alias("fp")), "simhash")
     grouped = lookup_join(rows, fingerprint_groups(rows), "fp")
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
-    kept = grouped.groupBy("group").agg(first).select(F.col("first.row").alias("row"))
-    # The rows' numbers are hashed, so that the texts stream past them and aren't sorted.
-    return whole.join(kept.hint("shuffle_hash"), "row", "left_semi").select(*[F.col(n).alias(c) for c, n in names.items()])
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp")).alias("first")
+    kept = materialize(grouped.groupBy("group").agg(first).select("first.id", "first.fp"), "simhash-kept")
+    many = materialize(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "simhash-many")
+    same = whole[own_id].eqNullSafe(F.col("id"))
+    repeats = not many.isEmpty()
+    once = kept.join(many.withColumnRenamed("id", "m"), F.col("id").eqNullSafe(F.col("m")), "left_anti") if repeats else kept
+    # The ids are hashed, so that the texts stream past them and aren't sorted.
+    out = whole.join(once.select("id").hint("shuffle_hash"), same, "left_semi")
+    if repeats:
+        again = whole.join(many, same, "left_semi").withColumn("_fp", fingerprint_column(own_text))
+        out = out.unionByName(again.join(kept, again[own_id].eqNullSafe(F.col("id")) & (F.col("_fp") == F.col("fp")), "left_semi").dropDuplicates([own_id, "_fp"]).drop("_fp"))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])

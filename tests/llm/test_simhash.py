@@ -60,20 +60,22 @@ def test_fingerprint_is_the_definition():
         assert fingerprint(t) == brute_fingerprint(t)
 
 
-@pytest.mark.parametrize("layout", [(3, 1), (7, 3)])
-def test_every_close_pair_shares_a_variant(layout):
-    masks, rng = variant_masks(*layout), np.random.default_rng(0)
+@pytest.mark.parametrize("rest", [(1 << 64) - 1, 0x00FF_F0F0_0FF0_FFFF, 0b1011_0111])
+def test_every_close_pair_shares_a_variant(rest):
+    (masks, left), rng = variant_masks(rest), np.random.default_rng(0)
+    assert all(int(m) & ~rest == 0 and int(m) & int(x) == 0 and int(x) & ~rest == 0 for m, x in zip(masks, left))
     a = rng.integers(0, 1 << 63, 200, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 200, dtype=np.uint64)
     b = a.copy()
+    bits = [x for x in range(64) if rest >> x & 1]
     for i in range(200):
-        for bit in rng.choice(64, i % 5, replace=False):
+        for bit in rng.choice(bits, i % 5, replace=False):
             b[i] ^= np.uint64(1) << np.uint64(bit)
     assert (variant_keys(a, masks) == variant_keys(b, masks)).any(axis=1).all()
 
 
 def test_too_few_segments_are_refused():
     with pytest.raises(ValueError):
-        variant_masks(2, 1)
+        variant_masks(distance=6)
 
 
 def test_links_of_a_run_span_its_groups():
@@ -82,10 +84,11 @@ def test_links_of_a_run_span_its_groups():
     assert len(pairs) == 4
 
 
-@pytest.mark.parametrize("layout", [(3, 1), (7, 3)])
-def test_links_give_brute_force_components(spark, layout):
+@pytest.mark.parametrize("split,shared", [(1 << 15, 0), (3, 0), (3, 40)])
+def test_links_give_brute_force_components(spark, split, shared):
+    """Also where buckets are split again and again, and where most fingerprints have bits in common."""
     r = random.Random(5)
-    fps = [r.getrandbits(64) for _ in range(60)]
+    fps = [r.getrandbits(64 - shared) for _ in range(60)]
     for f in fps[:40]:
         for _ in range(4):
             g = fps[r.randrange(len(fps))] if r.random() < 0.5 else f
@@ -94,7 +97,7 @@ def test_links_give_brute_force_components(spark, layout):
             fps.append(g)
     fps = sorted(set(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = fingerprint_links(spark.createDataFrame([(s,) for s in signed], "fp long"), layout=layout).collect()
+    links = fingerprint_links(spark.createDataFrame([(s,) for s in signed], "fp long"), split=split).collect()
     at = {s: i for i, s in enumerate(signed)}
     group = list(range(len(fps)))
     for x in links:
@@ -123,5 +126,15 @@ def test_components_of_texts(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted({w[2] for w in want}, key=str)
 
 
+def test_long_texts_and_repeated_ids(spark):
+    r = random.Random(8)
+    long = " ".join(f"v{r.randrange(5000)}" for _ in range(150_000))  # crosses BLOCK_SHINGLES
+    assert fingerprint(long) == brute_fingerprint(long)
+    df = spark.createDataFrame([(7, long, 1), (7, long, 2), (7, "other words here now", 3), (8, long + " end", 4), (9, "other words here now", 5)], "doc_id long, text string, id long")
+    kept = one_per_component(df).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(7, long), (7, "other words here now")])
+    assert one_per_component(df.limit(0)).count() == 0
+
+
 def test_no_documents(spark):
     assert simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
