@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -25,69 +27,99 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
+class Node:
+    """An element above a run of text: its label, the element that holds it, and room for what a reader derives from both."""
+
+    __slots__ = ("parent", "label", "depth", "derived")
+
+    def __init__(self, parent: Node | None, label: str) -> None:
+        self.parent, self.label, self.derived = parent, label, None
+        self.depth: int = parent.depth + 1 if parent else 1
+
+    def up(self) -> Iterator[Node]:
+        """The element and those that hold it."""
+        node: Node | None = self
+        while node:
+            yield node
+            node = node.parent
+
+
 @dataclass
 class Block:
-    """A run of text between block-level tags."""
+    """A run of text between block-level tags; blocks share the elements above them, so that deep pages stay small."""
 
-    path: tuple[str, ...]
+    node: Node | None
     text: str
     linked: int = 0
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Labels of the elements above, the outermost first."""
+        return tuple(n.label for n in self.node.up())[::-1] if self.node else ()
+
 
 @dataclass
 class _Cutter:
-    stack: list[tuple[str, str]] = field(default_factory=list)
+    """Open elements as a stack, with the places of each name and of all block-level ones, so that none is searched for."""
+
+    stack: list[tuple[str, Node | None]] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
+    levels: list[int] = field(default_factory=list)
     run: list[str] = field(default_factory=list)
     linked: int = 0
-    anchors: int = 0
     blocks: list[Block] = field(default_factory=list)
 
     def text(self, raw: str) -> None:
         if raw:
             t = unescape(raw) if "&" in raw else raw
             self.run.append(t)
-            if self.anchors:
+            if self.places["a"]:
                 self.linked += len(t)
 
     def cut(self) -> None:
         if self.run:
             whole = " ".join("".join(self.run).split())
             if whole:
-                self.blocks.append(Block(tuple(label for name, label in self.stack if name not in INLINE), whole, self.linked))
+                self.blocks.append(Block(self.stack[-1][1] if self.stack else None, whole, self.linked))
             self.run, self.linked = [], 0
 
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names, -1 without one."""
+        return max((self.places[n][-1] for n in names if self.places[n]), default=-1)
+
     def open(self, name: str, attributes: str) -> None:
         if name == "br":
             self.run.append(" ")
             return
         if name not in INLINE:
             self.cut()
-            if any(n == "p" for n, _ in self.stack):
+            if self.places["p"]:
                 self.close("p")
             if name in IMPLIED:
-                for at in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[at][0] in SCOPES[name]:
-                        break
-                    if self.stack[at][0] in IMPLIED[name]:
-                        self.leave(at)
-                        break
+                at = self.last(IMPLIED[name])
+                if at > self.last(SCOPES[name]):
+                    self.leave(at)
         if name in VOID:
             return
-        self.stack.append((name, name + marks(attributes) if name not in INLINE else name))
-        self.anchors += name == "a"
+        node = self.stack[-1][1] if self.stack else None
+        if name not in INLINE:
+            node = Node(node, name + marks(attributes))
+            self.levels.append(len(self.stack))
+        self.places[name].append(len(self.stack))
+        self.stack.append((name, node))
 
     def close(self, name: str) -> None:
         if name not in INLINE:
             self.cut()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == name:
-                self.leave(at)
-                return
-            if name in INLINE and self.stack[at][0] not in INLINE:
-                return
+        at = self.last((name,))
+        if at >= 0 and (name not in INLINE or not self.levels or at > self.levels[-1]):
+            self.leave(at)
 
     def leave(self, at: int) -> None:
-        self.anchors -= sum(n == "a" for n, _ in self.stack[at:])
+        for name, _ in self.stack[at:]:
+            self.places[name].pop()
+        while self.levels and self.levels[-1] >= at:
+            self.levels.pop()
         del self.stack[at:]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.html_blocks import Block, cut_blocks
+from heddle.llm.html_blocks import Block, Node, cut_blocks
 
 PATHS, WORDS, SHAPE = 512, 256, 10
 HIDDEN = 28
@@ -28,27 +28,62 @@ BATCH_BLOCKS = 8_192
 # --- features ---------------------------------------------------------------------------
 
 
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tag path: each tag, and each word of its class, id and role, both plainly and with its place from the leaf."""
-    out = np.zeros(PATHS, np.float32)
-    for up, step in enumerate(reversed(path)):
-        tag, *words = step.split(".")
-        near = min(up, 2)
-        for term in (tag, f"{tag}/{near}", *("." + w for w in words), *(f".{w}/{near}" for w in words)):
-            out[zlib.crc32(term.encode()) % PATHS] = 1.0
+def _bits(terms: Iterable[str]) -> int:
+    """The hashed terms as bits of a whole number."""
+    out = 0
+    for term in terms:
+        out |= 1 << zlib.crc32(term.encode()) % PATHS
     return out
 
 
+def label_bits(label: str, known: dict[str, tuple[int, int, int]]) -> tuple[int, int, int]:
+    """Bits of a tag and the words of its class, id and role, plainly and by its place: the leaf, the one above, further up."""
+    if label not in known:
+        if len(known) > 50_000:
+            known.clear()
+        tag, *words = label.split(".")
+        terms = [tag, *("." + w for w in words)]
+        plain = _bits(terms)
+        known[label] = tuple(plain | _bits(f"{t}/{near}" for t in terms) for near in range(3))
+    return known[label]
+
+
+def path_bits(node: Node | None, known: dict[str, tuple[int, int, int]]) -> int:
+    """Hashed tag path: bits of all elements above a block. Those of what is further up are kept with each element, as all below share them."""
+    if node is None:
+        return 0
+    fresh = []
+    for n in node.up():
+        if n.derived is not None:
+            break
+        fresh.append(n)
+    for n in reversed(fresh):
+        n.derived = label_bits(n.label, known)[2] | (n.parent.derived if n.parent else 0)
+    out, above = label_bits(node.label, known)[0], node.parent
+    if above:
+        out |= label_bits(above.label, known)[1] | (above.parent.derived if above.parent else 0)
+    return out
+
+
+def path_vector(bits: int) -> np.ndarray:
+    """The bits as numbers."""
+    return np.unpackbits(np.frombuffer(bits.to_bytes(PATHS // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
+
+
+_LABELS: dict[str, tuple[int, int, int]] = {}
+
+
 def block_vectors(blocks: list[Block], paths: dict, words: dict, start: int = 0, stop: int | None = None) -> np.ndarray:
     """One row per block from start to stop of a page: tag path, words, and shape of the text."""
     some = blocks[start:stop]
     out = np.zeros((len(some), PATHS + WORDS + SHAPE), np.float32)
     for i, b in enumerate(some):
-        p = paths.get(b.path)
+        bits = path_bits(b.node, _LABELS)
+        p = paths.get(bits)
         if p is None:
             if len(paths) > 20_000:
                 paths.clear()
-            p = paths[b.path] = path_vector(b.path)
+            p = paths[bits] = path_vector(bits)
         out[i, :PATHS] = p
         own = b.text.split()
         at = []
@@ -72,7 +107,7 @@ def block_vectors(blocks: list[Block], paths: dict, words: dict, start: int = 0,
             len(own) < 4,
             (start + i) / len(blocks),
             (len(blocks) - start - i) / len(blocks),
-            min(len(b.path), 12) / 12,
+            min(b.node.depth if b.node else 0, 12) / 12,
         )
     return out
 
@@ -379,7 +414,7 @@ class Maker:
             for b in cut_blocks(self.page()):
                 key, _, rest = b.text.partition(" ")
                 if key in self.truth and rest:
-                    blocks.append(Block(b.path, rest, min(b.linked, len(rest))))
+                    blocks.append(Block(b.node, rest, min(b.linked, len(rest))))
                     labels.append(self.truth[key])
             if blocks:
                 return blocks, labels

@@ -1,10 +1,14 @@
 """Blocks, the labeller on pages held out, and hand-made pages."""
 
+import random
+import time
+import zlib
+
 import numpy as np
 import pytest
 
-from heddle.llm.html_blocks import cut_blocks
-from heddle.llm.html_extract import Labeller, Maker, block_vectors, extract_main, label_pages, main_text, padded, train
+from heddle.llm.html_blocks import Node, cut_blocks
+from heddle.llm.html_extract import PATHS, Labeller, path_bits, path_vector, Maker, block_vectors, extract_main, label_pages, main_text, padded, train
 
 
 @pytest.fixture(scope="module")
@@ -129,3 +133,31 @@ def test_column(spark, net):
     df = spark.createDataFrame([(1, None, "old"), (2, "<article><p>a b</p></article>", "old"), (2, "<article><p>a b</p></article>", "old")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in main_text(df, net=net).collect()) == [(1, ""), (2, "a b"), (2, "a b")]
     assert main_text(df.limit(0), net=net).count() == 0
+
+
+def test_deep_pages_take_linear_time():
+    took = []
+    for n in (20_000, 100_000):
+        page = "<div class=k>x" * n + "<article><p>the text of the article</p>" + "<li><ul>" + "<b>" * n + "<li>y</li>" * n
+        began = time.process_time()
+        blocks = cut_blocks(page)
+        block_vectors(blocks, {}, {}, 0, 1_000), block_vectors(blocks, {}, {}, n, n + 1_000)
+        took.append(time.process_time() - began)
+        assert len(blocks) == 2 * n + 1 and blocks[n - 1].node.depth == n
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_path_vectors_are_the_definition():
+    r = random.Random(2)
+    for _ in range(40):
+        path = [r.choice(("div", "p", "ul", "li.a.b", "section.main", "table")) for _ in range(r.randint(0, 9))]
+        node = None
+        for label in path:
+            node = Node(node, label)
+        want = np.zeros(PATHS)
+        for up, step in enumerate(reversed(path)):
+            tag, *words = step.split(".")
+            for term in (tag, *("." + w for w in words)):
+                for t in (term, f"{term}/{min(up, 2)}"):
+                    want[zlib.crc32(t.encode()) % PATHS] = 1
+        assert np.array_equal(path_vector(path_bits(node, {})), want)
