@@ -110,18 +110,34 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     words = table.where("n_words > 0").select("row", "n_words", "norm")
     prefixes = materialize(necessary_tokens(of_item.select("window").distinct(), words), "decon-prefixes")
     hits = materialize(contained_windows(words, prefixes), "decon-hits")
-    spans = hits.groupBy("row").agg(F.collect_set(F.struct("start", "width")).alias("spans")).select("row", _covered("spans").alias("n_hit"))
-    by_window = of_item.where("item is not null").groupBy("window").agg(F.collect_set("item").alias("items"))
-    pairs = lookup_join(materialize(hits.select("row", "window").distinct(), "decon-pairs"), by_window, "window")
-    named = pairs.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    listed = named.select("row", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("list"))
-    out = table.drop("norm").join(spans.join(listed, "row", "left"), "row", "left")
+    of_row = hits.groupBy("row").agg(F.collect_set(F.struct("start", "width")).alias("spans"), F.array_sort(F.collect_set("window")).alias("windows"))
+    of_row = materialize(of_row.select("row", _covered("spans").alias("n_hit"), F.sha2(F.array_join("windows", ","), 256).alias("key"), "windows"), "decon-rows")
+    # Documents with the same windows have the same items, which are gathered once for all of them.
+    each = of_row.dropDuplicates(["key"]).select("key", F.explode("windows").alias("window"))
+    named = each.join(of_item.where("item is not null"), "window").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = materialize(named.select("key", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("list")), "decon-lists")
+    out = table.drop("norm").join(lookup_join(of_row.select("row", "n_hit", "key"), listed, "key"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)],
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("list", F.lit("")), 256).alias("items_sha256"),
+        F.coalesce("list", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of `docs` that hold no window of an item, with all their columns.
+
+    What is found is named by id and digest of the text, so it holds for rows
+    with null or repeated ids, too, and texts aren't kept beside their words.
+    Null and empty texts stay; no rows: no rows.
+    """
+    digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    named = docs.select(F.col(f"`{id_column}`").alias("own_id"), digest.alias("digest"), F.col(f"`{text}`").alias("own_text"))
+    found = contamination(named, items, "own_id", "own_text", item_id, item_text, width, ["own_id", "digest"])
+    found = materialize(found.where("contaminated").select(F.col("own_id").alias("_found_id"), F.col("digest").alias("_found_digest")).distinct(), "decon-found")
+    same = docs[f"`{id_column}`"].eqNullSafe(F.col("_found_id")) & (digest == F.col("_found_digest"))
+    return docs.join(found, same, "left_anti")

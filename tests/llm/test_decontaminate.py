@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from heddle.llm.decontaminate import contamination
+from heddle.llm.decontaminate import clean_documents, contamination
 
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 
@@ -66,3 +66,18 @@ def test_named_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a b", "window", 7)], "doc_id long, text string, row string, start int")
     got = contamination(docs, spark.createDataFrame([(1, "b")], "item_id long, text string"), columns=["doc_id", "text", "row", "start"])
     assert got.columns[:4] == ["doc_id", "text", "row", "start"] and got.first().n_hit == 1
+
+
+def test_a_window_of_many_items_in_many_documents(spark):
+    items = [(i, f"own{i} common words here") for i in range(60)] + [(100 + i, "common words") for i in range(60)]
+    docs = [(i, "see common words here") for i in range(200)] + [(i, "see own3 common words here " * 900) for i in (500, 501)]
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute(docs, items))
+
+
+def test_clean_documents_stay(spark):
+    docs = [(1, "a b", "x"), (1, "c", "x"), (1, "c", "x"), (None, "b a", "y"), (None, None, "y"), (2, "", None), (3, "q " * 50_000, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, digest string")
+    got = clean_documents(df, spark.createDataFrame([(1, "b")], "item_id long, text string"))
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted([d for d in docs if "b" not in (d[1] or "").split()], key=str)
+    assert clean_documents(df.limit(0), spark.createDataFrame([(1, "b")], "item_id long, text string")).count() == 0

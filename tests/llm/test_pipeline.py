@@ -70,11 +70,18 @@ def test_run_equals_its_stages(spark, stages):
 
 
 def test_odd_documents(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", None, "a", 0), (1, "", None, "a", 0), (2, "x " * 5000, "en", None, 5), (None, "y z", None, "b", 3)], schema)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, row long, key string, digest string"
+    more = (0.5, 1, 2, "k", "d")  # columns with names that the operators use
+    long = " ".join(f"Word{i % 977}" for i in range(60_000)) + "."
+    odd = [(None, None, None, None, None), (1, "", None, "a", 0), (1, "", None, "a", 0), (2, long, "en", None, 5), (2, long, "en", None, 5), (None, "y z", None, "b", 3)]
+    odd = spark.createDataFrame([(*o, *more) for o in odd], schema)
     for docs in (odd, odd.where(F.lit(False))):
-        for _, f in p.STAGES:
-            docs = p.materialize(f(spark, docs, SF), "test-stage")
+        for name, f in p.STAGES[:-1]:
+            got = p.materialize(f(spark, docs, SF), "test-stage")
+            assert got.columns == p.COLUMNS and got.count() <= docs.count(), name
+            assert got.count() or docs.isEmpty() or name == "quality"
+        p.mixing(spark, docs, SF).collect()
+    assert p.near_duplicates(spark, odd, SF).where("doc_id = 2").count() == 1
 
 
 def test_the_mix_places_every_copy(spark):
