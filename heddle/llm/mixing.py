@@ -10,6 +10,8 @@ from heddle.plans.storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
+#: Equal rows that one task sets out at once.
+RUN = 10_000
 #: A source gives at most so many times its own size.
 MAX_REPEATS = 3
 #: Weight schedules over training time 0 to 1, as knots (time, weight) joined by lines.
@@ -83,6 +85,15 @@ def fill_targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
     return sources.withColumn("target", F.least(cap.cast("double"), F.col("weight") * F.lit(level)))
 
 
+def set_out(rows: DataFrame) -> DataFrame:
+    """Each of `rows` as often as its `same` says, `before` rising by `size` from one to the next; many at once are dealt out over tasks."""
+    few = rows.where(F.col("same") <= RUN).withColumns({"_from": F.lit(0).cast("long"), "_n": F.col("same")})
+    many = rows.where(F.col("same") > RUN).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1, F.lit(RUN).cast("long"))))
+    many = many.withColumn("_n", F.least(F.lit(RUN).cast("long"), F.col("same") - F.col("_from"))).repartition("key", "digest", "size", "_from")
+    each = few.unionByName(many).withColumn("_k", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_n") - 1)))
+    return each.withColumn("before", F.col("before") + F.col("_k") * F.col("size")).drop("same", "_from", "_n", "_k", "_all")
+
+
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", schedules: tuple = SCHEDULES) -> DataFrame:
     """Each row of `docs` with its part in the mix, range-sorted by training position.
 
@@ -101,14 +112,17 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
     digest = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
-    sized = materialize(docs.select(F.col(id_column).alias("id"), F.col(source).cast("string").alias("source"), key.alias("key"), size.alias("size"), digest.alias("digest")), "mix-sizes")
-    totals = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    sized = docs.select(F.col(id_column).alias("id"), F.col(source).cast("string").alias("source"), key.alias("key"), size.alias("size"), digest.alias("digest"))
+    # Rows that agree in all of this are interchangeable: they are counted, and set out again one behind the other.
+    sized = materialize(sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("same")), "mix-sizes")
+    totals = sized.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("same")).alias("source_size"), F.count(F.lit(1)).alias("rows"))
     ranked = global_rank(totals, [F.col("source").asc_nulls_last()], "place")
     turn = lambda n: (F.col("place") - 1) % F.lit(n)
     ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (turn(len(WEIGHTS)) + 1).cast("int")))
     sources = materialize(fill_targets(materialize(ranked, "mix-ranked")), "mix-targets")
     parts = sources.select("key", "source_size", "target", turn(len(schedules)).alias("schedule"), F.round("target").cast("long").alias("words"), F.ceil(F.sqrt("rows")).cast("long").alias("parts"))
-    rows = prefix_sum(lookup_join(sized, parts, "key"), "key", "parts", ["digest", "id", "size"], "size", "before")
+    weighed = lookup_join(sized.withColumn("_all", F.col("size") * F.col("same")), parts, "key")
+    rows = set_out(prefix_sum(weighed, "key", "parts", ["digest", "id", "size"], "_all", "before"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, whole).otherwise(F.lit(0)).cast("long"))
     rest = F.col("words") - whole * F.col("source_size")

@@ -101,3 +101,14 @@ def test_every_copy_has_its_position(spark):
     # the third schedule falls from 2 to 0.5: the last pass of the only document starts where two thirds are met
     last = [x.position for x in rows if x.source == "z"]
     assert len(last) == 3 and last[0] == 0 and abs(last[2] - 0.5) < 1e-8
+
+
+def test_equal_rows_are_set_out_in_runs(spark, monkeypatch):
+    monkeypatch.setattr("heddle.llm.mixing.RUN", 7)
+    docs = [(None, "a b", "hot")] * 100 + [(None, "a", "hot")] * 3 + [(1, "c d e", "hot"), (2, "x", None)] + [(3, "same", "cold")] * 20
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mix(df).collect()
+    key = lambda rows: sorted((str(r[0]), r[1], r[2], r[3], r[4]) for r in rows)
+    assert len(got) == len(docs) and key([(r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got]) == key(brute(sorted(docs, key=lambda d: len(d[1] or ""))))
+    hot = sorted((r.before, r.size) for r in got if r.source == "hot")
+    assert all(a + n == b for (a, n), (b, _) in zip(hot, hot[1:]))
