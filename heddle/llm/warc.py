@@ -36,23 +36,25 @@ def sha1_base32(payload: Column) -> Column:
 
 
 def captured(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Numbered records of `pages`: (row, page_id, url, payload, payload_bytes, payload_digest); a null html is an empty payload."""
+    """Numbered records of `pages`: (row, page_id, url, payload, payload_bytes, payload_digest, payload_sha256); a null html is an empty payload."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    return materialize(rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload"))}), "warc-captured")
+    return materialize(rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload")), "payload_sha256": F.sha2("payload", 256)}), "warc-captured")
 
 
 def resolve_revisits(headers: DataFrame, min_payload: int = 0) -> DataFrame:
     """(row, refers_to, refers_row, refers_url) of the records that revisit another one.
 
-    `headers` has row, page_id, url, payload_bytes and payload_digest, but no
-    payload, and is what is shuffled. Of records with one digest and length the
+    `headers` has row, page_id, url, payload_bytes, payload_digest and
+    payload_sha256, but no payload, and is what is shuffled. Payloads that share
+    the archive's SHA-1 are equal if their SHA-256 is, too, so that no collision
+    of the former makes a revisit. Of equal ones the
     one with the smallest page_id (null last), then row, is the response;
     payloads below `min_payload` bytes are left alone. Digests with a single
     record leave before the join, and frequent ones are joined by a broadcast.
     """
     same = headers.where(F.col("payload_bytes") >= min_payload)
-    key = F.concat_ws(":", "payload_digest", "payload_bytes").alias("key")
+    key = F.concat_ws(":", "payload_digest", "payload_sha256").alias("key")
     first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row", "url")).alias("first")
     groups = same.groupBy(key).agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
     met = lookup_join(same.select("row", key), groups, "key").where(F.col("first.row") != F.col("row"))
@@ -102,6 +104,8 @@ def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES,
             nonlocal out, number, n, size
             out.close()
             name = f"{folder}/part-{task.partitionId():06d}-{number:05d}.warc.gz"
+            if store.get_file_info(name).type != fs.FileType.NotFound:
+                store.delete_file(name)  # an equal file of an earlier attempt, over which some stores can't rename
             store.move(temporary, name)
             made.append((name.rsplit("/", 1)[1], n, size))
             out, n, size, number = None, 0, 0, number + 1
@@ -202,7 +206,7 @@ def archive(pages: DataFrame, path: str, min_payload: int = 0, id_column: str =
     """
     records = captured(pages, id_column, url, html)
     revisits = materialize(resolve_revisits(records.drop("payload"), min_payload), "warc-revisits")
-    return write_archives(records.join(revisits, "row", "left"), path)
+    return write_archives(records.drop("payload_sha256").join(revisits, "row", "left"), path)
 
 
 def rewrite_archives(spark: SparkSession, source: str, path: str, min_payload: int = 0) -> DataFrame:
@@ -215,9 +219,10 @@ def rewrite_archives(spark: SparkSession, source: str, path: str, min_payload: i
     originals = old.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("payload").alias("found")).dropDuplicates(["refers_to_id"])
     again = lookup_join(old.where("record_type = 'revisit'"), originals, "refers_to_id").where("found is not null").withColumn("payload", F.col("found")).drop("found")
     columns = ["row", "page_id", "url", "payload", "payload_bytes", "payload_digest"]
-    records = materialize(old.where("record_type = 'response'").select(*columns).unionByName(again.select(*columns)), "warc-captured")
+    every = old.where("record_type = 'response'").select(*columns).unionByName(again.select(*columns))
+    records = materialize(every.withColumn("payload_sha256", F.sha2("payload", 256)), "warc-captured")
     revisits = materialize(resolve_revisits(records.drop("payload"), min_payload), "warc-revisits")
-    return write_archives(records.join(revisits, "row", "left"), path)
+    return write_archives(records.drop("payload_sha256").join(revisits, "row", "left"), path)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
