@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,6 +20,10 @@ LISTS = 4
 BLOCK_QUERIES = 4_096
 #: Rows of a slice and queries that are multiplied at once.
 BLOCK_ROWS, BLOCK_COLS = 2_048, 512
+#: Share of a block's entries above which a query's list is summed for all of them at once.
+DENSE_SHARE = 0.1
+#: Times k: entries of the first list whose totals a slice looks at for the cutoff.
+GATHERED = 4
 #: Products of integers are exact in doubles below this.
 EXACT = float(1 << 53)
 
@@ -40,31 +43,79 @@ def _matrix(flat: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
     return out[:, :width]
 
 
-def _lists(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Scores in each list: LISTS x rows x queries; doubles where these are exact, else whole numbers of any size."""
+def _kind(v: np.ndarray, q: np.ndarray) -> type:
+    """Doubles where all sums of products are exact in them, else whole numbers of any size."""
     top = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, v.shape[1])
-    kind = np.float64 if top < EXACT else object
-    cuts = np.linspace(0, v.shape[1], LISTS + 1).astype(int)
-    return np.stack([v[:, a:b].astype(kind) @ q[:, a:b].astype(kind).T for a, b in zip(cuts, cuts[1:])])
+    return np.float64 if top < EXACT else object
 
 
-def _slices(batches: Iterator[pa.RecordBatch], queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
-    """(rows, ids, first query, scores in each list) for blocks of a partition's vectors and of the queries."""
+def _cuts(width: int) -> list[tuple[int, int]]:
+    at = np.linspace(0, width, LISTS + 1).astype(int).tolist()
+    return list(zip(at, at[1:]))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, ids, vectors) of blocks of a partition."""
     for b in batches:
         for at in range(0, b.num_rows, BLOCK_ROWS):
             part = b.slice(at, BLOCK_ROWS)
             v = part.column(2)
             v = _matrix(v.flatten().to_numpy(zero_copy_only=False), v.value_lengths().to_numpy(zero_copy_only=False), queries.shape[1])
-            rows, ids = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for c in range(0, len(queries), BLOCK_COLS):
-                yield rows, ids, c, _lists(v, queries[c : c + BLOCK_COLS])
+            yield *(part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)), v
+
+
+def local_best(v: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Phase 1: totals (entries x queries) of the best entries of each query's first list; `own` marks the query's own row. -inf: no entry."""
+    kind = _kind(v, q)
+    a, b = _cuts(v.shape[1])[0]
+    first = (v[:, a:b].astype(kind) @ q[:, a:b].astype(kind).T).astype(np.float64)
+    first[own] = -np.inf
+    k = min(GATHERED * k, len(v))
+    rows = np.argpartition(first, len(v) - k, axis=0)[-k:]
+    total = np.stack([(v[r].astype(kind) * q.astype(kind)).sum(axis=1).astype(np.float64) for r in rows])
+    total[np.take_along_axis(own, rows, axis=0)] = -np.inf
+    return total
+
+
+def sufficient_entries(v: np.ndarray, q: np.ndarray, own: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Phases 2 and 3: (row, query, score) of all pairs that reach their query's cutoff, and the number of list products that it took.
+
+    A total that reaches the cutoff has a list that reaches cutoff / LISTS, and
+    what lists aren't summed yet adds the product of its lengths at most. Lists
+    are taken one by one: a pair whose sum cannot reach the cutoff, or none of
+    whose lists can reach its part, is dropped, and the rest are resolved.
+    """
+    kind = _kind(v, q)
+    parts = _cuts(v.shape[1])
+    cut = np.where(np.isfinite(cut), cut - np.abs(cut) * 1e-12 - 1, cut)[None, :]  # scores are whole numbers, and lengths are rounded
+    part = cut / LISTS
+    length = lambda m, a, b: np.sqrt((m[:, a:b].astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-12)
+    total = np.zeros((len(v), len(q)), kind)
+    alive, entered, products = ~own, np.zeros(own.shape, bool), 0
+    for n, (a, b) in enumerate(parts):
+        many = alive.mean(axis=0) > DENSE_SHARE
+        d = np.flatnonzero(many)
+        one = v[:, a:b].astype(kind) @ q[d, a:b].astype(kind).T
+        total[:, d] += one
+        entered[:, d] |= one.astype(np.float64) >= part[:, d]
+        r, j = np.nonzero(alive & ~many)
+        one = (v[r, a:b].astype(kind) * q[j, a:b].astype(kind)).sum(axis=1)
+        total[r, j] += one
+        entered[r, j] |= one.astype(np.float64) >= part[0, j]
+        products += len(v) * len(d) + len(r)
+        rest = length(v, b, None)[:, None] * length(q, b, None)[None, :]
+        alive &= total.astype(np.float64) + rest >= cut
+        later = [length(v, *p)[:, None] * length(q, *p)[None, :] >= part for p in parts[n + 1 :]]
+        alive &= np.logical_or.reduce([entered, *later])
+    r, j = np.nonzero(alive)
+    return r, j, total[r, j], products
 
 
 def _cutoffs(vectors: DataFrame, q_rows: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
     """Phases 1 and 2a: a score that the k-th best of each query is known to reach; -inf with fewer than k candidates.
 
-    Each slice gathers, for every query, the best entries of its local lists and
-    sends the k highest totals among them. The k-th highest of what all slices
+    Each partition gathers, for every query, the best entries of its local
+    lists and sends the k highest totals among them. The k-th highest of what all
     send is reached by k vectors, so it is a safe cutoff.
     """
     shared = vectors.sparkSession.sparkContext.broadcast((q_rows, q))
@@ -72,61 +123,36 @@ def _cutoffs(vectors: DataFrame, q_rows: np.ndarray, q: np.ndarray, k: int) -> n
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_rows, q = shared.value
         best = np.full((len(q), k), -np.inf)
-        for rows, _, c, lists in _slices(batches, q):
-            n = lists.shape[2]
-            total = lists.sum(axis=0).astype(np.float64)
-            seen = np.zeros(total.shape, bool)
-            for one in lists:
-                one = one.astype(np.float64)
-                seen |= one >= np.partition(one, max(0, len(rows) - k), axis=0)[max(0, len(rows) - k)][None, :]
-            total[~seen | (rows[:, None] == q_rows[None, c : c + n])] = -np.inf
-            both = np.concatenate([best[c : c + n].T, total])
-            best[c : c + n] = np.partition(both, len(both) - k, axis=0)[-k:].T
+        for rows, _, v in _slices(batches, q):
+            for c in range(0, len(q), BLOCK_COLS):
+                own = rows[:, None] == q_rows[None, c : c + BLOCK_COLS]
+                both = np.concatenate([best[c : c + BLOCK_COLS].T, local_best(v, q[c : c + BLOCK_COLS], own, k)])
+                best[c : c + BLOCK_COLS] = np.partition(both, len(both) - k, axis=0)[-k:].T
         at = np.flatnonzero(np.isfinite(best).any(axis=1))
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(best[at]))], names=["q", "best"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        every = np.sort(np.concatenate(list(pdf["best"])))
-        return pd.DataFrame({"q": pdf["q"][:1], "cut": [every[-k]]})
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([b[np.isfinite(b)] for b in best[at]])], names=["q", "best"])
 
-    sent = vectors.mapInArrow(gather, "q long, best array<double>")
-    # One short list per slice and query; BLOCK_QUERIES rows reach the driver at most.
-    cuts = sent.groupBy("q").applyInPandas(merge, "q long, cut double").toPandas()
+    sent = vectors.mapInArrow(gather, "q long, best array<double>").select("q", F.explode("best").alias("cut"))
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("cut")))
+    # BLOCK_QUERIES rows reach the driver at most.
+    cuts = sent.withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k).select("q", "cut").toPandas()
     out = np.full(len(q), -np.inf)
-    out[cuts["q"].to_numpy()] = cuts["cut"].to_numpy()
+    out[cuts["q"].to_numpy(np.int64)] = cuts["cut"].to_numpy(np.float64)
     return out
 
 
 def _sufficient(vectors: DataFrame, q_rows: np.ndarray, q: np.ndarray, cuts: np.ndarray) -> DataFrame:
-    """Phases 2 and 3: (q, id, row, score) of every vector that reaches its query's cutoff.
-
-    A total that reaches the cutoff has a list that reaches cutoff / LISTS. Only
-    vectors with such an entry are collected; what their other lists can add at
-    most prunes them, and the rest are resolved to exact whole-number scores.
-    """
+    """Phases 2 and 3: (q, id, row, score) of every vector that reaches its query's cutoff, with its exact score."""
     shared = vectors.sparkSession.sparkContext.broadcast((q_rows, q, cuts))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_rows, q, cuts = shared.value
-        for rows, ids, c, lists in _slices(batches, q):
-            n = lists.shape[2]
-            cut = cuts[None, c : c + n]
-            cut = np.where(np.isfinite(cut), cut - np.abs(cut) * 1e-12, cut)  # totals beyond 2**53 were rounded
-            part = cut / LISTS
-            most = np.zeros(lists.shape[1:])
-            entered = np.zeros(lists.shape[1:], bool)
-            for one in lists:
-                over = one >= part
-                entered |= over
-                most += np.where(over, one.astype(np.float64), np.where(np.isfinite(part), part, 0))
-            # Rounding of `most` is far below 1, and scores are whole numbers.
-            r, j = np.nonzero(entered & (most >= cut - 1) & (rows[:, None] != q_rows[None, c : c + n]))
-            score = lists[:, r, j].sum(axis=0)
-            keep = score >= cut[0, j]
-            r, j, score = r[keep], j[keep], score[keep]
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(j + c), pa.array(ids[r]), pa.array(rows[r]), pa.array([int(x) for x in score], pa.int64())], names=["q", "id", "row", "score"])
+        for rows, ids, v in _slices(batches, q):
+            for c in range(0, len(q), BLOCK_COLS):
+                own = rows[:, None] == q_rows[None, c : c + BLOCK_COLS]
+                r, j, score, _ = sufficient_entries(v, q[c : c + BLOCK_COLS], own, cuts[c : c + BLOCK_COLS])
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(j + c), pa.array(ids[r]), pa.array(rows[r]), pa.array([int(x) for x in score], pa.int64())], names=["q", "id", "row", "score"])
 
     return vectors.mapInArrow(collect, "q long, id long, row long, score long")
 

@@ -3,9 +3,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
-from heddle.llm.topk import top_k
+from heddle.llm.topk import LISTS, local_best, sufficient_entries, top_k
 
 
 def brute(rows, k=10):
@@ -49,3 +50,17 @@ def test_lengths_differ(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0]), (2, [1.0, 1.0, 9.0]), (3, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(tuple(x) for x in top_k(df, "id % 100 = 0").collect()) == brute(rows)
+
+
+def test_the_cutoff_saves_products():
+    """Clustered vectors: most pairs are dropped before their last lists are summed, and no sufficient one is."""
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 64))
+    v = np.floor(300 * (centres[r.integers(0, 40, 2_000)] + 0.2 * r.normal(size=(2_000, 64)))).astype(np.int64)
+    q, own = v[:50], np.arange(2_000)[:, None] == np.arange(50)[None, :]
+    total = np.where(own, -(1 << 60), v @ q.T)
+    cut = np.sort(local_best(v, q, own, 10), axis=0)[-10]
+    assert (cut <= np.sort(total, axis=0)[-10]).all()
+    rows, j, score, products = sufficient_entries(v, q, own, cut)
+    assert products < 0.7 * LISTS * own.size
+    assert {(a, b): c for a, b, c in zip(rows.tolist(), j.tolist(), score.tolist())} .items() >= {(a, b): total[a, b] for a, b in zip(*np.nonzero(total >= cut))}.items()
