@@ -45,12 +45,13 @@ def near_pairs(reps: DataFrame, threshold: float = LIMITS.duplicate_similarity)
     joined, sizes bound the partners, and the candidates are verified exactly.
     Texts without words have no pairs.
     """
-    sets = reps.where(F.size("tokens") > 0).select(F.col("rep").alias("id"), F.explode("tokens").alias("token"))
-    counts = sets.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ordered = lookup_join(sets, counts, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    ordered = materialize(ordered.withColumn("size", F.size("t")), "near-sets")
-    need = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)) + 1
-    prefix = ordered.select("id", "size", F.explode(F.slice("t", F.lit(1), need.cast("int"))).alias("x")).where("x.n > 1").select("id", "size", F.col("x.token").alias("token"))
+    sets = reps.where(F.size("tokens") > 0).select(F.col("rep").alias("id"), F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    # Tokens of one text alone come first in its order and are shared with none, so their number is enough.
+    counts = sets.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ordered = lookup_join(sets, counts, "token").where("n is not null").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    ordered = materialize(ordered, "near-sets")
+    need = F.greatest(F.lit(0), F.size("t") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)) + 1)
+    prefix = ordered.select("id", "size", F.explode(F.slice("t", F.lit(1), need.cast("int"))).alias("x")).select("id", "size", F.col("x.token").alias("token"))
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = F.col("a.size") * threshold <= F.col("b.size") + 1e-9
     fits = fits & (F.col("b.size") * threshold <= F.col("a.size") + 1e-9)
