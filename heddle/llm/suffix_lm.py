@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from hashlib import md5
@@ -17,27 +16,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.plans.storage import materialize
+from heddle.plans.storage import drop_tables, materialize
 
 #: The word after the last; real words are never empty.
 END = b""
-#: The alphabet of the bounded tree (`grow`), which the operator doesn't use: END, the commonest words, and classes of all other words by their last two bytes.
-SYMBOLS, CLASSES = 1_024, 256
-FREQUENT = SYMBOLS - CLASSES - 1
-SHIFT = 10
 MAX_DEPTH = 3
-#: A context may be retained if it comes MIN_COUNT times; in the bounded tree it must also make
-#: up more than one in MAX_CONTEXTS of all training positions.
-MAX_CONTEXTS, MIN_COUNT = 3_000, 20
+#: A context may be retained if it comes MIN_COUNT times.
+MIN_COUNT = 20
 #: Words whose counts all workers hold; others are looked up by a join. The limit bounds the
 #: broadcast, and as these are the commonest words, none of the joined words is frequent.
 HELD_WORDS = 65_536
+#: Bytes of the longest word that is held.
+HELD_BYTES = 256
 #: Different words that a worker counts before it passes the counts on, and bytes of text split at once.
 COUNTED_WORDS, PIECE_BYTES = 200_000, 2_000_000
 #: Positions that a worker combines before it passes their counts on, cells whose part in the score all
-#: workers hold (the others are looked up by a join), and bits of the filter of retained contexts. A full
+#: workers hold (the others are looked up by a join), and bits of the filters of contexts. A full
 #: filter lets all contexts through to the joins; it never decides what is retained.
-COUNTED_CELLS, HELD_CELLS, FILTER_BITS = 1_000_000, 262_144, 1 << 26
+COUNTED_CELLS, HELD_CELLS, FILTER_BITS = 1_000_000, 1 << 20, 1 << 26
+#: Bits that a context differs by from the cell that it is, in lookups.
+CONTEXT = 0x5555_5555_5555_5555
+#: Words of 64 bits in which a filter is sent.
+FILTER_BLOCK = 1 << 14
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -46,11 +46,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_class(word: bytes) -> int:
-    """Class symbol of a word by its last two bytes."""
-    return 1 + FREQUENT + zlib.crc32(word[-2:]) % CLASSES
-
-
 def pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """(tokens, text number of each): the texts' words, each text's with END behind, in pieces of bounded size."""
     tokens: list[bytes] = []
@@ -83,24 +78,13 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
 
 @dataclass
 class Lexicon:
-    """The held words (the first `alone` are symbols of their own) and what is needed of the counts of all others. Size set by the parameters."""
+    """The held words' numbers and training counts, and the totals of all. Size set by the parameters."""
 
     number: dict[bytes, int]
-    symbol: np.ndarray
     count: np.ndarray
-    class_mass: np.ndarray
-    alone: int
     train_tokens: int
     vocabulary: int
 
-    def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(held number or -1, symbol) of each token."""
-        held = np.fromiter(map(self.number.get, tokens, repeat(-1)), np.int32, len(tokens))
-        symbol = self.symbol[held]
-        rare = np.flatnonzero(held < 0)
-        symbol[rare] = [word_class(tokens[i]) for i in rare.tolist()]
-        return held, symbol
-
 
 def _binary(batch: pa.RecordBatch, column: int) -> list[bytes]:
     """Texts of a batch as UTF-8; null is empty."""
@@ -133,160 +117,25 @@ def count_words(docs: DataFrame, text: str, training: str) -> DataFrame:
     return rows.groupBy("word").agg(F.coalesce(F.sum(F.when(F.col("training"), F.col("n"))), F.lit(0)).alias("n"), F.sum("n").alias("every"))
 
 
-def lexicon(counts: DataFrame, held: int = HELD_WORDS) -> Lexicon:
-    """The commonest words of the training texts, the `held` commonest of all texts, and the mass of each word class.
-
-    All texts only decide which counts are at hand; symbols and masses come from training texts alone.
-    """
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    real = counts.where(F.octet_length("word") > 0)
-    pairs = lambda df: [(bytes(w), int(c)) for w, c in df.select("word", "n").toPandas().itertuples(index=False)]
-    top = pairs(real.where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT))
-    held_words = pairs(real.orderBy(F.desc("every"), "word").limit(held))
-    by_word = dict([(END, dict(pairs(counts.where(F.octet_length("word") == 0))).get(END, 0)), *top, *held_words])
-    alone = 1 + len(top)
-    number = {w: i for i, w in enumerate(by_word)}
-    symbol = np.array([i if i < alone else word_class(w) for w, i in number.items()] + [0], np.int32)
-    count = np.array(list(by_word.values()), np.float64)
-    of_class = (F.crc32(F.expr("substring(word, -2, 2)")) % CLASSES).cast("int").alias("c")
-    mass = np.full(CLASSES, 0.5)
-    for c, m in real.where("n > 0").groupBy(of_class).agg(F.sum(F.col("n") + 0.5)).collect():
-        mass[c] += m
-    for w, c in top:  # these are symbols of their own
-        mass[word_class(w) - 1 - FREQUENT] -= c + 0.5
-    return Lexicon(number, symbol, count, np.maximum(mass, 0.5), alone, int(n), int(v))
-
-
-def context_codes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code, valid) of the context before each position from MAX_DEPTH on; END may only be its oldest symbol."""
-    n = len(symbols) - MAX_DEPTH
-    code, valid = np.zeros(n, np.int64), np.ones(n, bool)
-    for j in range(1, depth + 1):
-        s = symbols[MAX_DEPTH - j : MAX_DEPTH - j + n]
-        code |= s.astype(np.int64) << (SHIFT * (j - 1))
-        if j < depth:
-            valid &= s != 0
-    return code, valid
-
-
-def finder(codes: np.ndarray, depth: int) -> Callable[[np.ndarray], np.ndarray]:
-    """A function from codes to their places in the sorted `codes`, -1 where they aren't among them."""
-    if depth <= 2:
-        table = np.full(1 << (SHIFT * depth), -1, np.int32)
-        table[codes] = np.arange(len(codes))
-        return table.__getitem__
-
-    def search(wanted: np.ndarray) -> np.ndarray:
-        if not len(codes):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
-        return np.where(codes[at] == wanted, at, -1)
-
-    return search
-
-
-@dataclass
-class Tree:
-    """Retained contexts by depth (sorted codes and their rows) and log10 probabilities of the next symbol. Row 0: no context."""
-
-    codes: list[np.ndarray]
-    rows: list[np.ndarray]
-    logs: np.ndarray
-
-    def finders(self) -> list[Callable[[np.ndarray], np.ndarray]]:
-        """Lookups of the contexts of each depth."""
-        return [finder(c, d) for d, c in enumerate(self.codes, 1)]
-
-    def states(self, symbols: np.ndarray, finders: list[Callable[[np.ndarray], np.ndarray]]) -> np.ndarray:
-        """Row of the longest retained suffix before each position from MAX_DEPTH on."""
-        out = np.zeros(len(symbols) - MAX_DEPTH, np.int32)
-        live = np.arange(len(out))
-        for depth, (find, rows) in enumerate(zip(finders, self.rows), 1):
-            code, valid = context_codes(symbols, depth)
-            live = live[valid[live]]
-            at = find(code[live])
-            live, at = live[at >= 0], at[at >= 0]  # every suffix of a retained context is retained
-            out[live] = rows[at]
-        return out
-
+def commonest(rows: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows with the highest `n`, `most` at most, by a threshold, so that none but these leave the executors."""
+    size = F.floor(F.log2(F.col(n)) * 64).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in rows.where(F.col(n) > 0).groupBy(size.alias("size")).count().collect()), reverse=True)
+    total, least = 0, 1 << 30
+    for at, count in sizes:
+        if total + count > most:
+            break
+        total, least = total + count, at
+    return rows.where((F.col(n) > 0) & (size >= least))
 
-def count_next(docs: DataFrame, text: str, lex: Lexicon, contexts: np.ndarray, depth: int) -> np.ndarray:
-    """Counts (contexts x symbols) of what follows each of the given contexts in all of `docs`."""
-    shared = docs.sparkSession.sparkContext.broadcast((lex, contexts))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, contexts = shared.value
-        cells = np.zeros(len(contexts) * SYMBOLS, np.int64)
-        find = finder(contexts, depth)
-        carry = np.zeros(MAX_DEPTH, np.int32)
-        for b in batches:
-            for tokens, _ in pieces(_binary(b, 0)):
-                s = np.concatenate([carry, lex.encode(tokens)[1]])
-                carry = s[-MAX_DEPTH:]
-                code, valid = context_codes(s, depth)
-                target = s[MAX_DEPTH:][valid]
-                at = find(code[valid])
-                cells += np.bincount(at[at >= 0] * SYMBOLS + target[at >= 0], minlength=len(cells))
-        full = np.flatnonzero(cells)
-        for a in range(0, len(full), 65_536):
-            part = full[a : a + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], names=["cell", "n"])
-
-    out = np.zeros((len(contexts), SYMBOLS), np.int64)
-    if len(contexts):
-        # Fewer than MAX_CONTEXTS * SYMBOLS cells come back, whatever the corpus.
-        found = docs.select(text).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-        out.reshape(-1)[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy()
-    return out
-
-
-def grow(docs: DataFrame, text: str, lex: Lexicon, depth: int = MAX_DEPTH) -> Tree:
-    """The tree learned from all of `docs`.
-
-    A context's distribution is its counts smoothed towards that of its longest
-    retained suffix, by Witten and Bell's weight. It is retained if its
-    divergence from that suffix, times its count, exceeds what its number of
-    different next symbols would bring by chance (half a log of the count each).
-    """
-    weight = np.zeros(SYMBOLS)
-    weight[: lex.alone] = lex.count[: lex.alone] + 0.5
-    weight[FREQUENT + 1 :] = lex.class_mass
-    probs = [weight / weight.sum()]
-    least = max(MIN_COUNT, lex.train_tokens / MAX_CONTEXTS)
-    codes_by, rows_by = [], []
-    contexts = np.arange(SYMBOLS, dtype=np.int64)
-    known = {}  # code and depth of retained contexts to their rows
-    for d in range(1, depth + 1):
-        counts = count_next(docs, text, lex, contexts, d)
-        kept_codes, kept_rows, further = [], [], []
-        for code, c in zip(contexts.tolist(), counts):
-            n = int(c.sum())
-            if n < least:
-                continue
-            parent = known.get((d - 1, code & ((1 << SHIFT * (d - 1)) - 1)), 0)
-            seen = c > 0
-            t = int(seen.sum())
-            ratio = c[seen] / n
-            gain = n * float((ratio * np.log(ratio / probs[parent][seen])).sum())
-            if gain <= 0.5 * t * np.log(n):
-                continue
-            probs.append((c + t * probs[parent]) / (n + t))
-            known[d, code] = len(probs) - 1
-            kept_codes.append(code)
-            kept_rows.append(len(probs) - 1)
-        codes_by.append(np.array(kept_codes, np.int64))
-        rows_by.append(np.array(kept_rows, np.int32))
-        if d < depth:
-            # Longer contexts: an older symbol before a retained one. Their counts are those of this depth's continuations.
-            oldest_first = np.flatnonzero(counts.reshape(-1) >= least)
-            for cell in oldest_first.tolist():
-                code, new = divmod(cell, SYMBOLS)
-                longer = (int(contexts[code]) << SHIFT) | new
-                if new and (d, longer & ((1 << SHIFT * d) - 1)) in known:
-                    further.append(longer)
-            contexts = np.array(sorted(further), np.int64)
-    # Symbols that no word has, as there are fewer words, have no share; they never come up.
-    return Tree(codes_by, rows_by, np.log10(np.maximum(np.stack(probs), 1e-300)).astype(np.float32))
+def lexicon(counts: DataFrame, held: int = HELD_WORDS) -> Lexicon:
+    """The commonest words of all texts, `held` at most, with their counts in training texts. All texts only decide which counts are at hand."""
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    top = commonest(counts.where(F.octet_length("word").between(1, HELD_BYTES)), "every", held)
+    words = top.unionByName(counts.where(F.octet_length("word") == 0)).select("word", "n").toArrow()
+    by_word = {END: 0} | dict(zip(words.column(0).to_pylist(), words.column(1).to_pylist()))
+    return Lexicon({w: i for i, w in enumerate(by_word)}, np.array(list(by_word.values()), np.float64), int(n), int(v))
 
 
 # --- the tree over all words, in tables ---------------------------------------------------
@@ -309,20 +158,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def cell_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Key of each context with the word behind it."""
+    """Key of each context with the word behind it, which is the context that the two make."""
     return mixed(contexts * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
-def contexts_before(words: np.ndarray, usable: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(context, valid) before each position from MAX_DEPTH on, by depth; END may only be the oldest word of one."""
-    n = len(words) - MAX_DEPTH
-    code, valid = np.zeros(n, np.uint64), np.ones(n, bool)
-    for j in range(1, MAX_DEPTH + 1):
-        w = words[MAX_DEPTH - j : MAX_DEPTH - j + n]
-        code = mixed(code * np.uint64(0xD6E8FEB86659FD93) + w + np.uint64(j))
-        valid = valid & usable[MAX_DEPTH - j : MAX_DEPTH - j + n]
-        yield code, valid
-        valid = valid & (w != np.uint64(word_hash(END)))
+def contexts_before(words: np.ndarray, usable: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(context, valid) before each position, by depth; END may only be the oldest word of one. A context is the cell of its newest word."""
+    end = np.uint64(word_hash(END))
+    code, valid = np.zeros(len(words), np.uint64), np.ones(len(words), bool)
+    out = []
+    for depth in range(1, MAX_DEPTH + 1):
+        longer, ok = np.zeros(len(words), np.uint64), np.zeros(len(words), bool)
+        longer[1:] = cell_keys(code[:-1], words[:-1])
+        ok[1:] = valid[:-1] & usable[:-1] & (True if depth == 1 else words[:-1] != end)
+        code, valid = longer, ok
+        out.append((code, valid))
+    return out
 
 
 @dataclass
@@ -363,12 +214,36 @@ class Filter:
 
     @classmethod
     def of(cls, contexts: DataFrame) -> Filter:
-        """The filter of a table's contexts. At most FILTER_BITS / 64 rows reach the driver."""
-        at = F.explode(F.array(*[F.shiftrightunsigned("ctx", k).bitwiseAND(FILTER_BITS - 1) for k in (0, 32)]))
-        rows = contexts.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toPandas()
-        out = np.zeros(FILTER_BITS // 64, np.uint64)
-        out[rows["place"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-        return cls(out)
+        """The filter of a table's contexts (ctx). Its bits are set by partition, united on the executors and reach the driver once."""
+        blocks = FILTER_BITS // 64 // FILTER_BLOCK
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(FILTER_BITS // 8, np.uint8)
+            for b in batches:
+                ctx = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                for k in (0, 32):
+                    at = (ctx >> np.uint64(k)) & np.uint64(FILTER_BITS - 1)
+                    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+            yield from send(enumerate(bits.reshape(blocks, -1)))
+
+        def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            for b in batches:
+                for block, data in zip(b.column(0).to_pylist(), b.column(1)):
+                    new = np.frombuffer(pa.decompress(data.as_py(), FILTER_BLOCK * 8, "zstd", asbytes=True), np.uint8)
+                    found[block] = found[block] | new if block in found else new
+            yield from send(found.items())
+
+        def send(rows) -> Iterator[pa.RecordBatch]:
+            for block, bits in rows:
+                if bits.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pa.compress(bits.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["block", "bits"])
+
+        schema = "block int, bits binary"
+        out = np.zeros((blocks, FILTER_BLOCK * 8), np.uint8)
+        for r in contexts.select("ctx").mapInArrow(mark, schema).repartition("block").mapInArrow(unite, schema).collect():
+            out[r["block"]] = np.frombuffer(pa.decompress(bytes(r["bits"]), FILTER_BLOCK * 8, "zstd", asbytes=True), np.uint8)
+        return cls(out.reshape(-1).view(np.uint64))
 
     def may_have(self, contexts: np.ndarray) -> np.ndarray:
         """False only for contexts that aren't in the table."""
@@ -383,16 +258,18 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def count_cells(docs: DataFrame, text: str, reader: Reader, shorter: Filter | None, depth: int) -> DataFrame:
+def count_cells(docs: DataFrame, text: str, reader: Reader, shorter: Filter | None, pairs: Filter | None, depth: int) -> DataFrame:
     """(key, ctx, shorter_key, n): what follows the contexts of a depth in all of `docs`, counted piecewise.
 
     `shorter_key` is the key of the same word behind the context without its
-    oldest word; at depth 1, the word's hash.
+    oldest word; at depth 1, the word's hash. A context that can't be retained
+    is passed over: one whose shorter one isn't, or whose two oldest words come
+    less than MIN_COUNT times (`pairs` has those that come so often).
     """
-    shared = docs.sparkSession.sparkContext.broadcast((reader, shorter))
+    shared = docs.sparkSession.sparkContext.broadcast((reader, shorter, pairs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, shorter = shared.value
+        reader, shorter, pairs = shared.value
         carry = np.full(MAX_DEPTH, word_hash(END), np.uint64), np.ones(MAX_DEPTH, bool)
         found: list[tuple[np.ndarray, ...]] = []
 
@@ -409,13 +286,13 @@ def count_cells(docs: DataFrame, text: str, reader: Reader, shorter: Filter | No
                 _, words, usable = reader.read(tokens)
                 words, usable = np.concatenate([carry[0], words]), np.concatenate([carry[1], usable])
                 carry = words[-MAX_DEPTH:], usable[-MAX_DEPTH:]
-                levels = list(contexts_before(words, usable))
+                levels = contexts_before(words, usable)
                 ctx, valid = levels[depth - 1]
-                at = np.flatnonzero(valid)
+                at = np.flatnonzero(valid[MAX_DEPTH:]) + MAX_DEPTH
                 if depth > 1:
+                    at = at[pairs.may_have(levels[1][0][at - (depth - 2)])]
                     at = at[shorter.may_have(levels[depth - 2][0][at])]
-                after = words[MAX_DEPTH:][at]
-                found.append((cell_keys(ctx[at], after), ctx[at], after if depth == 1 else cell_keys(levels[depth - 2][0][at], after)))
+                found.append((cell_keys(ctx[at], words[at]), ctx[at], words[at] if depth == 1 else cell_keys(levels[depth - 2][0][at], words[at])))
                 if sum(len(f[0]) for f in found) > COUNTED_CELLS:
                     yield from flush()
         if found:
@@ -428,24 +305,31 @@ def grow_tables(docs: DataFrame, text: str, counts: DataFrame, reader: Reader, n
     """Retained cells by depth (key, ctx, n, p, gain10, back10), learned from all of `docs`.
 
     Every word is a symbol and every context that comes MIN_COUNT times is
-    tested, so both grow with the corpus. Smoothing and the test are those of
-    `grow`. gain10 is log10 of a word's probability behind the context over that
-    behind the shorter one; back10 is the same for words never seen behind it.
+    tested, so both grow with the corpus. A context's distribution is its counts
+    smoothed towards that of its longest retained suffix, by Witten and Bell's
+    weight. It is retained if its divergence from that suffix, times its count,
+    exceeds what its number of different next words would bring by chance (half
+    a log of the count each). gain10 is log10 of a word's probability behind the
+    context over that behind the shorter one; back10 is the same for words never
+    seen behind it.
     """
     shorter_p = counts.where("n > 0").select(_word_hash("word").alias("shorter_key"), ((F.col("n") + 0.5) / F.lit(norm)).alias("shorter_p"))
     out: list[DataFrame] = []
-    shorter = None
+    shorter = pairs = None
     for d in range(1, depth + 1):
         w = W.partitionBy("ctx")
-        cells = count_cells(docs, text, reader, shorter, d).repartition("ctx").groupBy("ctx", "key", "shorter_key").agg(F.sum("n").alias("n"))
+        cells = count_cells(docs, text, reader, shorter, pairs, d).repartition("ctx").groupBy("ctx", "key", "shorter_key").agg(F.sum("n").alias("n"))
         cells = cells.withColumns({"all": F.sum("n").over(w), "t": F.count(F.lit(1)).over(w)}).where(F.col("all") >= MIN_COUNT)
         # A context whose shorter one isn't retained finds none of its cells here.
         cells = materialize(cells.join(shorter_p, "shorter_key"), "lm-cells")
+        if d == 1:
+            pairs = Filter.of(cells.where(F.col("n") >= MIN_COUNT).select(F.col("key").alias("ctx")))
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("shorter_p")))
         kept = cells.groupBy("ctx").agg(gain.alias("gain"), F.first("all").alias("all"), F.first("t").alias("t")).where(F.col("gain") > 0.5 * F.col("t") * F.log("all")).select("ctx")
         p = (F.col("n") + F.col("t") * F.col("shorter_p")) / (F.col("all") + F.col("t"))
         level = cells.join(kept, "ctx", "left_semi").withColumn("p", p)
         level = materialize(level.select("key", "ctx", "n", "p", F.log10(F.col("p") / F.col("shorter_p")).alias("gain10"), F.log10(F.col("t") / (F.col("all") + F.col("t"))).alias("back10")), "lm-level")
+        drop_tables(cells)
         out.append(level)
         shorter = Filter.of(level.select("ctx").distinct())
         shorter_p = level.select(F.col("key").alias("shorter_key"), F.col("p").alias("shorter_p"))
@@ -460,7 +344,8 @@ def lookups(levels: list[DataFrame]) -> DataFrame:
     """
     every = reduce(DataFrame.unionByName, levels)
     cells = every.select("key", "n", F.col("gain10").alias("inside"), (F.col("gain10") - F.col("back10")).alias("ahead"))
-    return cells.unionByName(every.groupBy(F.col("ctx").alias("key")).agg(F.sum("n").alias("n"), F.lit(0.0).alias("inside"), F.first("back10").alias("ahead")))
+    own = every.withColumn("key", F.col("ctx").bitwiseXOR(CONTEXT))  # as the context is also a cell's key
+    return cells.unionByName(own.groupBy("key").agg(F.sum("n").alias("n"), F.lit(0.0).alias("inside"), F.first("back10").alias("ahead")))
 
 
 def score_texts(docs: DataFrame, text: str, lex: Lexicon, reader: Reader, table: DataFrame, retained: Filter) -> DataFrame:
@@ -469,9 +354,9 @@ def score_texts(docs: DataFrame, text: str, lex: Lexicon, reader: Reader, table:
     Ids go along with their texts, so that a row's number is only ever used
     within the table that this makes.
     """
-    top = table.orderBy(F.desc("n"), "key").limit(HELD_CELLS).toPandas().sort_values("key")
-    held_cells = tuple(top[c].to_numpy() for c in ("key", "inside", "ahead"))
-    whole = table.count() <= HELD_CELLS
+    top = commonest(table, "n", HELD_CELLS).select("key", "inside", "ahead").toArrow().sort_by("key")
+    held_cells = tuple(top.column(c).to_numpy() for c in ("key", "inside", "ahead"))
+    whole = table.count() == len(held_cells[0])
     shared = docs.sparkSession.sparkContext.broadcast((reader, lex.count, retained, held_cells))
     names = ["row", "word", "key", "id", "held_out", "n_tokens", "n_known", "base", "gain"]
     schema = f"row long, word binary, key long, id {docs.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, gain double"
@@ -502,10 +387,11 @@ def score_texts(docs: DataFrame, text: str, lex: Lexicon, reader: Reader, table:
                 if len(rare):
                     yield more(rows[owner[rare]], pa.array([tokens[i] for i in rare.tolist()], pa.binary()), None, None)
                 for ctx, valid in contexts_before(words, usable):
-                    at = np.flatnonzero(valid)
+                    ctx = ctx[MAX_DEPTH:]
+                    at = np.flatnonzero(valid[MAX_DEPTH:])
                     at = at[retained.may_have(ctx[at])]
                     unseen = at[out[owner[at]]]
-                    for wanted, of in ((cell_keys(ctx[at], own[at]), at), (ctx[unseen], unseen)):
+                    for wanted, of in ((cell_keys(ctx[at], own[at]), at), (ctx[unseen] ^ np.uint64(CONTEXT), unseen)):
                         if not len(of):
                             continue
                         wanted = wanted.view(np.int64)

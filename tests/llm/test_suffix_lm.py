@@ -58,28 +58,27 @@ def test_scores_do_not_depend_on_partitions_or_held_out_texts(spark):
     assert score(rows, 1) == score(rows, 6) == score(other, 2)
 
 
-def test_every_state_is_a_distribution(spark):
-    rows = [(i, t) for i, t in corpus() if not out(i)]
-    docs = spark.createDataFrame(rows, "id long, t string").selectExpr("coalesce(t, '') t", "true training")
-    counts = lm.count_words(docs, "t", "training").cache()
-    lex = lm.lexicon(counts)
-    tree = lm.grow(docs, "t", lex)
-    assert len(tree.codes[0]) > 20
-    assert np.allclose((10 ** tree.logs.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
-    # within a class the words and the unknown have all of its mass
-    mass = Counter()
-    for r in counts.collect():
-        w = bytes(r.word)
-        if w and (w not in lex.number or lex.number[w] >= lex.alone):
-            mass[lm.word_class(w) - 1 - lm.FREQUENT] += r.n + 0.5
-    for k, m in mass.items():
-        assert abs(lex.class_mass[k] - m - 0.5) < 1e-6
-
-
-def test_longest_retained_suffix():
-    tree = lm.Tree([np.array([3, 5]), np.array([(7 << lm.SHIFT) | 5]), np.zeros(0, np.int64)], [np.array([1, 2], np.int32), np.array([3], np.int32), np.zeros(0, np.int32)], np.zeros((4, lm.SYMBOLS), np.float32))
-    s = np.array([0, 0, 0, 3, 7, 5, 9, 5, 0, 5], np.int32)
-    assert tree.states(s, tree.finders()).tolist() == [0, 1, 0, 3, 0, 2, 0]
+def test_what_leaves_the_executors_is_bounded(spark):
+    rows = spark.createDataFrame([(i, 1 + i // 7) for i in range(700)] + [(900, 0)], "key long, n long")
+    for most in (0, 5, 30, 200, 10_000):
+        got = sorted(r.n for r in lm.commonest(rows, "n", most).collect())
+        assert len(got) <= min(most, 700) and got == sorted(1 + i // 7 for i in range(700))[700 - len(got) :]
+        assert len(got) >= min(most, 700) - 7 * 8
+
+
+def test_filters_have_all_contexts(spark):
+    r = random.Random(1)
+    keys = [r.getrandbits(63) - (1 << 62) for _ in range(3_000)]
+    f = lm.Filter.of(spark.createDataFrame([(k,) for k in keys], "ctx long").repartition(5))
+    assert f.may_have(np.array(keys, np.int64).view(np.uint64)).all()
+    assert f.may_have(np.array([r.getrandbits(64) for _ in range(3_000)], np.uint64)).mean() < 0.01
+
+
+def test_contexts_are_cells_of_shorter_ones():
+    w = np.array([lm.word_hash(x) for x in (b"", b"", b"", b"a", b"b", b"", b"c", b"d")], np.uint64)
+    (one, ok1), (two, ok2), (three, ok3) = lm.contexts_before(w, np.ones(len(w), bool))
+    assert ok1[1:].all() and ok2.tolist() == [False, False, False, False, True, True, False, True] and ok3.tolist() == [False] * 5 + [True, False, False]
+    assert (two[1:] == lm.cell_keys(one[:-1], w[:-1])).all() and two[4] != two[5]
 
 
 def test_pieces_cover_long_texts(monkeypatch):
@@ -140,11 +139,11 @@ def brute_scores(rows):
 def test_all_words_and_contexts_against_brute_force(spark, monkeypatch, held, cells):
     monkeypatch.setattr(lm.lexicon, "__defaults__", (held,))
     monkeypatch.setattr(lm, "HELD_CELLS", cells)
-    # over MIN_COUNT * MAX_CONTEXTS tokens, where the count asked for used to rise with the corpus
+    # over 60,000 tokens, where the count asked for used to rise with the corpus
     rows = corpus(3_000, 1) + [(i, "zq1 zq2") for i in range(10_000, 10_026)]
     want, kept = brute_scores(rows)
     got = lm.suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    assert lm.MIN_COUNT <= kept[b"zq1",] < sum(r.n_tokens for r in got if not r.held_out) / lm.MAX_CONTEXTS
+    assert lm.MIN_COUNT <= kept[b"zq1",] < sum(r.n_tokens for r in got if not r.held_out) / 3_000
     have = sorted((str(r.doc_id), r.score) for r in got)
     assert [i for i, _ in have] == [i for i, _ in want]
     assert all(abs(a - b) < 1e-4 for (_, a), (_, b) in zip(have, want))
