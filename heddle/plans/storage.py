@@ -58,3 +58,28 @@ def drop_tables(*tables: DataFrame) -> None:
     for t in tables:
         for f in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             drop_path(t.sparkSession, f)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A small file, or None if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(p):
+        return None
+    stream = store.open(p)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file under a name of its own and rename it, so that a reader finds it whole or not at all."""
+    own = f"{path}.{uuid.uuid4().hex}"
+    target, p = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, own))
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = store.create(p, True)
+    stream.write(data)
+    stream.close()
+    if not store.rename(p, target):
+        store.delete(p, False)  # another run was first
