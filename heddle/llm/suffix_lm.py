@@ -3,41 +3,25 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
-from hashlib import md5
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.plans.storage import drop_tables, materialize
+from heddle.llm.block_sums import Arrays, BlockTable, block_of, pack, unpack
 
 #: The word after the last; real words are never empty.
 END = b""
 MAX_DEPTH = 3
 #: A context may be retained if it comes MIN_COUNT times.
 MIN_COUNT = 20
-#: Words whose counts all workers hold; others are looked up by a join. The limit bounds the
-#: broadcast, and as these are the commonest words, none of the joined words is frequent.
-HELD_WORDS = 65_536
-#: Bytes of the longest word that is held.
-HELD_BYTES = 256
-#: Different words that a worker counts before it passes the counts on, and bytes of text split at once.
-COUNTED_WORDS, PIECE_BYTES = 200_000, 2_000_000
-#: Positions that a worker combines before it passes their counts on, cells whose part in the score all
-#: workers hold (the others are looked up by a join), and bits of the filters of contexts. A full
-#: filter lets all contexts through to the joins; it never decides what is retained.
-COUNTED_CELLS, HELD_CELLS, FILTER_BITS = 1_000_000, 1 << 20, 1 << 26
-#: Bits that a context differs by from the cell that it is, in lookups.
-CONTEXT = 0x5555_5555_5555_5555
-#: Words of 64 bits in which a filter is sent.
-FILTER_BLOCK = 1 << 14
+#: Tokens of a block, and tokens before it that it holds as well, for the contexts of its first ones.
+BLOCK_TOKENS, BEFORE = 1 << 21, 2 * MAX_DEPTH
+#: Words whose hashes a worker remembers, and bytes of text split at once.
+KNOWN_WORDS, PIECE_BYTES = 400_000, 2_000_000
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -46,7 +30,7 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+def pieces(texts: list[bytes], limit: int = PIECE_BYTES) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """(tokens, text number of each): the texts' words, each text's with END behind, in pieces of bounded size."""
     tokens: list[bytes] = []
     owner: list[tuple[int, int]] = []
@@ -59,8 +43,8 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
         at = 0
         while at < len(text) or at == 0:
             cut = len(text)
-            if cut - at > PIECE_BYTES:
-                m = _BLANK.search(text, at + PIECE_BYTES)
+            if cut - at > limit:
+                m = _BLANK.search(text, at + limit)
                 cut = m.start() if m else cut
             part = words_of(text[at:cut])
             at = max(cut, 1)
@@ -69,85 +53,35 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
             tokens += part
             owner.append((i, len(part)))
             size += len(part) * 8
-            if size > PIECE_BYTES:
+            if size > limit:
                 yield piece()
                 tokens, owner, size = [], [], 0
     if tokens:
         yield piece()
 
 
-@dataclass
-class Lexicon:
-    """The held words' numbers and training counts, and the totals of all. Size set by the parameters."""
-
-    number: dict[bytes, int]
-    count: np.ndarray
-    train_tokens: int
-    vocabulary: int
-
-
 def _binary(batch: pa.RecordBatch, column: int) -> list[bytes]:
     """Texts of a batch as UTF-8; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def count_words(docs: DataFrame, text: str, training: str) -> DataFrame:
-    """(word, n, every): each word's count in training texts and in all texts, END among them."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bool, Counter] = {True: Counter(), False: Counter()}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for flag, c in found.items():
-                if c:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([flag] * len(c)), pa.array(list(c.values()), pa.int64())], names=["word", "training", "n"])
-                    c.clear()
-
-        for b in batches:
-            flags = b.column(1).to_pylist()
-            texts = _binary(b, 0)
-            for flag in (True, False):
-                for tokens, _ in pieces([t for t, f in zip(texts, flags) if f == flag]):
-                    found[flag].update(tokens)
-                    if sum(map(len, found.values())) > COUNTED_WORDS:
-                        yield from flush()
-        yield from flush()
-
-    rows = docs.select(text, training).mapInArrow(count, "word binary, training boolean, n long")
-    return rows.groupBy("word").agg(F.coalesce(F.sum(F.when(F.col("training"), F.col("n"))), F.lit(0)).alias("n"), F.sum("n").alias("every"))
-
-
-def commonest(rows: DataFrame, n: str, most: int) -> DataFrame:
-    """The rows with the highest `n`, `most` at most, by a threshold, so that none but these leave the executors."""
-    size = F.floor(F.log2(F.col(n)) * 64).cast("int")
-    sizes = sorted(((r[0], r[1]) for r in rows.where(F.col(n) > 0).groupBy(size.alias("size")).count().collect()), reverse=True)
-    total, least = 0, 1 << 30
-    for at, count in sizes:
-        if total + count > most:
-            break
-        total, least = total + count, at
-    return rows.where((F.col(n) > 0) & (size >= least))
-
-
-def lexicon(counts: DataFrame, held: int = HELD_WORDS) -> Lexicon:
-    """The commonest words of all texts, `held` at most, with their counts in training texts. All texts only decide which counts are at hand."""
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    top = commonest(counts.where(F.octet_length("word").between(1, HELD_BYTES)), "every", held)
-    words = top.unionByName(counts.where(F.octet_length("word") == 0)).select("word", "n").toArrow()
-    by_word = {END: 0} | dict(zip(words.column(0).to_pylist(), words.column(1).to_pylist()))
-    return Lexicon({w: i for i, w in enumerate(by_word)}, np.array(list(by_word.values()), np.float64), int(n), int(v))
-
-
-# --- the tree over all words, in tables ---------------------------------------------------
-
-
 def word_hash(word: bytes) -> int:
-    """The first 60 bits of a word's MD5: its symbol in the tables."""
-    return int.from_bytes(md5(word).digest()[:8], "big") >> 4
+    """A word's symbol: its 64-bit hash."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(word, 7)
 
 
-def _word_hash(word: str) -> Column:
-    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
+def word_hashes(tokens: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """The tokens' symbols."""
+    found = list(map(known.get, tokens))
+    if None in found:
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        for i, h in enumerate(found):
+            if h is None:
+                found[i] = known[tokens[i]] = word_hash(tokens[i])
+    return np.fromiter(found, np.uint64, len(found))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -162,7 +96,7 @@ def cell_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(contexts * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
-def contexts_before(words: np.ndarray, usable: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def contexts_before(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(context, valid) before each position, by depth; END may only be the oldest word of one. A context is the cell of its newest word."""
     end = np.uint64(word_hash(END))
     code, valid = np.zeros(len(words), np.uint64), np.ones(len(words), bool)
@@ -170,242 +104,232 @@ def contexts_before(words: np.ndarray, usable: np.ndarray) -> list[tuple[np.ndar
     for depth in range(1, MAX_DEPTH + 1):
         longer, ok = np.zeros(len(words), np.uint64), np.zeros(len(words), bool)
         longer[1:] = cell_keys(code[:-1], words[:-1])
-        ok[1:] = valid[:-1] & usable[:-1] & (True if depth == 1 else words[:-1] != end)
+        ok[1:] = valid[:-1] & (True if depth == 1 else words[:-1] != end)
         code, valid = longer, ok
         out.append((code, valid))
     return out
 
 
-@dataclass
-class Reader:
-    """Turns tokens into words' hashes. What isn't held is hashed anew, with a bounded memory of the last ones."""
-
-    hashes: np.ndarray
-    usable: np.ndarray
-    number: dict[bytes, int]
-    recent: dict[bytes, int]
-
-    @classmethod
-    def of(cls, lex: Lexicon, rest_usable: bool) -> Reader:
-        """The reader of a lexicon: words that come MIN_COUNT times may be in contexts, those not held if any of them does."""
-        hashes = np.array([word_hash(w) for w in lex.number] + [0], np.uint64)
-        return cls(hashes, np.append(lex.count >= MIN_COUNT, rest_usable), lex.number, {})
-
-    def read(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(held number or -1, hash, whether it may be in a context) of each token."""
-        held = np.fromiter(map(self.number.get, tokens, repeat(-1)), np.int32, len(tokens))
-        out = self.hashes[held]
-        for i in np.flatnonzero(held < 0).tolist():
-            w = tokens[i]
-            h = self.recent.get(w)
-            if h is None:
-                if len(self.recent) >= COUNTED_WORDS:
-                    self.recent.clear()
-                h = self.recent[w] = word_hash(w)
-            out[i] = h
-        return held, out, self.usable[held]
-
-
-@dataclass
-class Filter:
-    """Bits of fixed number that tell which contexts can't be retained; a join settles the others."""
-
-    bits: np.ndarray
-
-    @classmethod
-    def of(cls, contexts: DataFrame) -> Filter:
-        """The filter of a table's contexts (ctx). Its bits are set by partition, united on the executors and reach the driver once."""
-        blocks = FILTER_BITS // 64 // FILTER_BLOCK
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(FILTER_BITS // 8, np.uint8)
-            for b in batches:
-                ctx = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                for k in (0, 32):
-                    at = (ctx >> np.uint64(k)) & np.uint64(FILTER_BITS - 1)
-                    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-            yield from send(enumerate(bits.reshape(blocks, -1)))
-
-        def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: dict[int, np.ndarray] = {}
-            for b in batches:
-                for block, data in zip(b.column(0).to_pylist(), b.column(1)):
-                    new = np.frombuffer(pa.decompress(data.as_py(), FILTER_BLOCK * 8, "zstd", asbytes=True), np.uint8)
-                    found[block] = found[block] | new if block in found else new
-            yield from send(found.items())
-
-        def send(rows) -> Iterator[pa.RecordBatch]:
-            for block, bits in rows:
-                if bits.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pa.compress(bits.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["block", "bits"])
-
-        schema = "block int, bits binary"
-        out = np.zeros((blocks, FILTER_BLOCK * 8), np.uint8)
-        for r in contexts.select("ctx").mapInArrow(mark, schema).repartition("block").mapInArrow(unite, schema).collect():
-            out[r["block"]] = np.frombuffer(pa.decompress(bytes(r["bits"]), FILTER_BLOCK * 8, "zstd", asbytes=True), np.uint8)
-        return cls(out.reshape(-1).view(np.uint64))
-
-    def may_have(self, contexts: np.ndarray) -> np.ndarray:
-        """False only for contexts that aren't in the table."""
-        out = np.ones(len(contexts), bool)
-        for k in (0, 32):
-            at = (contexts >> np.uint64(k)) & np.uint64(FILTER_BITS - 1)
-            out &= (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return out
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
-def count_cells(docs: DataFrame, text: str, reader: Reader, shorter: Filter | None, pairs: Filter | None, depth: int) -> DataFrame:
-    """(key, ctx, shorter_key, n): what follows the contexts of a depth in all of `docs`, counted piecewise.
-
-    `shorter_key` is the key of the same word behind the context without its
-    oldest word; at depth 1, the word's hash. A context that can't be retained
-    is passed over: one whose shorter one isn't, or whose two oldest words come
-    less than MIN_COUNT times (`pairs` has those that come so often).
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((reader, shorter, pairs))
+# --- blocks ------------------------------------------------------------------------------
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, shorter, pairs = shared.value
-        carry = np.full(MAX_DEPTH, word_hash(END), np.uint64), np.ones(MAX_DEPTH, bool)
-        found: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            key, ctx, before = (np.concatenate(x) for x in zip(*found))
-            found.clear()
-            keys, first, n = np.unique(key, return_index=True, return_counts=True)
-            for a in range(0, len(keys), 65_536):
-                some = slice(a, a + 65_536)
-                yield pa.RecordBatch.from_arrays([_signed(keys[some]), _signed(ctx[first[some]]), _signed(before[first[some]]), pa.array(n[some])], names=["key", "ctx", "shorter_key", "n"])
 
-        for b in batches:
-            for tokens, _ in pieces(_binary(b, 0)):
-                _, words, usable = reader.read(tokens)
-                words, usable = np.concatenate([carry[0], words]), np.concatenate([carry[1], usable])
-                carry = words[-MAX_DEPTH:], usable[-MAX_DEPTH:]
-                levels = contexts_before(words, usable)
-                ctx, valid = levels[depth - 1]
-                at = np.flatnonzero(valid[MAX_DEPTH:]) + MAX_DEPTH
-                if depth > 1:
-                    at = at[pairs.may_have(levels[1][0][at - (depth - 2)])]
-                    at = at[shorter.may_have(levels[depth - 2][0][at])]
-                found.append((cell_keys(ctx[at], words[at]), ctx[at], words[at] if depth == 1 else cell_keys(levels[depth - 2][0][at], words[at])))
-                if sum(len(f[0]) for f in found) > COUNTED_CELLS:
-                    yield from flush()
-        if found:
-            yield from flush()
-
-    return docs.select(text).mapInArrow(count, "key long, ctx long, shorter_key long, n long")
-
-
-def grow_tables(docs: DataFrame, text: str, counts: DataFrame, reader: Reader, norm: float, depth: int = MAX_DEPTH) -> list[DataFrame]:
-    """Retained cells by depth (key, ctx, n, p, gain10, back10), learned from all of `docs`.
-
-    Every word is a symbol and every context that comes MIN_COUNT times is
-    tested, so both grow with the corpus. A context's distribution is its counts
-    smoothed towards that of its longest retained suffix, by Witten and Bell's
-    weight. It is retained if its divergence from that suffix, times its count,
-    exceeds what its number of different next words would bring by chance (half
-    a log of the count each). gain10 is log10 of a word's probability behind the
-    context over that behind the shorter one; back10 is the same for words never
-    seen behind it.
+def encoded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """`docs` (t, row, id, held_out) as blocks: (block, data, rows, ids, n_train).
+
+    data has `words` (the block's different words, sorted), `at` (each token's
+    place among them), and `size` and `out` of each run of tokens of one text. A
+    text may be cut between blocks. The first BEFORE tokens stand before the
+    block and belong to no text of it.
     """
-    shorter_p = counts.where("n > 0").select(_word_hash("word").alias("shorter_key"), ((F.col("n") + 0.5) / F.lit(norm)).alias("shorter_p"))
-    out: list[DataFrame] = []
-    shorter = pairs = None
-    for d in range(1, depth + 1):
-        w = W.partitionBy("ctx")
-        cells = count_cells(docs, text, reader, shorter, pairs, d).repartition("ctx").groupBy("ctx", "key", "shorter_key").agg(F.sum("n").alias("n"))
-        cells = cells.withColumns({"all": F.sum("n").over(w), "t": F.count(F.lit(1)).over(w)}).where(F.col("all") >= MIN_COUNT)
-        # A context whose shorter one isn't retained finds none of its cells here.
-        cells = materialize(cells.join(shorter_p, "shorter_key"), "lm-cells")
-        if d == 1:
-            pairs = Filter.of(cells.where(F.col("n") >= MIN_COUNT).select(F.col("key").alias("ctx")))
-        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("shorter_p")))
-        kept = cells.groupBy("ctx").agg(gain.alias("gain"), F.first("all").alias("all"), F.first("t").alias("t")).where(F.col("gain") > 0.5 * F.col("t") * F.log("all")).select("ctx")
-        p = (F.col("n") + F.col("t") * F.col("shorter_p")) / (F.col("all") + F.col("t"))
-        level = cells.join(kept, "ctx", "left_semi").withColumn("p", p)
-        level = materialize(level.select("key", "ctx", "n", "p", F.log10(F.col("p") / F.col("shorter_p")).alias("gain10"), F.log10(F.col("t") / (F.col("all") + F.col("t"))).alias("back10")), "lm-level")
-        drop_tables(cells)
-        out.append(level)
-        shorter = Filter.of(level.select("ctx").distinct())
-        shorter_p = level.select(F.col("key").alias("shorter_key"), F.col("p").alias("shorter_p"))
-    return out
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.uint64(word_hash(END))
+        known: dict[bytes, int] = {}
+        before = np.full(BEFORE, end)
+        hashes: list[np.ndarray] = []
+        runs: list[tuple] = []
+        number, held = 0, 0
+        task = TaskContext.get().partitionId() << 32
+
+        def flush(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            nonlocal before, held, number
+            tokens = np.concatenate([before, *hashes])
+            words, at = np.unique(tokens, return_inverse=True)
+            size, out = np.array([r[0] for r in runs], np.int32), np.array([r[1] for r in runs], np.uint8)
+            data = pack({"words": words, "at": at.astype(np.int32), "size": size, "out": out})
+            columns = [pa.array([task + number]), pa.array([data], pa.binary()), pa.array([[r[2] for r in runs]], pa.list_(pa.int64())), pa.array([[r[3] for r in runs]], pa.list_(id_type)), pa.array([int(size[out == 0].sum())])]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "data", "rows", "ids", "n_train"])
+            before = np.full(BEFORE, end) if tokens[-1] == end else tokens[-BEFORE:]
+            hashes.clear(), runs.clear()
+            number, held = number + 1, 0
+
+        for b in batches:
+            rows, ids, outs = (b.column(i).to_pylist() for i in (1, 2, 3))
+            for tokens, owner in pieces(_binary(b, 0), min(PIECE_BYTES, 8 * block_tokens)):
+                hashes.append(word_hashes(tokens, known))
+                held += len(tokens)
+                texts, sizes = np.unique(owner, return_counts=True)  # texts come in order
+                runs += [(n, outs[i], rows[i], ids[i]) for i, n in zip(texts.tolist(), sizes.tolist())]
+                if held >= block_tokens:
+                    yield from flush(b.column(2).type)
+        if hashes:
+            yield from flush(b.column(2).type)
 
+    return docs.select("t", "row", "id", "held_out").mapInArrow(encode, f"block long, data binary, rows array<long>, ids array<{kind}>, n_train long")
 
-def lookups(levels: list[DataFrame]) -> DataFrame:
-    """(key, n, inside, ahead): what a cell or a context adds to the score of a training text, and of a held-out one.
 
-    In training texts every word was seen behind its contexts, so the cell has
-    all. In others the context has the part for unseen words, the cell the rest.
-    """
-    every = reduce(DataFrame.unionByName, levels)
-    cells = every.select("key", "n", F.col("gain10").alias("inside"), (F.col("gain10") - F.col("back10")).alias("ahead"))
-    own = every.withColumn("key", F.col("ctx").bitwiseXOR(CONTEXT))  # as the context is also a cell's key
-    return cells.unionByName(own.groupBy("key").agg(F.sum("n").alias("n"), F.lit(0.0).alias("inside"), F.first("back10").alias("ahead")))
+class Text:
+    """A block's tokens, and what answers tell of their contexts."""
+
+    def __init__(self, block: Arrays) -> None:
+        self.block = block
+        self.tokens = block["words"][block["at"]]
+        self.out = np.concatenate([np.ones(BEFORE, np.uint8), np.repeat(block["out"], block["size"])]) == 1
+        self.levels = contexts_before(self.tokens)
+        self.seen: dict[tuple[str, int], object] = {}
+
+    def _once(self, name: str, depth: int, make):
+        if (name, depth) not in self.seen:
+            self.seen[name, depth] = make()
+        return self.seen[name, depth]
+
+    def words(self) -> np.ndarray:
+        """How often each token comes in training texts."""
+        return self._once("words", 0, lambda: self.block["w.n"][self.block["at"]])
+
+    def count(self, depth: int) -> np.ndarray:
+        """How often the context of a depth before each token comes in training texts; 0 where it isn't one, or comes less than MIN_COUNT times."""
+
+        def make() -> np.ndarray:
+            n = np.zeros(len(self.tokens), np.int64)
+            # A context is the cell of its newest word.
+            n[1:] = (self.words() if depth == 1 else self.after(depth - 1))[:-1]
+            return np.where(self.levels[depth - 1][1] & (n >= MIN_COUNT), n, 0)
+
+        return self._once("count", depth, make)
+
+    def cells(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, sorted keys, number of each place's key) of the tokens behind such contexts."""
+
+        def make() -> tuple[np.ndarray, ...]:
+            at = np.flatnonzero(self.count(depth))
+            return at, *np.unique(cell_keys(self.levels[depth - 1][0][at], self.tokens[at]), return_inverse=True)
+
+        return self._once("cells", depth, make)
+
+    def after(self, depth: int) -> np.ndarray:
+        """How often each token comes behind its context in training texts."""
+
+        def make() -> np.ndarray:
+            at, _, number = self.cells(depth)
+            n = np.zeros(len(self.tokens), np.int64)
+            n[at] = self.block[f"c{depth}.n"][number] if len(at) else 0
+            return n
+
+        return self._once("after", depth, make)
+
+    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, sorted contexts, number of each place's) of the tokens whose shorter context is retained."""
+
+        def make() -> tuple[np.ndarray, ...]:
+            at = np.flatnonzero(self.count(depth))
+            if depth > 1:
+                at = at[self.kinds(depth - 1)[at] > 0]
+            return at, *np.unique(self.levels[depth - 1][0][at], return_inverse=True)
+
+        return self._once("contexts", depth, make)
+
+    def kinds(self, depth: int) -> np.ndarray:
+        """Different next words of the context before each token, if that is retained, else 0."""
+
+        def make() -> np.ndarray:
+            at, _, number = self.contexts(depth)
+            t = np.zeros(len(self.tokens), np.int64)
+            t[at] = self.block[f"x{depth}.t"][number] if len(at) else 0
+            return t
+
+        return self._once("kinds", depth, make)
+
+    def probability(self, depth: int, norm: float) -> np.ndarray:
+        """Probability of each token behind its longest retained context of the depth at most.
+
+        Counts are smoothed towards the shorter context's distribution, by
+        Witten and Bell's weight; without a context, by a half.
+        """
+        p = (self.words() + 0.5) / norm
+        for d in range(1, depth + 1):
+            t = self.kinds(d)
+            kept = np.flatnonzero(t)
+            p[kept] = (self.after(d)[kept] + t[kept] * p[kept]) / (self.count(d)[kept] + t[kept])
+        return p
+
+
+# --- what is asked of all blocks ---------------------------------------------------------
+
+
+def ask_words(block: Arrays) -> Arrays:
+    """How often each word comes in the block's training texts."""
+    out = Text(block).out
+    return {"keys": block["words"], "n": np.bincount(block["at"][~out], minlength=len(block["words"])).astype(np.int64)}
 
 
-def score_texts(docs: DataFrame, text: str, lex: Lexicon, reader: Reader, table: DataFrame, retained: Filter) -> DataFrame:
-    """One row with sums per text, one (row, word) for each token whose count isn't held, one (row, key) for each lookup that isn't.
+class Asks:
+    """What blocks ask for one depth: the counts of cells (a context with the word behind it), then what becomes of the contexts."""
 
-    Ids go along with their texts, so that a row's number is only ever used
-    within the table that this makes.
+    def __init__(self, depth: int, norm: float) -> None:
+        self.depth, self.norm = depth, norm
+
+    def cells(self, block: Arrays) -> Arrays:
+        """How often each cell comes in the block's training texts."""
+        text = Text(block)
+        at, keys, number = text.cells(self.depth)
+        return {"keys": keys, "n": np.bincount(number[~text.out[at]], minlength=len(keys)).astype(np.int64)}
+
+    def contexts(self, block: Arrays) -> Arrays:
+        """The part that each cell has in its context's divergence, from the first block that has the cell."""
+        text, d = Text(block), self.depth
+        at, contexts, number = text.contexts(d)
+        all_at, _, cell = text.cells(d)
+        # Of each cell that is the block's to count, one place.
+        one = np.full(len(text.tokens), False)
+        own = block[f"c{d}.owner"] if len(all_at) else np.zeros(0, np.uint8)
+        places = np.zeros(len(own), np.int64)
+        places[cell] = all_at
+        one[places[own == 1]] = True
+        counts = one[at] & (text.after(d)[at] > 0)
+        some = at[counts]
+        n, count = text.after(d)[some], text.count(d)
+        gain = n * np.log(n / count[some] / text.probability(d - 1, self.norm)[some])
+        most = np.zeros(len(contexts), np.int64)
+        most[number] = count[at]
+        return {"keys": contexts, "t": np.bincount(number[counts], minlength=len(contexts)).astype(np.int64), "gain": np.bincount(number[counts], gain, minlength=len(contexts)), "most": most}
+
+
+def decide_contexts(sums: Arrays) -> Arrays:
+    """Different next words of the contexts that are retained, 0 for others.
+
+    A context is retained if its divergence from the shorter one, times its
+    count, exceeds what its number of different next words would bring by chance
+    (half a log of the count each).
     """
-    top = commonest(table, "n", HELD_CELLS).select("key", "inside", "ahead").toArrow().sort_by("key")
-    held_cells = tuple(top.column(c).to_numpy() for c in ("key", "inside", "ahead"))
-    whole = table.count() == len(held_cells[0])
-    shared = docs.sparkSession.sparkContext.broadcast((reader, lex.count, retained, held_cells))
-    names = ["row", "word", "key", "id", "held_out", "n_tokens", "n_known", "base", "gain"]
-    schema = f"row long, word binary, key long, id {docs.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, gain double"
+    return {"t": np.where(sums["gain"] > 0.5 * sums["t"] * np.log(np.maximum(sums["most"], 1)), sums["t"], 0)}
+
+
+def same(sums: Arrays) -> Arrays:
+    """The sums themselves."""
+    return sums
+
+
+def scores(table: BlockTable, depth: int, norm: float) -> DataFrame:
+    """(row, id, held_out, n_tokens, n_known, base, score) of each run of tokens of one text."""
+    kind = table.rows.schema["ids"].dataType.elementType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counts, retained, (keys, inside, ahead) = shared.value
-        log_count = np.append(np.log10(counts + 0.5), 0.0)
-        known = np.append(counts > 0, False)
-        carry = np.full(MAX_DEPTH, word_hash(END), np.uint64), np.ones(MAX_DEPTH, bool)
         for b in batches:
-            rows = b.column(1).to_numpy(zero_copy_only=False)
-            out = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            sums = np.zeros((4, len(rows)))
-
-            def more(row: np.ndarray, word: pa.Array | None, key: pa.Array | None, flag: pa.Array | None) -> pa.RecordBatch:
-                n = len(row)
-                none = [pa.nulls(n, b.column(2).type), *[pa.nulls(n, pa.int64())] * 2, *[pa.nulls(n, pa.float64())] * 2]  # noqa: B023
-                own = [word if word is not None else pa.nulls(n, pa.binary()), key if key is not None else pa.nulls(n, pa.int64())]
-                return pa.RecordBatch.from_arrays([pa.array(row), *own, none[0], flag if flag is not None else pa.nulls(n, pa.bool_()), *none[1:]], names=names)
-
-            for tokens, owner in pieces(_binary(b, 0)):
-                held, own, usable = reader.read(tokens)
-                words, usable = np.concatenate([carry[0], own]), np.concatenate([carry[1], usable])
-                carry = words[-MAX_DEPTH:], usable[-MAX_DEPTH:]
-                for k, x in enumerate((None, known[held], log_count[held])):
-                    sums[k] += np.bincount(owner, x, minlength=len(rows))
-                rare = np.flatnonzero(held < 0)
-                if len(rare):
-                    yield more(rows[owner[rare]], pa.array([tokens[i] for i in rare.tolist()], pa.binary()), None, None)
-                for ctx, valid in contexts_before(words, usable):
-                    ctx = ctx[MAX_DEPTH:]
-                    at = np.flatnonzero(valid[MAX_DEPTH:])
-                    at = at[retained.may_have(ctx[at])]
-                    unseen = at[out[owner[at]]]
-                    for wanted, of in ((cell_keys(ctx[at], own[at]), at), (ctx[unseen] ^ np.uint64(CONTEXT), unseen)):
-                        if not len(of):
-                            continue
-                        wanted = wanted.view(np.int64)
-                        place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-                        hit = keys[place] == wanted if len(keys) else np.zeros(len(of), bool)
-                        o = owner[of]
-                        value = np.where(out[o[hit]], ahead[place[hit]], inside[place[hit]])
-                        sums[3] += np.bincount(o[hit], value, minlength=len(rows))
-                        if not whole and not hit.all():
-                            yield more(rows[o[~hit]], None, pa.array(wanted[~hit]), pa.array(out[o[~hit]]))
-            total = [*(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64()), b.column(2), b.column(3), *total], names=names)
-
-    return docs.select(text, "row", "id", "held_out").mapInArrow(score, schema)
+            for i in range(b.num_rows):
+                block = block_of(b.column(0)[i], b.column(1)[i])
+                text = Text(block)
+                starts = np.cumsum(block["size"]) - block["size"]
+                known, base, score = (np.add.reduceat(x[BEFORE:].astype(np.float64), starts) for x in (text.words() > 0, np.log10(text.probability(0, norm)), np.log10(text.probability(depth, norm))))
+                values = [b.column(2).slice(i, 1).flatten(), b.column(3).slice(i, 1).flatten(), pa.array(block["out"] == 1), pa.array(block["size"].astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(values, names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    return table.known("rows", "ids").mapInArrow(score, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
+
+
+def first_words(table: BlockTable) -> int:
+    """Different words of all training texts: each block counts those that it is the first to have."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            for x in b.column(0):
+                answers = unpack(x.as_py())
+                n += int(((answers["w.owner"] == 1) & (answers["w.n"] > 0)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    return table.answers.select("answers").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -413,7 +337,7 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 5 == 1, F.lit(False))
 
 
-def suffix_tree_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text", depth: int = MAX_DEPTH) -> DataFrame:
+def suffix_tree_scores(df: DataFrame, id_column: str = "doc_id", text: str = "text", depth: int = MAX_DEPTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Every row of `df` scored by a tree that its training rows teach.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score and score:
@@ -423,30 +347,23 @@ def suffix_tree_scores(df: DataFrame, id_column: str = "doc_id", text: str = "te
     counted and scored as often as they come; texts of any length are read in
     pieces. Without training rows nothing is known and every token has its
     smoothed probability. Other columns are left out, whatever their names.
+
+    The corpus is encoded once, in blocks. Blocks ask for the counts of their
+    words, of the cells behind contexts, and for what becomes of contexts;
+    each sum goes to all blocks that asked. Nothing is held but a block, and no
+    bound on words or contexts decides anything.
     """
-    docs = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), held_out(id_column).alias("held_out"))
-    counts = materialize(count_words(docs.select("t", (~F.col("held_out")).alias("training")), "t", "training"), "lm-words")
-    lex = lexicon(counts)
-    reader = Reader.of(lex, counts.where(F.col("n") >= MIN_COUNT).count() > int((lex.count >= MIN_COUNT).sum()))
-    norm = lex.train_tokens + 0.5 * (lex.vocabulary + 1)
-    levels = grow_tables(docs.where(~F.col("held_out")), "t", counts, reader, norm, depth)
-    table = materialize(lookups(levels), "lm-lookups")
-    retained = Filter.of(reduce(DataFrame.unionByName, levels).select("ctx").distinct())
-    both = materialize(score_texts(docs.withColumn("row", F.monotonically_increasing_id()), "t", lex, reader, table, retained), "lm-scores")
-    rare = both.where("word is not null").select("row", "word").join(counts.select("word", "n"), "word", "left")
-    n = F.coalesce("n", F.lit(0))
-    more = rare.groupBy("row").agg(F.sum(F.log10(n + 0.5)).alias("log_counts"), F.count_if(n > 0).alias("more_known"))
-    found = both.where("key is not null").select("row", "key", "held_out").join(table.drop("n"), "key")
-    gains = found.groupBy("row").agg(F.sum(F.when(F.col("held_out"), F.col("ahead")).otherwise(F.col("inside"))).alias("more_gain"))
-    out = both.where("word is null and key is null").drop("word", "key").join(more, "row", "left").join(gains, "row", "left")
-    base = F.col("base") + F.coalesce("log_counts", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(norm)))
-    out = out.select(
-        F.col("id").alias(id_column),
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(lex.train_tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("gain") + F.coalesce("more_gain", F.lit(0.0))).alias("score"),
-    )
-    return out
+    docs = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), held_out(id_column).alias("held_out"), F.monotonically_increasing_id().alias("row"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = BlockTable(encoded(docs, block_tokens), parts)
+    blocks, train_tokens = table.rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    buckets = max(parts, blocks // 4)
+    table.exchange("w", ask_words, same, buckets)
+    norm = train_tokens + 0.5 * (first_words(table) + 1)
+    for d in range(1, depth + 1):
+        asks = Asks(d, norm)
+        table.exchange(f"c{d}", asks.cells, same, buckets)
+        table.exchange(f"x{d}", asks.contexts, decide_contexts, buckets, owner=False)
+    sums = ["n_tokens", "n_known", "base", "score"]
+    whole = scores(table, depth, norm).groupBy("row").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in sums])
+    return whole.select(F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
