@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import io
 import random
+import sys
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.llm import html_blocks
 from heddle.llm.html_blocks import Block, Node, cut_blocks
+from heddle.plans.storage import read_bytes, shared_root, write_bytes
 
 PATHS, WORDS, SHAPE = 512, 256, 10
 HIDDEN = 28
@@ -464,6 +470,22 @@ def train(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED) -
     return net
 
 
+def stored(spark: SparkSession) -> Labeller:
+    """The trained labeller, from the shared folder if this code has left one there; else it is trained, and left there."""
+    code = "".join(inspect.getsource(m) for m in (html_blocks, sys.modules[__name__]))
+    name = f"{shared_root(spark)}/labeller-{hashlib.sha256(code.encode()).hexdigest()[:24]}"
+    if _TRAINED:
+        return train()
+    data = read_bytes(spark, name)
+    if data is None:
+        out = io.BytesIO()
+        np.savez(out, **train().weights)
+        write_bytes(spark, name, out.getvalue())
+        return train()
+    with np.load(io.BytesIO(data)) as weights:
+        return Labeller({k: weights[k] for k in weights.files})
+
+
 # --- the operator -----------------------------------------------------------------------
 
 
