@@ -13,7 +13,7 @@ from heddle.plans.storage import materialize
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW_WORDS = 10
 #: Tokens or windows that are broadcast at once; a larger benchmark is joined in blocks of that size.
-BLOCK_ROWS = 100_000
+BLOCK_ROWS, BLOCK_BYTES = 100_000, 32_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,8 +33,9 @@ def item_windows(items: DataFrame, id_column: str = "item_id", text: str = "text
 
 
 def _blocks(df: DataFrame, key: str) -> list[DataFrame]:
-    """`df` in parts of about BLOCK_ROWS rows by the hash of `key`."""
-    n = -(-df.count() // BLOCK_ROWS)
+    """`df` in parts of about BLOCK_ROWS rows, and BLOCK_BYTES bytes of `key`, by the hash of `key`."""
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()
+    n = max(-(-rows // BLOCK_ROWS), -(-size // BLOCK_BYTES))
     if n <= 1:
         return [df]
     return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
