@@ -61,3 +61,11 @@ def test_worse_replies_and_odd_turns(spark):
     assert plain(got[5][0]) == plain(got[5][1]) and len(got[5][0]) == 3
     assert plain(got[None][0]) == [("user", "nobody")]
     assert worse_replies(conversations(df.limit(0))).count() == 0
+
+
+def test_very_long_turns(spark):
+    long = "<|word " * 300_000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", "short"), (1, 2, "user", "more"), (1, 3, "assistant", long)]
+    got = format_preferences(worse_replies(conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))).first()
+    assert got.n_prompt_turns == 3 and got.rejected_text == "<|im_start|>assistant\nshort<|im_end|>\n"
+    assert got.chosen_text == "<|im_start|>assistant\n" + long.replace("<|", "< |") + "<|im_end|>\n" and got.prompt.startswith("<|im_start|>user\n< |word < |word")

@@ -112,3 +112,9 @@ def test_equal_rows_are_set_out_in_runs(spark, monkeypatch):
     assert len(got) == len(docs) and key([(r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got]) == key(brute(sorted(docs, key=lambda d: len(d[1] or ""))))
     hot = sorted((r.before, r.size) for r in got if r.source == "hot")
     assert all(a + n == b for (a, n), (b, _) in zip(hot, hot[1:]))
+
+
+def test_very_long_texts(spark):
+    docs = [(1, "w " * 1_000_000, "a"), (2, "x\n" * 7, "a"), (3, "y" * 2_000_000, "b"), (4, "", "b")]
+    got = mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got) == sorted(brute(docs))

@@ -6,7 +6,7 @@ import hashlib
 
 import pytest
 
-from heddle.llm.warc import archive, archived_pages, members, parse, read_archives, rewrite_archives
+from heddle.llm.warc import archive, archived_pages, members, parse, read_archives, resolve_revisits, rewrite_archives
 from heddle.plans.storage import shared_path
 
 PAGES = [(5, "http://a/?q=é\r\nX: y", "<p>same</p>"), (2, None, "<p>same</p>"), (9, "u9", "<p>same</p>"), (7, "u7", None), (8, "u8", ""), (1, "u1", "x\r\n\r\nWARC/1.1\r\n" * 50), (None, "un", "<p>same</p>"), (4, "u4", "é漢" * 70_000), (9, "u9", "<p>same</p>"), (None, "um", "only")]
@@ -67,3 +67,14 @@ def test_no_pages_and_broken_archives(spark, pages):
         list(members(gzip.compress(b"abc")[:-3]))
     with pytest.raises(ValueError):
         parse(b"HTTP/1.1 200 OK\r\n\r\n")
+
+
+def test_very_long_pages_and_equal_digests(spark):
+    long = "<p>é" * 4_000_000
+    df = spark.createDataFrame([(3, "u", long), (1, "v", long), (2, "w", long + "x")], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in archived_pages(df).collect()}
+    size = len(long.encode())
+    assert got == {1: (size, "response", None), 2: (size + 1, "response", None), 3: (size, "revisit", 1)}
+    # payloads that share a SHA-1 but no SHA-256 are not equal
+    headers = spark.createDataFrame([(0, 1, "u", 5, "D", "x"), (1, 2, "u", 5, "D", "y"), (2, 3, "u", 5, "D", "y")], "row long, page_id long, url string, payload_bytes long, payload_digest string, payload_sha256 string")
+    assert [(r.row, r.refers_to) for r in resolve_revisits(headers).collect()] == [(2, 2)]
