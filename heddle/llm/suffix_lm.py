@@ -19,7 +19,7 @@ MAX_DEPTH = 3
 #: A context may be retained if it comes MIN_COUNT times.
 MIN_COUNT = 20
 #: Tokens of a block, and tokens before it that it holds as well, for the contexts of its first ones.
-BLOCK_TOKENS, BEFORE = 1 << 21, 2 * MAX_DEPTH
+BLOCK_TOKENS, BEFORE = 1 << 20, 2 * MAX_DEPTH
 #: Words whose hashes a worker remembers, and bytes of text split at once.
 KNOWN_WORDS, PIECE_BYTES = 400_000, 2_000_000
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
