@@ -16,7 +16,8 @@ from heddle.operators.skew import lookup_join
 from heddle.params import LIMITS
 
 WORD = r"[^\x20\x09-\x0D]+"
-PERSON = r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"
+#: Two capitalized ASCII words; a name ends where no ASCII letter, digit or underscore follows. Java's \b takes letters such as ä for parts of it, SQL's doesn't.
+PERSON = r"(?<![0-9A-Za-z_])[A-Z][a-z]+ [A-Z][a-z]+(?![0-9A-Za-z_])"
 
 
 def _words(c: Column) -> Column:
