@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.plans.storage import drop_path, shared_path
@@ -16,14 +18,31 @@ from heddle.plans.storage import drop_path, shared_path
 Arrays = dict[str, np.ndarray]
 
 
+#: Arrays that rise, which are kept as distances; of these, ranks of keys within their bucket, with the bucket above RANK_BITS bits.
+RANKS, RISING, RANK_BITS = ("id", "ctx_id"), ("id", "ctx_id", "words"), 40
+
+
+def _kind(name: str) -> str:
+    """An array's name without the tag of its exchange."""
+    return name.rpartition(".")[2]
+
+
 def pack(arrays: Arrays) -> bytes:
-    """Named arrays of numbers as bytes: each by planes of equally weighted bytes, compressed."""
+    """Named arrays of numbers as bytes: each by planes of equally weighted bytes, compressed. Signs become the lowest bits, and planes above the highest number are left out."""
     out = []
     for name, a in arrays.items():
         a = np.ascontiguousarray(a)
-        planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+        if _kind(name) in RISING:
+            a = np.diff(a, prepend=a.dtype.type(0))
+        signs = len(a) > 0 and a.dtype.kind == "i" and a.min() < 0
+        if signs:
+            a = (a << 1) ^ (a >> (8 * a.itemsize - 1))
+        width = a.itemsize
+        if len(a) and a.dtype.kind in "iu" and a.min() >= 0:
+            width = max(1, (int(a.max()).bit_length() + 7) // 8)
+        planes = a.view(np.uint8).reshape(len(a), a.itemsize)[:, :width].T.tobytes()
         data = pa.compress(planes, "zstd", asbytes=True) if planes else b""
-        head = f"{name} {a.dtype.str}".encode()
+        head = f"{name} {a.dtype.str} {width} {signs:d}".encode()
         out += [struct.pack("<HQQ", len(head), len(a), len(data)), head, data]
     return b"".join(out)
 
@@ -34,29 +53,45 @@ def unpack(data: bytes) -> Arrays:
     at = 0
     while at < len(data):
         head, n, size = struct.unpack_from("<HQQ", data, at)
-        name, kind = data[at + 18 : at + 18 + head].decode().split(" ")
+        name, kind, width, signs = data[at + 18 : at + 18 + head].decode().split(" ")
         at += 18 + head
-        dtype = np.dtype(kind)
-        planes = pa.decompress(data[at : at + size], n * dtype.itemsize, "zstd", asbytes=True) if n else b""
-        out[name] = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T).reshape(-1).view(dtype) if n else np.zeros(0, dtype)
+        dtype, width = np.dtype(kind), int(width)
+        items = np.zeros((n, dtype.itemsize), np.uint8)
+        if n:
+            items[:, :width] = np.frombuffer(pa.decompress(data[at : at + size], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+        a = items.reshape(-1).view(dtype)
+        if signs == "1":
+            a = ((a >> 1) & np.iinfo(dtype).max) ^ -(a & 1)
+        out[name] = np.cumsum(a, dtype=dtype) if _kind(name) in RISING else a
         at += size
     return out
 
 
+def numbers(ranks: np.ndarray, buckets: int) -> np.ndarray:
+    """Numbers from 0 without large gaps, for ranks within evenly filled buckets."""
+    return ((ranks & ((1 << RANK_BITS) - 1)) * buckets + (ranks >> RANK_BITS)).astype(np.uint64)
+
+
 def steps(sorted_keys: np.ndarray) -> np.ndarray:
     """Sorted keys as distances, which pack smaller."""
     return np.diff(sorted_keys, prepend=np.uint64(0))
 
 
-def buckets_of(sorted_keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, first, last) of sorted 64-bit keys that are evenly distributed: a bucket is a range of keys."""
-    bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+def buckets_of(sorted_keys: np.ndarray, buckets: int, span: int = 1 << 64) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, last) of sorted keys that are evenly distributed below `span`: a bucket is a range of keys."""
+    bounds = np.array([i * span // buckets for i in range(1, buckets)], np.uint64)
     cuts = [0, *np.searchsorted(sorted_keys, bounds).tolist(), len(sorted_keys)]
     for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
         if b > a:
             yield i, a, b
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Has Spark delete the files of shuffles that nothing refers to any more, which else stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _batch(names: str, *columns: list, kinds: tuple[pa.DataType, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names.split())
 
@@ -86,6 +121,22 @@ def summed(requests: list[tuple[int, Arrays]], decide: Callable[[Arrays], Arrays
         at += len(r["keys"])
 
 
+class Sums(NamedTuple):
+    """What blocks ask for by key.
+
+    `decide` makes answers of the sums. In the order of the block's keys, which
+    are spread evenly below `span`, they are arrays of the block from then on,
+    under the tag and their name; with `owner`, too, whether the block is the
+    first that has the key. Answers named in RANKS are ranks of keys within a
+    bucket, to which the bucket is added.
+    """
+
+    tag: str
+    decide: Callable[[Arrays], Arrays]
+    owner: bool = True
+    span: int = 1 << 64
+
+
 class BlockTable:
     """Blocks (block, data, and further columns) in the shared folder, and what they have been answered so far.
 
@@ -114,27 +165,24 @@ class BlockTable:
         """(data, answers, columns) of every block."""
         if self.answers is None:
             return self.rows.select("data", F.lit(None).cast("binary").alias("answers"), *columns)
-        return self.rows.join(self.answers, "block", "left").select("data", "answers", *columns)
+        return self.rows.join(self.answers.drop("tops"), "block", "left").select("data", "answers", *columns)
 
-    def exchange(self, tag: str, ask: Callable[[Arrays], Arrays], decide: Callable[[Arrays], Arrays], buckets: int, owner: bool = True) -> None:
+    def exchange(self, sums: list[Sums], ask: Callable[[Arrays], list[Arrays]], buckets: int) -> None:
         """Sums over all blocks, answered to each that asked.
 
-        `ask(block)` gives sorted `keys` and values to sum by key; `decide` makes
-        answers of the sums. In the order of the block's keys they are arrays of
-        the block from then on, under the tag and their name; with `owner`, too,
-        whether the block is the first that has the key. Two shuffles: requests
-        by ranges of keys, answers by block. A key is in a request once for each
-        block that has it, so no key is hot.
+        For each of `sums`, `ask(block)` gives sorted `keys` and values to sum by
+        key. Two shuffles: requests by ranges of keys, answers by block. A key is
+        in a request once for each block that has it, so no key is hot.
         """
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
-                    asked = ask(block_of(b.column(0)[i], b.column(1)[i]))
                     rows: list[tuple] = []
-                    for bucket, a, z in buckets_of(asked["keys"], buckets):
-                        part = {n: x[a:z] for n, x in asked.items()}
-                        rows.append((bucket, b.column(2)[i].as_py(), pack(part | {"keys": steps(part["keys"])})))
+                    for k, (of, asked) in enumerate(zip(sums, ask(block_of(b.column(0)[i], b.column(1)[i])))):
+                        for bucket, a, z in buckets_of(asked["keys"], buckets, of.span):
+                            part = {n: x[a:z] for n, x in asked.items()}
+                            rows.append((k * buckets + bucket, b.column(2)[i].as_py(), pack(part | {"keys": steps(part["keys"])})))
                     if rows:
                         yield _batch("bucket block data", *zip(*rows), kinds=(pa.int32(), pa.int64(), pa.binary()))
 
@@ -143,7 +191,8 @@ class BlockTable:
 
             def answer() -> Iterator[pa.RecordBatch]:
                 if held:
-                    rows = [(block, now, pack({f"{tag}.{n}": x for n, x in a.items() if owner or n != "owner"})) for block, a in summed(held, decide)]
+                    of, above = sums[now // buckets], now % buckets << RANK_BITS
+                    rows = [(block, now, pack({f"{of.tag}.{n}": x + above if n in RANKS else x for n, x in a.items() if of.owner or n != "owner"})) for block, a in summed(held, of.decide)]
                     yield _batch("block bucket data", *zip(*rows), kinds=(pa.int64(), pa.int32(), pa.binary()))
 
             for b in batches:
@@ -157,17 +206,26 @@ class BlockTable:
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
-                    parts = [unpack(x["data"]) for x in sorted(b.column(2)[i].as_py() or [], key=lambda x: x["bucket"])]
-                    new = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]} if parts else {}
-                    yield _batch("block answers", [b.column(0)[i].as_py()], [(b.column(1)[i].as_py() or b"") + pack(new)], kinds=(pa.int64(), pa.binary()))
+                    parts: dict[str, list[np.ndarray]] = {}
+                    for x in sorted(b.column(2)[i].as_py() or [], key=lambda x: x["bucket"]):
+                        for n, a in unpack(x["data"]).items():
+                            parts.setdefault(n, []).append(a)
+                    new = {n: np.concatenate(p) for n, p in parts.items()}
+                    tops = [(n, int((x & ((1 << RANK_BITS) - 1)).max())) for n, x in new.items() if _kind(n) in RANKS]
+                    yield _batch("block answers tops", [b.column(0)[i].as_py()], [(b.column(1)[i].as_py() or b"") + pack(new)], [tops], kinds=(pa.int64(), pa.binary(), pa.map_(pa.string(), pa.int64())))
 
         asked = self.known("block").mapInArrow(send, "bucket int, block long, data binary")
-        sums = asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(add, "block long, bucket int, data binary")
-        new = sums.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("new"))
+        added = asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(add, "block long, bucket int, data binary")
+        new = added.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("new"))
         old = self.answers if self.answers is not None else self.rows.select("block", F.lit(None).cast("binary").alias("answers"))
         drop = self._drop
-        self.answers, self._drop = self._stored(old.join(new, "block", "left").select("block", "answers", "new").mapInArrow(gather, "block long, answers binary"))
+        self.answers, self._drop = self._stored(old.join(new, "block", "left").select("block", "answers", "new").mapInArrow(gather, "block long, answers binary, tops map<string,bigint>"))
         drop()
+        release_shuffles(self.rows.sparkSession)
+
+    def tops(self) -> dict[str, int]:
+        """The highest rank of each array that the last exchange answered with ranks."""
+        return {r["key"]: r["top"] for r in self.answers.select(F.explode("tops")).groupBy("key").agg(F.max("value").alias("top")).collect()}
 
 
 def block_of(data: pa.Scalar, answers: pa.Scalar) -> Arrays:

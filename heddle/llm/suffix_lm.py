@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.block_sums import Arrays, BlockTable, block_of, pack, unpack
+from heddle.llm.block_sums import RANK_BITS, Arrays, BlockTable, Sums, block_of, numbers, pack, unpack
 
 #: The word after the last; real words are never empty.
 END = b""
@@ -20,8 +23,10 @@ MAX_DEPTH = 3
 MIN_COUNT = 20
 #: Tokens of a block, and tokens before it that it holds as well, for the contexts of its first ones.
 BLOCK_TOKENS, BEFORE = 1 << 20, 2 * MAX_DEPTH
-#: Words whose hashes a worker remembers, and bytes of text split at once.
-KNOWN_WORDS, PIECE_BYTES = 400_000, 2_000_000
+#: Bytes of text split at once.
+PIECE_BYTES = 2_000_000
+#: Divergences are summed as whole numbers of 1/GAIN_UNIT, so that no order of blocks matters.
+GAIN_UNIT = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -72,16 +77,11 @@ def word_hash(word: bytes) -> int:
     return xxh64_intdigest(word, 7)
 
 
-def word_hashes(tokens: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """The tokens' symbols."""
-    found = list(map(known.get, tokens))
-    if None in found:
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for i, h in enumerate(found):
-            if h is None:
-                found[i] = known[tokens[i]] = word_hash(tokens[i])
-    return np.fromiter(found, np.uint64, len(found))
+def word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    """The symbols of n words."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(w, 7) for w in words), np.uint64, n)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ def cell_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def contexts_before(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(context, valid) before each position, by depth; END may only be the oldest word of one. A context is the cell of its newest word."""
+    """(context, valid) before each position, by depth, by hashes alone, to compare with what `Text` finds by numbers; END may only be the oldest word of one. A context is the cell of its newest word."""
     end = np.uint64(word_hash(END))
     code, valid = np.zeros(len(words), np.uint64), np.ones(len(words), bool)
     out = []
@@ -110,180 +110,242 @@ def contexts_before(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+class Space(NamedTuple):
+    """What numbers mean: how many buckets gave them, and bounds of the numbers of words and, by depth, of contexts that come MIN_COUNT times."""
+
+    depth: int
+    buckets: int
+    words: int
+    contexts: tuple[int, ...] = ()
+
+    def bits(self, depth: int) -> int:
+        """Bits of a cell's key: as few as tell apart all contexts of the depth with all words behind them."""
+        return min(64, max(2, (self.contexts[depth - 1] * self.words - 1).bit_length()))
+
+    def cells(self, depth: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """A key for each context with the word behind it: their numbers as one, evenly spread over its bits, one to one. Numbers of over 64 bits are hashed."""
+        bits = self.bits(depth)
+        if self.contexts[depth - 1] * self.words > 1 << 64:
+            return cell_keys(contexts, words)
+        mask, half = np.uint64((1 << bits) - 1), np.uint64(bits // 2)
+        x = contexts * np.uint64(self.words) + words
+        for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x = ((x ^ (x >> half)) * np.uint64(odd)) & mask
+        return x ^ (x >> half)
+
+
 # --- blocks ------------------------------------------------------------------------------
 
 
+def by_frequency(times: np.ndarray) -> np.ndarray:
+    """Places of words from the most frequent one."""
+    return np.argsort(-times, kind="stable")
+
+
+def tokens_of(block: Arrays) -> np.ndarray:
+    """Place of each token among the block's sorted words."""
+    return by_frequency(block["times"])[block["at"]]
+
+
 def encoded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """`docs` (t, row, id, held_out) as blocks: (block, data, rows, ids, n_train).
 
-    data has `words` (the block's different words, sorted), `at` (each token's
-    place among them), and `size` and `out` of each run of tokens of one text. A
-    text may be cut between blocks. The first BEFORE tokens stand before the
+    data has `words` (the block's different words, sorted) and `times` (how often
+    each comes), `at` (each token's place among them by frequency, which packs
+    smaller), and `size` and `out` of each run of tokens of one text. A text may
+    be cut between blocks. The first BEFORE tokens stand before the
     block and belong to no text of it.
     """
     kind = docs.schema["id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.uint64(word_hash(END))
-        known: dict[bytes, int] = {}
         before = np.full(BEFORE, end)
-        hashes: list[np.ndarray] = []
+        # The block's words, numbered as they come.
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        numbered: list[np.ndarray] = []
         runs: list[tuple] = []
-        number, held = 0, 0
+        blocks, held = 0, 0
         task = TaskContext.get().partitionId() << 32
 
         def flush(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-            nonlocal before, held, number
-            tokens = np.concatenate([before, *hashes])
-            words, at = np.unique(tokens, return_inverse=True)
+            nonlocal before, held, blocks, number
+            hashes = word_hashes(number, len(number))
+            words = np.unique(np.concatenate([before, hashes]))
+            at = np.concatenate([np.searchsorted(words, before), np.searchsorted(words, hashes)[np.concatenate(numbered)]])
+            times = np.bincount(at, minlength=len(words))
+            place = np.empty(len(words), np.int32)
+            place[by_frequency(times)] = np.arange(len(words))
             size, out = np.array([r[0] for r in runs], np.int32), np.array([r[1] for r in runs], np.uint8)
-            data = pack({"words": words, "at": at.astype(np.int32), "size": size, "out": out})
-            columns = [pa.array([task + number]), pa.array([data], pa.binary()), pa.array([[r[2] for r in runs]], pa.list_(pa.int64())), pa.array([[r[3] for r in runs]], pa.list_(id_type)), pa.array([int(size[out == 0].sum())])]
+            data = pack({"words": words, "times": times, "at": place[at], "size": size, "out": out})
+            columns = [pa.array([task + blocks]), pa.array([data], pa.binary()), pa.array([[r[2] for r in runs]], pa.list_(pa.int64())), pa.array([[r[3] for r in runs]], pa.list_(id_type)), pa.array([int(size[out == 0].sum())])]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "data", "rows", "ids", "n_train"])
-            before = np.full(BEFORE, end) if tokens[-1] == end else tokens[-BEFORE:]
-            hashes.clear(), runs.clear()
-            number, held = number + 1, 0
+            before = np.full(BEFORE, end) if words[at[-1]] == end else words[at[-BEFORE:]]
+            numbered.clear(), runs.clear()
+            number = defaultdict(count().__next__)
+            blocks, held = blocks + 1, 0
 
         for b in batches:
             rows, ids, outs = (b.column(i).to_pylist() for i in (1, 2, 3))
             for tokens, owner in pieces(_binary(b, 0), min(PIECE_BYTES, 8 * block_tokens)):
-                hashes.append(word_hashes(tokens, known))
+                numbered.append(np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens)))
                 held += len(tokens)
                 texts, sizes = np.unique(owner, return_counts=True)  # texts come in order
                 runs += [(n, outs[i], rows[i], ids[i]) for i, n in zip(texts.tolist(), sizes.tolist())]
                 if held >= block_tokens:
                     yield from flush(b.column(2).type)
-        if hashes:
+        if numbered:
             yield from flush(b.column(2).type)
 
     return docs.select("t", "row", "id", "held_out").mapInArrow(encode, f"block long, data binary, rows array<long>, ids array<{kind}>, n_train long")
 
 
 class Text:
-    """A block's tokens, and what answers tell of their contexts."""
-
-    def __init__(self, block: Arrays) -> None:
-        self.block = block
-        self.tokens = block["words"][block["at"]]
-        self.out = np.concatenate([np.ones(BEFORE, np.uint8), np.repeat(block["out"], block["size"])]) == 1
-        self.levels = contexts_before(self.tokens)
-        self.seen: dict[tuple[str, int], object] = {}
-
-    def _once(self, name: str, depth: int, make):
-        if (name, depth) not in self.seen:
-            self.seen[name, depth] = make()
-        return self.seen[name, depth]
-
-    def words(self) -> np.ndarray:
-        """How often each token comes in training texts."""
-        return self._once("words", 0, lambda: self.block["w.n"][self.block["at"]])
-
-    def count(self, depth: int) -> np.ndarray:
-        """How often the context of a depth before each token comes in training texts; 0 where it isn't one, or comes less than MIN_COUNT times."""
+    """A block's tokens, and what answers tell of their contexts of one depth at a time, from none at depth 0.
 
-        def make() -> np.ndarray:
-            n = np.zeros(len(self.tokens), np.int64)
-            # A context is the cell of its newest word.
-            n[1:] = (self.words() if depth == 1 else self.after(depth - 1))[:-1]
-            return np.where(self.levels[depth - 1][1] & (n >= MIN_COUNT), n, 0)
-
-        return self._once("count", depth, make)
-
-    def cells(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, sorted keys, number of each place's key) of the tokens behind such contexts."""
-
-        def make() -> tuple[np.ndarray, ...]:
-            at = np.flatnonzero(self.count(depth))
-            return at, *np.unique(cell_keys(self.levels[depth - 1][0][at], self.tokens[at]), return_inverse=True)
+    `after` tells how often each token comes behind its context in training
+    texts, `kept` whether that context is retained, and `p` is the token's
+    probability behind its longest retained context; without `norm` there is
+    none. `at`, `keys` and `number` are the places of the tokens whose cell is
+    asked for, the cells' sorted keys and the place's among these.
+    """
 
-        return self._once("cells", depth, make)
+    def __init__(self, block: Arrays, space: Space, norm: float | None = None) -> None:
+        self.block, self.space, self.depth = block, space, 0
+        self.tokens, self.out = tokens_of(block), out_of(block)
+        self.end = end_of(block)
+        self.at, self.number = np.arange(len(self.tokens)), self.tokens
+        self.after = block["w.n"][self.tokens]
+        self.kept = np.ones(len(self.tokens), bool)
+        self.p = None if norm is None else (self.after + 0.5) / norm
+
+    def _answers(self, name: str) -> np.ndarray:
+        """An answer for each of the depth's cells, which are words at depth 0; a block that asked for none has none."""
+        return self.block.get(f"c{self.depth}.{name}" if self.depth else f"w.{name}", np.zeros(0, np.int64))
+
+    def find(self) -> Text:
+        """Goes a depth on, where a context is the last depth's cell of its newest word, and finds cells.
+
+        A context comes MIN_COUNT times in training texts, and END may only be the
+        oldest word of one. Left out are cells of tokens that never come behind the
+        shorter context in training texts, so neither behind this one.
+        """
+        n = self._answers("n")
+        # Ranks of contexts, in the order of the last depth's cells.
+        self.ranks = self._answers("ctx_id")
+        ends = (n >= MIN_COUNT)[self.number] & (self.at < len(self.tokens) - 1)
+        if self.depth:
+            ends &= self.tokens[self.at] != self.end
+        self.depth += 1
+        self.places, self.context = self.at[ends] + 1, self.number[ends]
+        self.count = n[self.context]
+        asked = self.after[self.places] > 0
+        self.at = self.places[asked]
+        contexts = numbers(self.ranks, self.space.buckets)[self.context[asked]]
+        words = numbers(self.block["w.id"], self.space.buckets)[self.tokens[self.at]]
+        self.keys, self.number = np.unique(self.space.cells(self.depth, contexts, words), return_inverse=True)
+        return self
+
+    def add(self) -> Text:
+        """Takes the answers for cells."""
+        self.after = np.zeros(len(self.tokens), np.int64)
+        self.after[self.at] = self._answers("n")[self.number]
+        return self
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places, counts, sorted ranks of contexts, number of each place's) of the tokens whose shorter context is retained."""
+        some = self.kept[self.places]
+        context = self.context[some]
+        # Ranks rise with their places, so that nothing is to be sorted.
+        there = np.zeros(len(self.ranks), bool)
+        there[context] = True
+        return self.places[some], self.count[some], self.ranks[there].astype(np.uint64), (np.cumsum(there) - 1)[context]
+
+    def settle(self) -> Text:
+        """Takes the answers for contexts.
+
+        Counts are smoothed towards the shorter context's distribution, by Witten
+        and Bell's weight; without a context, by a half.
+        """
+        at, total, keys, number = self.contexts()
+        t = self.block[f"x{self.depth}.t"][number] if len(keys) else np.zeros(0, np.int64)
+        some = t > 0
+        at, t = at[some], t[some]
+        if self.p is not None:
+            self.p[at] = (self.after[at] + t * self.p[at]) / (total[some] + t)
+        self.kept = np.zeros(len(self.tokens), bool)
+        self.kept[at] = True
+        return self
+
+    def down(self, depth: int) -> Text:
+        """Goes to a depth that all is answered for."""
+        while self.depth < depth:
+            self.find().add().settle()
+        return self
+
+    def cells(self) -> Arrays:
+        """How often each cell of the depth comes in the block's training texts."""
+        return {"keys": self.keys, "n": np.bincount(self.number[~self.out[self.at]], minlength=len(self.keys)).astype(np.int64)}
 
-    def after(self, depth: int) -> np.ndarray:
-        """How often each token comes behind its context in training texts."""
 
-        def make() -> np.ndarray:
-            at, _, number = self.cells(depth)
-            n = np.zeros(len(self.tokens), np.int64)
-            n[at] = self.block[f"c{depth}.n"][number] if len(at) else 0
-            return n
+# --- what is asked of all blocks ---------------------------------------------------------
 
-        return self._once("after", depth, make)
 
-    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, sorted contexts, number of each place's) of the tokens whose shorter context is retained."""
+def end_of(block: Arrays) -> int:
+    """END's place among the block's words; -1 where it isn't one."""
+    end = np.uint64(word_hash(END))
+    place = int(np.searchsorted(block["words"], end))
+    return place if place < len(block["words"]) and block["words"][place] == end else -1
 
-        def make() -> tuple[np.ndarray, ...]:
-            at = np.flatnonzero(self.count(depth))
-            if depth > 1:
-                at = at[self.kinds(depth - 1)[at] > 0]
-            return at, *np.unique(self.levels[depth - 1][0][at], return_inverse=True)
 
-        return self._once("contexts", depth, make)
+def out_of(block: Arrays) -> np.ndarray:
+    """Whether each token is none to learn from: of a held-out text, or before the block."""
+    return np.concatenate([np.ones(BEFORE, np.uint8), np.repeat(block["out"], block["size"])]) == 1
 
-    def kinds(self, depth: int) -> np.ndarray:
-        """Different next words of the context before each token, if that is retained, else 0."""
 
-        def make() -> np.ndarray:
-            at, _, number = self.contexts(depth)
-            t = np.zeros(len(self.tokens), np.int64)
-            t[at] = self.block[f"x{depth}.t"][number] if len(at) else 0
-            return t
+def ask_words(block: Arrays) -> list[Arrays]:
+    """How often each word comes in the block's training texts."""
+    return [{"keys": block["words"], "n": np.bincount(tokens_of(block)[~out_of(block)], minlength=len(block["words"])).astype(np.int64)}]
 
-        return self._once("kinds", depth, make)
 
-    def probability(self, depth: int, norm: float) -> np.ndarray:
-        """Probability of each token behind its longest retained context of the depth at most.
+def decide_cells(sums: Arrays) -> Arrays:
+    """The counts, and ranks of the contexts that cells (or words) of MIN_COUNT make."""
+    return {"n": sums["n"], "ctx_id": np.cumsum(sums["n"] >= MIN_COUNT)}
 
-        Counts are smoothed towards the shorter context's distribution, by
-        Witten and Bell's weight; without a context, by a half.
-        """
-        p = (self.words() + 0.5) / norm
-        for d in range(1, depth + 1):
-            t = self.kinds(d)
-            kept = np.flatnonzero(t)
-            p[kept] = (self.after(d)[kept] + t[kept] * p[kept]) / (self.count(d)[kept] + t[kept])
-        return p
 
+def decide_words(sums: Arrays) -> Arrays:
+    """Those of words, and ranks of all words."""
+    return decide_cells(sums) | {"id": np.arange(len(sums["n"]))}
 
-# --- what is asked of all blocks ---------------------------------------------------------
 
+class Asks:
+    """What blocks ask for: the counts of a depth's cells (a context with the word behind it), then what becomes of its contexts, together with the next depth's cells."""
 
-def ask_words(block: Arrays) -> Arrays:
-    """How often each word comes in the block's training texts."""
-    out = Text(block).out
-    return {"keys": block["words"], "n": np.bincount(block["at"][~out], minlength=len(block["words"])).astype(np.int64)}
+    def __init__(self, depth: int, norm: float, space: Space) -> None:
+        self.depth, self.norm, self.space = depth, norm, space
 
+    def cells(self, block: Arrays) -> list[Arrays]:
+        """The counts of the first depth's cells."""
+        return [Text(block, self.space).find().cells()]
 
-class Asks:
-    """What blocks ask for one depth: the counts of cells (a context with the word behind it), then what becomes of the contexts."""
-
-    def __init__(self, depth: int, norm: float) -> None:
-        self.depth, self.norm = depth, norm
-
-    def cells(self, block: Arrays) -> Arrays:
-        """How often each cell comes in the block's training texts."""
-        text = Text(block)
-        at, keys, number = text.cells(self.depth)
-        return {"keys": keys, "n": np.bincount(number[~text.out[at]], minlength=len(keys)).astype(np.int64)}
-
-    def contexts(self, block: Arrays) -> Arrays:
-        """The part that each cell has in its context's divergence, from the first block that has the cell."""
-        text, d = Text(block), self.depth
-        at, contexts, number = text.contexts(d)
-        all_at, _, cell = text.cells(d)
+    def contexts(self, block: Arrays) -> list[Arrays]:
+        """The part that each cell has in its context's divergence, from the first block that has the cell; and the counts of the next depth's cells."""
+        text = Text(block, self.space, self.norm).down(self.depth - 1).find().add()
+        at, total, contexts, number = text.contexts()
         # Of each cell that is the block's to count, one place.
         one = np.full(len(text.tokens), False)
-        own = block[f"c{d}.owner"] if len(all_at) else np.zeros(0, np.uint8)
+        own = block[f"c{self.depth}.owner"] if len(text.keys) else np.zeros(0, np.uint8)
         places = np.zeros(len(own), np.int64)
-        places[cell] = all_at
+        places[text.number] = text.at
         one[places[own == 1]] = True
-        counts = one[at] & (text.after(d)[at] > 0)
-        some = at[counts]
-        n, count = text.after(d)[some], text.count(d)
-        gain = n * np.log(n / count[some] / text.probability(d - 1, self.norm)[some])
+        counts = one[at] & (text.after[at] > 0)
+        n = text.after[at[counts]]
+        gain = n * np.log(n / total[counts] / text.p[at[counts]])
+        # Who counts no cell of a context only asks for it.
         most = np.zeros(len(contexts), np.int64)
-        most[number] = count[at]
-        return {"keys": contexts, "t": np.bincount(number[counts], minlength=len(contexts)).astype(np.int64), "gain": np.bincount(number[counts], gain, minlength=len(contexts)), "most": most}
+        most[number[counts]] = total[counts]
+        asked = {"keys": contexts, "t": np.bincount(number[counts], minlength=len(contexts)).astype(np.int64), "gain": np.rint(GAIN_UNIT * np.bincount(number[counts], gain, minlength=len(contexts))).astype(np.int64), "most": most}
+        return [asked, text.find().cells()] if self.depth < self.space.depth else [asked]
 
 
 def decide_contexts(sums: Arrays) -> Arrays:
@@ -293,7 +355,7 @@ def decide_contexts(sums: Arrays) -> Arrays:
     count, exceeds what its number of different next words would bring by chance
     (half a log of the count each).
     """
-    return {"t": np.where(sums["gain"] > 0.5 * sums["t"] * np.log(np.maximum(sums["most"], 1)), sums["t"], 0)}
+    return {"t": np.where(sums["gain"] / GAIN_UNIT > 0.5 * sums["t"] * np.log(np.maximum(sums["most"], 1)), sums["t"], 0)}
 
 
 def same(sums: Arrays) -> Arrays:
@@ -301,7 +363,7 @@ def same(sums: Arrays) -> Arrays:
     return sums
 
 
-def scores(table: BlockTable, depth: int, norm: float) -> DataFrame:
+def scores(table: BlockTable, depth: int, norm: float, space: Space) -> DataFrame:
     """(row, id, held_out, n_tokens, n_known, base, score) of each run of tokens of one text."""
     kind = table.rows.schema["ids"].dataType.elementType.simpleString()
 
@@ -309,9 +371,11 @@ def scores(table: BlockTable, depth: int, norm: float) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 block = block_of(b.column(0)[i], b.column(1)[i])
-                text = Text(block)
+                text = Text(block, space, norm)
+                known, base = text.after > 0, np.log10(text.p)
+                score = np.log10(text.down(depth).p)
                 starts = np.cumsum(block["size"]) - block["size"]
-                known, base, score = (np.add.reduceat(x[BEFORE:].astype(np.float64), starts) for x in (text.words() > 0, np.log10(text.probability(0, norm)), np.log10(text.probability(depth, norm))))
+                known, base, score = (np.add.reduceat(x[BEFORE:].astype(np.float64), starts) for x in (known, base, score))
                 values = [b.column(2).slice(i, 1).flatten(), b.column(3).slice(i, 1).flatten(), pa.array(block["out"] == 1), pa.array(block["size"].astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(values, names=["row", "id", "held_out", "n_tokens", "n_known", "base", "score"])
 
@@ -321,7 +385,7 @@ def scores(table: BlockTable, depth: int, norm: float) -> DataFrame:
 def first_words(table: BlockTable) -> int:
     """Different words of all training texts: each block counts those that it is the first to have."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for b in batches:
             for x in b.column(0):
@@ -329,7 +393,7 @@ def first_words(table: BlockTable) -> int:
                 n += int(((answers["w.owner"] == 1) & (answers["w.n"] > 0)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
-    return table.answers.select("answers").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return table.answers.select("answers").mapInArrow(firsts, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -358,12 +422,18 @@ def suffix_tree_scores(df: DataFrame, id_column: str = "doc_id", text: str = "te
     table = BlockTable(encoded(docs, block_tokens), parts)
     blocks, train_tokens = table.rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
     buckets = max(parts, blocks // 4)
-    table.exchange("w", ask_words, same, buckets)
+    table.exchange([Sums("w", decide_words)], ask_words, buckets)
+    top = table.tops()
     norm = train_tokens + 0.5 * (first_words(table) + 1)
+    space = Space(depth, buckets, buckets * (top.get("w.id", 0) + 1), (buckets * (top.get("w.ctx_id", 0) + 1),))
+    cells = lambda d: Sums(f"c{d}", decide_cells if d < depth else same, span=1 << space.bits(d))
+    table.exchange([cells(1)], Asks(1, norm, space).cells, buckets)
     for d in range(1, depth + 1):
-        asks = Asks(d, norm)
-        table.exchange(f"c{d}", asks.cells, same, buckets)
-        table.exchange(f"x{d}", asks.contexts, decide_contexts, buckets, owner=False)
+        sums = [Sums(f"x{d}", decide_contexts, owner=False, span=buckets << RANK_BITS)]
+        if d < depth:
+            space = space._replace(contexts=(*space.contexts, buckets * (table.tops().get(f"c{d}.ctx_id", 0) + 1)))
+            sums.append(cells(d + 1))
+        table.exchange(sums, Asks(d, norm, space).contexts, buckets)
     sums = ["n_tokens", "n_known", "base", "score"]
-    whole = scores(table, depth, norm).groupBy("row").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in sums])
+    whole = scores(table, depth, norm, space).groupBy("row").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in sums])
     return whole.select(F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from heddle.llm import suffix_lm as lm
-from heddle.llm.block_sums import buckets_of, pack, steps, summed, unpack
+from heddle.llm.block_sums import RANK_BITS, RANKS, Sums, buckets_of, pack, steps, summed, unpack
 
 
 def corpus(n=400, seed=0):
@@ -158,3 +158,74 @@ def test_sums_by_key_are_answered_to_every_block():
     for block, a in asked:
         assert found[block] == [(total[k], most[k], int(first[k] == block)) for k in a["keys"].tolist()]
     assert unpack(pack({"a": np.zeros(0, np.int32), "b": np.array([1.5, -2])})) .keys() == {"a", "b"}
+
+
+def answered(block, sums, asked, buckets):
+    """A single block's answers, as an exchange gives them."""
+    for of, ask in zip(sums, asked):
+        parts = []
+        for bucket, a, z in buckets_of(ask["keys"], buckets, of.span):
+            part = {n: x[a:z] for n, x in ask.items()}
+            sent = unpack(pack(part | {"keys": steps(part["keys"])}))
+            parts += [{n: x + (bucket << RANK_BITS) if n in RANKS else x for n, x in got.items()} for _, got in summed([(0, sent)], of.decide)]
+        new = unpack(pack({f"{of.tag}.{n}": np.concatenate([p[n] for p in parts]) for n in parts[0]}))
+        block = block | new
+    return block
+
+
+def test_numbered_contexts_are_those_by_hashes_and_their_requests_are_small():
+    """A cell was asked for by a hash of 6 packed bytes; numbers of contexts and words take fewer, and mean the same contexts."""
+    r = np.random.default_rng(2)
+    symbols = np.array([lm.word_hash(w) for w in [b"", *(b"w%d" % i for i in range(5_000))]], np.uint64)
+    tokens = symbols[np.minimum(r.zipf(1.3, 200_000) - 1, 5_000)]
+    tokens[: lm.BEFORE] = symbols[0]
+    words, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    place = np.empty(len(words), np.int32)
+    place[lm.by_frequency(times)] = np.arange(len(words))
+    block = {"words": words, "times": times, "at": place[at], "size": np.array([len(at) - lm.BEFORE]), "out": np.zeros(1, np.uint8)}
+    assert (words[lm.tokens_of(block)] == tokens).all()
+    block = answered(block, [Sums("w", lm.decide_words)], lm.ask_words(block), 7)
+    top = lambda n: 7 * (int((block[n] & ((1 << RANK_BITS) - 1)).max()) + 1)
+    space, count = lm.Space(lm.MAX_DEPTH, 7, top("w.id")), block["w.n"][lm.tokens_of(block)]
+    for d, (code, valid) in enumerate(lm.contexts_before(tokens), 1):
+        space = space._replace(contexts=(*space.contexts, top("w.ctx_id" if d == 1 else f"c{d - 1}.ctx_id")))
+        text = lm.Text(block, space)
+        for _ in range(d - 1):
+            text.find().add()
+        text.find()
+        before = np.concatenate([[0], count[:-1]])
+        assert text.places.tolist() == np.flatnonzero(valid & (before >= lm.MIN_COUNT)).tolist()
+        _, own = np.unique(lm.cell_keys(code[text.at], tokens[text.at]), return_inverse=True)
+        assert len(text.keys) == own.max() + 1 == len(set(zip(own.tolist(), text.number.tolist())))
+        asked = text.cells()
+        assert len(pack({"keys": steps(asked["keys"])})) < 4 * len(asked["keys"])
+        block = answered(block, [Sums(f"c{d}", lm.decide_cells, span=1 << space.bits(d))], [asked], 7)
+        count = lm.Text(block, space)
+        for _ in range(d):
+            count.find().add()
+        count = count.after
+
+
+def test_cell_keys_are_one_to_one_and_fill_their_bits():
+    space = lm.Space(1, 1, 300, (70,))
+    contexts, words = (x.ravel().astype(np.uint64) for x in np.meshgrid(np.arange(70), np.arange(300)))
+    keys = np.sort(space.cells(1, contexts, words))
+    assert len(np.unique(keys)) == 21_000 and keys[-1] < 1 << space.bits(1) == 1 << 15
+    assert all(3_500 < z - a < 4_900 for _, a, z in buckets_of(keys, 5, 1 << 15))
+    wide = lm.Space(1, 1, 1 << 40, (1 << 30,))
+    assert wide.bits(1) == 64 and (wide.cells(1, contexts, words) == lm.cell_keys(contexts, words)).all()
+
+
+def test_packed_signs_ranks_and_wide_numbers():
+    given = {"gain": np.array([5, -3, 0, -(1 << 62), (1 << 62)]), "x.id": np.array([1, 4, 4, 3 << RANK_BITS]), "words": np.array([2, 1 << 63], np.uint64), "f": np.array([-1.5, 2]), "one": np.zeros(3, np.uint8)}
+    found = unpack(pack(given))
+    assert all((found[n] == x).all() and found[n].dtype == x.dtype for n, x in given.items())
+
+
+def test_each_shuffled_pass_asks_for_contexts_and_the_next_cells(spark, monkeypatch):
+    """Seven passes over all blocks had become too many; shuffles are released behind each."""
+    seen = []
+    exchange = lm.BlockTable.exchange
+    monkeypatch.setattr(lm.BlockTable, "exchange", lambda self, sums, *a: (seen.append([s.tag for s in sums]), exchange(self, sums, *a)))
+    lm.suffix_tree_scores(spark.createDataFrame(corpus(100), "doc_id long, text string")).collect()
+    assert seen == [["w"], ["c1"], ["x1", "c2"], ["x2", "c3"], ["x3"]]
