@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import struct
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -86,10 +87,12 @@ def buckets_of(sorted_keys: np.ndarray, buckets: int, span: int = 1 << 64) -> It
             yield i, a, b
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Has Spark delete the files of shuffles that nothing refers to any more, which else stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release_shuffles(spark: SparkSession, rounds: int = 1) -> None:
+    """Has Spark delete the files of shuffles that nothing refers to any more, which else stay until the driver happens to collect its garbage. Those of the job just ended are only free in a second round."""
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2 if rounds > 1 else 0)
 
 
 def _batch(names: str, *columns: list, kinds: tuple[pa.DataType, ...]) -> pa.RecordBatch:
@@ -140,15 +143,17 @@ class Sums(NamedTuple):
 class BlockTable:
     """Blocks (block, data, and further columns) in the shared folder, and what they have been answered so far.
 
-    Both tables are bucketed by block, so that answers come to their blocks, and
-    the blocks stay where they are. `parts` buckets each.
+    The arrays of the column `once` are only there for the first exchange and
+    leave the folder behind it. Each exchange's answers are a table of their own,
+    which is never written again. All tables are bucketed by block, so that
+    answers come to their blocks, and the blocks stay where they are. `parts`
+    buckets each.
     """
 
-    def __init__(self, rows: DataFrame, parts: int) -> None:
-        self.parts = parts
-        self.rows, _ = self._stored(rows)
-        self.answers: DataFrame | None = None
-        self._drop: Callable[[], None] = lambda: None
+    def __init__(self, rows: DataFrame, parts: int, once: str | None = None) -> None:
+        self.parts, self.once = parts, once
+        self.rows, self._drop = self._stored(rows)
+        self.answers: list[DataFrame] = []
 
     def _stored(self, rows: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
         spark = rows.sparkSession
@@ -163,16 +168,28 @@ class BlockTable:
 
     def known(self, *columns: str) -> DataFrame:
         """(data, answers, columns) of every block."""
-        if self.answers is None:
-            return self.rows.select("data", F.lit(None).cast("binary").alias("answers"), *columns)
-        return self.rows.join(self.answers.drop("tops"), "block", "left").select("data", "answers", *columns)
+        rows, found = self.rows, [F.lit(b"")]
+        for i, answers in enumerate(self.answers):
+            rows = rows.join(answers.select("block", F.col("answers").alias(f"answers_{i}")), "block", "left")
+            found.append(F.coalesce(f"answers_{i}", F.lit(b"")))
+        data = F.concat("data", self.once) if self.once else F.col("data")
+        return rows.select(data.alias("data"), F.concat(*found).alias("answers"), *columns)
+
+    def _forget(self) -> None:
+        """Leaves out what only the first exchange needed."""
+        if self.once:
+            drop = self._drop
+            self.rows, self._drop = self._stored(self.rows.drop(self.once))
+            self.once = None
+            drop()
 
     def exchange(self, sums: list[Sums], ask: Callable[[Arrays], list[Arrays]], buckets: int) -> None:
         """Sums over all blocks, answered to each that asked.
 
         For each of `sums`, `ask(block)` gives sorted `keys` and values to sum by
-        key. Two shuffles: requests by ranges of keys, answers by block. A key is
-        in a request once for each block that has it, so no key is hot.
+        key. Two shuffles: requests by ranges of keys, answers by block; the files
+        of the first go before the second begins. A key is in a request once for
+        each block that has it, so no key is hot.
         """
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,25 +224,27 @@ class BlockTable:
             for b in batches:
                 for i in range(b.num_rows):
                     parts: dict[str, list[np.ndarray]] = {}
-                    for x in sorted(b.column(2)[i].as_py() or [], key=lambda x: x["bucket"]):
+                    for x in sorted(b.column(1)[i].as_py(), key=lambda x: x["bucket"]):
                         for n, a in unpack(x["data"]).items():
                             parts.setdefault(n, []).append(a)
                     new = {n: np.concatenate(p) for n, p in parts.items()}
                     tops = [(n, int((x & ((1 << RANK_BITS) - 1)).max())) for n, x in new.items() if _kind(n) in RANKS]
-                    yield _batch("block answers tops", [b.column(0)[i].as_py()], [(b.column(1)[i].as_py() or b"") + pack(new)], [tops], kinds=(pa.int64(), pa.binary(), pa.map_(pa.string(), pa.int64())))
+                    yield _batch("block answers tops", [b.column(0)[i].as_py()], [pack(new)], [tops], kinds=(pa.int64(), pa.binary(), pa.map_(pa.string(), pa.int64())))
 
+        spark, path, kind = self.rows.sparkSession, shared_path(self.rows.sparkSession, "sums"), "block long, bucket int, data binary"
         asked = self.known("block").mapInArrow(send, "bucket int, block long, data binary")
-        added = asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(add, "block long, bucket int, data binary")
-        new = added.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("new"))
-        old = self.answers if self.answers is not None else self.rows.select("block", F.lit(None).cast("binary").alias("answers"))
-        drop = self._drop
-        self.answers, self._drop = self._stored(old.join(new, "block", "left").select("block", "answers", "new").mapInArrow(gather, "block long, answers binary, tops map<string,bigint>"))
-        drop()
-        release_shuffles(self.rows.sparkSession)
+        asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(add, kind).write.parquet(path)
+        release_shuffles(spark, rounds=2)
+        self._forget()
+        new = spark.read.schema(kind).parquet(path).groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("new"))
+        answers, _ = self._stored(new.mapInArrow(gather, "block long, answers binary, tops map<string,bigint>"))
+        self.answers.append(answers)
+        drop_path(spark, path)
+        release_shuffles(spark)
 
     def tops(self) -> dict[str, int]:
         """The highest rank of each array that the last exchange answered with ranks."""
-        return {r["key"]: r["top"] for r in self.answers.select(F.explode("tops")).groupBy("key").agg(F.max("value").alias("top")).collect()}
+        return {r["key"]: r["top"] for r in self.answers[-1].select(F.explode("tops")).groupBy("key").agg(F.max("value").alias("top")).collect()}
 
 
 def block_of(data: pa.Scalar, answers: pa.Scalar) -> Arrays:

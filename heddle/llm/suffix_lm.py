@@ -148,12 +148,13 @@ def tokens_of(block: Arrays) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """`docs` (t, row, id, held_out) as blocks: (block, data, rows, ids, n_train).
+    """`docs` (t, row, id, held_out) as blocks: (block, data, words, rows, ids, n_train).
 
-    data has `words` (the block's different words, sorted) and `times` (how often
-    each comes), `at` (each token's place among them by frequency, which packs
-    smaller), and `size` and `out` of each run of tokens of one text. A text may
-    be cut between blocks. The first BEFORE tokens stand before the
+    words has `words` (the block's different words, sorted), which only ask for
+    the words' numbers. data has `times` (how often each of them comes), `end`
+    (END's place among them), `at` (each token's place among them by frequency,
+    which packs smaller), and `size` and `out` of each run of tokens of one text.
+    A text may be cut between blocks. The first BEFORE tokens stand before the
     block and belong to no text of it.
     """
     kind = docs.schema["id"].dataType.simpleString()
@@ -177,9 +178,9 @@ def encoded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
             place = np.empty(len(words), np.int32)
             place[by_frequency(times)] = np.arange(len(words))
             size, out = np.array([r[0] for r in runs], np.int32), np.array([r[1] for r in runs], np.uint8)
-            data = pack({"words": words, "times": times, "at": place[at], "size": size, "out": out})
-            columns = [pa.array([task + blocks]), pa.array([data], pa.binary()), pa.array([[r[2] for r in runs]], pa.list_(pa.int64())), pa.array([[r[3] for r in runs]], pa.list_(id_type)), pa.array([int(size[out == 0].sum())])]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "data", "rows", "ids", "n_train"])
+            data = pack({"times": times, "end": np.array([end_of({"words": words})]), "at": place[at], "size": size, "out": out})
+            columns = [pa.array([task + blocks]), pa.array([data], pa.binary()), pa.array([pack({"words": words})], pa.binary()), pa.array([[r[2] for r in runs]], pa.list_(pa.int64())), pa.array([[r[3] for r in runs]], pa.list_(id_type)), pa.array([int(size[out == 0].sum())])]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "data", "words", "rows", "ids", "n_train"])
             before = np.full(BEFORE, end) if words[at[-1]] == end else words[at[-BEFORE:]]
             numbered.clear(), runs.clear()
             number = defaultdict(count().__next__)
@@ -197,7 +198,7 @@ def encoded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         if numbered:
             yield from flush(b.column(2).type)
 
-    return docs.select("t", "row", "id", "held_out").mapInArrow(encode, f"block long, data binary, rows array<long>, ids array<{kind}>, n_train long")
+    return docs.select("t", "row", "id", "held_out").mapInArrow(encode, f"block long, data binary, words binary, rows array<long>, ids array<{kind}>, n_train long")
 
 
 class Text:
@@ -293,6 +294,8 @@ class Text:
 
 def end_of(block: Arrays) -> int:
     """END's place among the block's words; -1 where it isn't one."""
+    if "end" in block:
+        return int(block["end"][0])
     end = np.uint64(word_hash(END))
     place = int(np.searchsorted(block["words"], end))
     return place if place < len(block["words"]) and block["words"][place] == end else -1
@@ -393,7 +396,7 @@ def first_words(table: BlockTable) -> int:
                 n += int(((answers["w.owner"] == 1) & (answers["w.n"] > 0)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
-    return table.answers.select("answers").mapInArrow(firsts, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return table.answers[0].select("answers").mapInArrow(firsts, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -419,7 +422,7 @@ def suffix_tree_scores(df: DataFrame, id_column: str = "doc_id", text: str = "te
     """
     docs = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), held_out(id_column).alias("held_out"), F.monotonically_increasing_id().alias("row"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = BlockTable(encoded(docs, block_tokens), parts)
+    table = BlockTable(encoded(docs, block_tokens), parts, once="words")
     blocks, train_tokens = table.rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
     buckets = max(parts, blocks // 4)
     table.exchange([Sums("w", decide_words)], ask_words, buckets)

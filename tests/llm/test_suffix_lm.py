@@ -229,3 +229,23 @@ def test_each_shuffled_pass_asks_for_contexts_and_the_next_cells(spark, monkeypa
     monkeypatch.setattr(lm.BlockTable, "exchange", lambda self, sums, *a: (seen.append([s.tag for s in sums]), exchange(self, sums, *a)))
     lm.suffix_tree_scores(spark.createDataFrame(corpus(100), "doc_id long, text string")).collect()
     assert seen == [["w"], ["c1"], ["x1", "c2"], ["x2", "c3"], ["x3"]]
+
+
+def test_answers_are_written_once_and_words_leave_the_folder(spark, monkeypatch):
+    """All earlier answers had been written again with each exchange's, and the words' hashes lay beside them to the end."""
+    seen = []
+    stored = lm.BlockTable._stored
+
+    def names(self, rows):
+        table, drop = stored(self, rows)
+        binary = [c for c, kind in table.dtypes if kind == "binary"]
+        seen.append({n for r in table.select(*binary).collect() for x in r for n in unpack(bytes(x))})
+        return table, drop
+
+    monkeypatch.setattr(lm.BlockTable, "_stored", names)
+    lm.suffix_tree_scores(spark.createDataFrame(corpus(100), "doc_id long, text string")).collect()
+    text = {"times", "end", "at", "size", "out"}
+    assert seen[:2] == [text | {"words"}, text]
+    answers = [{n.partition(".")[0] for n in s} for s in seen[2:]]
+    assert answers[:3] == [{"w"}, {"c1"}, {"x1", "c2"}] and len(answers) == 5
+    assert answers[3] <= {"x2", "c3"} and answers[4] <= {"x3"}
